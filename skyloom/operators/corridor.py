@@ -54,8 +54,10 @@ def offset_profile(track: DataFrame, a: tuple[float, float], b: tuple[float, flo
 
 def complete_linkage(profiles: list[np.ndarray], most: float) -> list[int]:
     """Cluster numbers by size: the closest two clusters join while all their members are within ``most`` (RMS)."""
+    if not profiles:
+        return []
     x = np.array(profiles, float).reshape(len(profiles), -1)
-    gap = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2)) if len(x) else np.zeros((0, 0))
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2))
     clusters = [[i] for i in range(len(x))]
     while len(clusters) > 1:
         pairs = [(gap[np.ix_(a, b)].max(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
