@@ -165,7 +165,8 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = materialised(targets(rows.select("source", "size"), weights))
     laid = materialised(laid_out(rows.select("doc_id", "source", "size", "twin")))
     times = slots(sources).groupBy("number", "index").agg(F.count("*").alias("times"))
-    taken = pieces(laid, sources).join(times, ["number", "index"]).groupBy("number", "start").agg(F.sum(F.col("len") * F.col("times")).alias("taken"))
+    # Generated rows are many more than planning expects: without the hint it would broadcast them.
+    taken = pieces(laid, sources).join(times.hint("merge"), ["number", "index"]).groupBy("number", "start").agg(F.sum(F.col("len") * F.col("times")).alias("taken"))
     out = laid.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     # An empty row shares its start with the next one, and gives nothing.
     taken = taken.select(F.col("number").alias("n"), F.col("start").alias("at"), "taken")
@@ -182,15 +183,17 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = sized(docs, id_col, text_col, source_col)
     sources = materialised(targets(rows.select("source", "size"), weights))
     laid = laid_out(rows)
-    ranges = pieces(laid, sources).join(slots(sources).select("number", "index", "pass"), ["number", "index"])
+    # Generated rows are many more than planning expects: without the hints it would broadcast them.
+    ranges = pieces(laid, sources).join(slots(sources).select("number", "index", "pass").hint("merge"), ["number", "index"])
     ranges = ranges.groupBy("twin", "number", "start", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("from", "len"))).alias("ranges"), F.sum("len").alias("n"))
     twin, n_chars, helper, n, size = unique_names(docs, ["twin", "n_chars", "ranges", "n", "size"])
     ranges = ranges.select(F.col("twin").alias(twin), F.col("ranges").alias(helper), F.col("n").alias(n), F.col("size").alias(size))
     # Rows that are twins in id, source and text have ranges of their own; one of them stands for all.
     whole = docs.withColumn(twin, F.xxhash64(id_col, source_col, text_col)).dropDuplicates([twin])
-    found = whole.join(ranges, twin)
-    taken = F.transform(helper, lambda r: F.slice(words(F.col(text_col)), (r["from"] + 1).cast("int"), r["len"].cast("int")))
-    text = F.when(F.col(n) == F.col(size), F.col(text_col)).otherwise(F.array_join(F.flatten(taken), " "))
+    found = whole.join(ranges.hint("merge"), twin)
+    # The outer transform binds the words, so that a text is split once and not for each range.
+    taken = F.transform(F.array(words(F.col(text_col))), lambda w: F.array_join(F.flatten(F.transform(helper, lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["len"].cast("int")))), " "))
+    text = F.when(F.col(n) == F.col(size), F.col(text_col)).otherwise(F.get(taken, F.lit(0)))
     found = found.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
