@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_sample, materialised
+from skyloom.llm.common import bounded_sample, materialised, unique_names
 from skyloom.llm.components import components
 
 BITS = 64
@@ -241,10 +241,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name no component and are kept, one for each text.
     """
     groups = near_duplicates(docs, id_col, text_col, distance, shingle, seed)
-    names = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("times"))
+    (name,) = unique_names(docs, ["kept"])
+    names = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("times"))
     names = materialised(names)
-    out = docs.join(names.where("times = 1"), F.col(id_col) == F.col("kept"), "left_semi")
-    if not names.where("times > 1").isEmpty():
-        more = docs.join(names.where("times > 1"), F.col(id_col) == F.col("kept"), "left_semi")
-        out = out.unionByName(more.dropDuplicates([id_col]))
+    once, more = (names.where(test).select(name) for test in ("times = 1", "times > 1"))
+    out = docs.join(once, F.col(id_col) == F.col(name), "left_semi")
+    if not more.isEmpty():
+        out = out.unionByName(docs.join(more, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col]))
     return out.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
