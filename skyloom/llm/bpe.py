@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Pieces that a worker remembers at most.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 300_000
 
 #: Code points that Unicode calls letters or numbers only after version 16. The pattern's
 #: classes are those of version 16, while the regex module knows later ones.
