@@ -46,7 +46,8 @@ def bounded_sample(rows: DataFrame, key: Column, most: int, total: int | None =
     n = rows.count() if total is None else total
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    # Hashes are compared with their whole range: a coarser scale would leave no rows of very many.
+    return rows.where(F.xxhash64(key, F.lit(11)) < F.lit(2**64 * most // n - 2**63))
 
 
 def materialised(frame: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def laid_out(rows: DataFrame) -> DataFrame:
     n = rows.count()
     buckets = max(64, n // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) * 7919, F.lit(buckets)))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "twin").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
     totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("total").over(across), F.lit(0)).alias("before"))

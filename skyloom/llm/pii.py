@@ -158,11 +158,12 @@ class Field:
 def edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between tokens a blank or two apart, and skip edges between next occurrences of a key."""
     chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1].start - tokens[i].end <= 3]
+    neighbours = set(chain)
     last: dict[str, int] = {}
     skip = []
     for i, t in enumerate(tokens):
         if t.key:
-            if t.key in last and (last[t.key], i) not in chain:
+            if t.key in last and (last[t.key], i) not in neighbours:
                 skip.append((last[t.key], i))
             last[t.key] = i
     return chain, skip
