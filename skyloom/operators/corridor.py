@@ -83,6 +83,52 @@ def clustered(profiles: DataFrame, group: str, key: str, most_nm: float = 12.0)
     return profiles.groupBy(group).applyInPandas(run, T.StructType([*profiles.schema.fields, T.StructField("cluster", T.IntegerType())]))
 
 
+def fix_distances(tracks: DataFrame, fixes: DataFrame, group: str) -> DataFrame:
+    """group, cluster, fix, navaid, mean: how near a cluster's flights come to each fix of their corridor, on average.
+
+    ``tracks``: group, cluster, flight, lat, lon (thinned out). ``fixes``: group, fix, navaid, lat, lon, those
+    within the corridor's box. Nearest approaches are taken before anything is shuffled.
+    """
+    at = fixes.select(group, "fix", "navaid", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    d = distance_nm(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
+    nearest = tracks.where("lat IS NOT NULL AND lon IS NOT NULL").join(at, group).groupBy(group, "cluster", "flight", "fix", "navaid").agg(F.min(d).alias("d"))
+    return nearest.groupBy(group, "cluster", "fix", "navaid").agg(F.avg("d").alias("mean"))
+
+
+def labelled(distances: DataFrame, group: str, near_nm: float = 8.0, apart_nm: float = 6.0) -> DataFrame:
+    """group, cluster, label: the fix that tells a cluster from the others of its group, by ``fix_distances``.
+
+    A fix suits a cluster that comes within ``near_nm`` of it while every other one stays ``apart_nm`` farther
+    off. Clusters choose in order of their numbers; navaids go before other fixes, then the greatest lead,
+    then the name; a fix is given once. Without a suitable one the nearest fix within reach serves, or else the number.
+    """
+    w = Window.partitionBy(group, "fix")
+    least = F.min(F.struct("mean", "cluster")).over(w)
+    second = F.get(F.sort_array(F.collect_list("mean").over(w)), F.lit(1))
+    others = F.when(least["cluster"] == F.col("cluster"), second).otherwise(least["mean"])
+    rows = distances.withColumn("lead", others - F.col("mean"))
+    # Only suitable fixes and each cluster's nearest one reach the choice.
+    nearest = F.row_number().over(Window.partitionBy(group, "cluster").orderBy("mean", "fix")) == 1
+    rows = rows.withColumn("suits", (F.col("mean") <= near_nm) & (F.col("lead").isNull() | (F.col("lead") >= apart_nm))).withColumn("nearest", nearest).where("suits OR nearest")
+
+    def choose(own: pd.DataFrame) -> pd.DataFrame:
+        given: set[str] = set()
+        out = []
+        for cluster, mine in own.groupby("cluster", sort=True):
+            free = mine[mine["suits"] & ~mine["fix"].isin(given)].sort_values(["navaid", "lead", "fix"], ascending=[False, False, True], na_position="last", kind="stable")
+            if len(free):
+                label = free["fix"].iloc[0]
+                given.add(label)
+            else:
+                best = mine[mine["nearest"]].iloc[0]
+                label = best["fix"] if best["mean"] <= near_nm else f"Group {cluster + 1}"
+            out.append((own[group].iloc[0], cluster, label))
+        return pd.DataFrame(out, columns=[group, "cluster", "label"]).astype({"cluster": "int32"})
+
+    kind = T.StructType([distances.schema[group], T.StructField("cluster", T.IntegerType()), T.StructField("label", T.StringType())])
+    return rows.groupBy(group).applyInPandas(choose, kind)
+
+
 def classified(sequence: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], other: str = "Direct / other") -> Column:
     """The first rule (label, fixes all needed, prefixes of which one is needed) that a fix sequence meets."""
     out = None

@@ -78,3 +78,27 @@ def upsert(old: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def add_absent(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.unionByName(more.join(rows, list(on), "left_anti"), allowMissingColumns=True)
+
+
+def log_matches(plans: DataFrame, logs: DataFrame, most_nm: float = 12.0) -> DataFrame:
+    """plan_id, log_id, start_nm, end_nm, rank: the logs that begin and end within ``most_nm`` of a plan's ends.
+
+    ``plans``: plan_id, day, from_lat, from_lon, to_lat, to_lon. ``logs``: log_id, day, first_lat, first_lon,
+    last_lat, last_lon. Only logs of the plan's day count, where there is one; else (and without a day)
+    all do. The least sum of both distances ranks first, ties by log_id. Starts meet in cells of a degree,
+    by an equality join, which finds all of them up to 78 degrees of latitude.
+    """
+    from skyloom.functions.geo import distance_nm
+
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    cells = lambda lat, lon: {"__y": F.floor(lat), "__x": F.pmod(F.floor(lon), F.lit(360))}
+    days = logs.where("first_lat IS NOT NULL AND last_lat IS NOT NULL").select("day").distinct().withColumn("__dated", F.lit(True))
+    wanted = plans.where("from_lat IS NOT NULL AND to_lat IS NOT NULL").join(days, "day", "left").withColumnRenamed("day", "__day")
+    wanted = wanted.withColumns(cells(F.col("from_lat"), F.col("from_lon"))).withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
+    wanted = wanted.withColumn("__y", F.col("__y") + F.col("__dy")).withColumn("__x", F.pmod(F.col("__x") + F.col("__dx"), F.lit(360)))
+    pairs = wanted.join(logs.withColumns(cells(F.col("first_lat"), F.col("first_lon"))), ["__y", "__x"]).where("__dated IS NULL OR day = __day")
+    pairs = pairs.withColumn("start_nm", distance_nm(F.col("first_lat"), F.col("first_lon"), F.col("from_lat"), F.col("from_lon")))
+    pairs = pairs.withColumn("end_nm", distance_nm(F.col("last_lat"), F.col("last_lon"), F.col("to_lat"), F.col("to_lon")))
+    order = Window.partitionBy("plan_id").orderBy(F.col("start_nm") + F.col("end_nm"), "log_id")
+    found = pairs.where((F.col("start_nm") <= most_nm) & (F.col("end_nm") <= most_nm))
+    return found.select("plan_id", "log_id", "start_nm", "end_nm", F.row_number().over(order).alias("rank"))

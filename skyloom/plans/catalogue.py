@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions import fuel, geo, text
+from skyloom.functions import fuel, geo, text, units
 from skyloom.operators import corridor, flights, joins, phase, series, stats
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -404,3 +404,32 @@ def page_tables(spark, sf_dir):
 def parsed_durations(spark, sf_dir):
     token = F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), text.seconds(token).alias("seconds"))
+
+
+_ENDS = """(event_id * 37 % 60)::DOUBLE + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 300 - 150)::DOUBLE AS first_lon, (event_id * 37 % 60)::DOUBLE AS last_lat, (event_id * 53 % 300 - 150)::DOUBLE + 0.02 * (user_id % 5) AS last_lon"""
+
+
+@query(f"""WITH l AS (SELECT event_id AS log_id, ts::DATE AS day, {_ENDS} FROM events),
+p AS (SELECT log_id AS plan_id, CASE WHEN log_id % 2 = 0 THEN day END AS day, last_lat AS from_lat, first_lon AS from_lon, first_lat AS to_lat, last_lon AS to_lon FROM l WHERE log_id % 50 = 0),
+d AS (SELECT p.plan_id, l.log_id, {_sql_distance("first_lat", "first_lon", "from_lat", "from_lon")} AS a, {_sql_distance("last_lat", "last_lon", "to_lat", "to_lon")} AS b
+ FROM p JOIN l ON abs(l.first_lat - p.from_lat) < 1 AND (p.day IS NULL OR p.day = l.day))
+SELECT plan_id, count(*) AS n, round(min(a + b), 6) AS best FROM d WHERE a <= 12 AND b <= 12 GROUP BY plan_id""")
+def plan_log_matches(spark, sf_dir):
+    k, u = F.col("event_id"), F.col("user_id")
+    lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
+    logs = _t(spark, sf_dir, "events").select(
+        k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
+    )
+    plans = logs.where("log_id % 50 = 0").select(
+        F.col("log_id").alias("plan_id"), F.when(F.col("log_id") % 2 == 0, F.col("day")).alias("day"),
+        F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
+    )
+    return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
+
+
+@query("""SELECT event_id, round(value * 0.3048, 6) AS metres, round((value - 32) / 1.8, 6) AS celsius, round(value * 1.852, 6) AS kph FROM events""")
+def display_units(spark, sf_dir):
+    v = F.col("value")
+    shown = {"metres": ("ft", "m"), "celsius": ("degF", "degC"), "kph": ("kt", "kph")}
+    rows = units.displayed(_t(spark, sf_dir, "events").select("event_id", *[v.alias(c) for c in shown]), shown)
+    return rows.select("event_id", *[F.round(c, 6).alias(c) for c in shown])

@@ -1,9 +1,10 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skyloom.functions import fuel, geo, text
+from skyloom.functions import fuel, geo, text, units
 from skyloom.operators import corridor, flights, joins, phase, series
 from skyloom.sources import logs, plans, store
 from skyloom.streaming import streams
@@ -146,3 +147,25 @@ def test_refresh_replaces_what_a_batch_names(spark, tmp_path):
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     streams.refresh(source, str(tmp_path / "out"), "log", str(tmp_path / "cp"), lambda r: r.groupBy("log").agg(F.max("v").alias("v"))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_units(spark):
+    assert abs(one(spark, units.converted(F.lit(212.0), "degF", "degC")) - 100) < 1e-9
+    assert one(spark, units.converted(F.lit(None).cast("double"), "ft", "m")) is None
+    with pytest.raises(ValueError):
+        units.converted(F.lit(1.0), "ft", "kt")
+
+
+def test_plans_find_their_logs(spark):
+    day = datetime.date(2021, 6, 23)
+    plans = spark.createDataFrame([(1, day, 51.0, 179.95, 52.0, 1.0), (2, datetime.date(2020, 1, 1), 51.0, 179.95, 52.0, 1.0), (3, day, None, None, None, None)], "plan_id int, day date, from_lat double, from_lon double, to_lat double, to_lon double")
+    logs = spark.createDataFrame([("a", day, 51.0, -179.95, 52.0, 1.0), ("b", None, 51.0, 179.95, 52.0, 1.0), ("c", day, 51.0, 179.95, 53.0, 1.0)], "log_id string, day date, first_lat double, first_lon double, last_lat double, last_lon double")
+    found = [(r.plan_id, r.log_id, r["rank"]) for r in joins.log_matches(plans, logs).orderBy("plan_id", "rank").collect()]
+    assert found == [(1, "a", 1), (2, "b", 1), (2, "a", 2)]
+
+
+def test_clusters_are_named_after_their_own_fix(spark):
+    tracks = spark.createDataFrame([("N", c, f"flight {c}", i / 10, float(c)) for c in (0, 1) for i in range(5)] + [("S", 0, "x", 0.0, 0.0)], "way string, cluster int, flight string, lat double, lon double")
+    fixes = spark.createDataFrame([("N", "OBSCURE", False, 0.2, 0.0), ("N", "VOR", True, 0.2, 0.05), ("N", "BETWEEN", True, 0.2, 0.5), ("N", "EAST", False, 0.2, 1.0), ("S", "FAR", True, 5.0, 5.0)], "way string, fix string, navaid boolean, lat double, lon double")
+    found = {(r.way, r.cluster): r.label for r in corridor.labelled(corridor.fix_distances(tracks, fixes, "way"), "way").collect()}
+    assert found == {("N", 0): "VOR", ("N", 1): "EAST", ("S", 0): "Group 1"}
