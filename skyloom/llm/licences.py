@@ -21,9 +21,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skyloom.llm.licence_texts import TEXTS
+
 THRESHOLD = 0.7
 
-#: Notices and short licences as their authors word them.
+_CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+
+#: Notices, full texts and short licences as their authors word them.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -38,6 +42,35 @@ TEMPLATES = {
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "all-rights-reserved": "Copyright (c) All rights reserved.",
+    "all-rights-reserved-line": "All rights reserved.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-style-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-line": "Released under the BSD License.",
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License.",
+    "ISC-line": "Licensed under the ISC License.",
+    "MIT-licensed-line": "Licensed under the MIT License.",
+    "MIT-work-line": "This work is licensed under the MIT License.",
+    "Apache-2.0-short": "Released under the Apache 2.0 License.",
+    "Apache-2.0-work-line": "This work is licensed under the Apache License, Version 2.0.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC0-1.0-line": "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
+    **{f"{name}-{number}-{kind}": frame.format(f"GNU {words}General Public License", number, name)
+       for name, words, numbers in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",)))
+       for version in numbers for number in (version, version.removesuffix(".0"))[: 1 + version.endswith(".0")]
+       for kind, frame in (("line", "Licensed under the {0}, version {1}."), ("work-line", "This work is licensed under the {0}, version {1}."),
+                           ("released-line", "Released under the {0} v{1}."), ("short-line", "Licensed under {2}v{1}."), ("short-spaced", "Licensed under the GNU {2} v{1}."))},
+    **{f"CC-{'-'.join(kinds)}-{version}-{kind}": frame.format("-".join(kinds), version, "-".join(_CC[k] for k in kinds))
+       for kinds in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND")) for version in ("3.0", "4.0")
+       for kind, frame in (("short", "Licensed under CC {0} {1}."), ("work-short", "This work is licensed under CC {0} {1}."),
+                           ("work-line", "This work is licensed under a Creative Commons {2} {1} " + ("International" if version == "4.0" else "Unported") + " License."))
+       if (kinds, version, kind) != (("BY",), "4.0", "work-line")},
+    **{f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in
+       ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+        "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")},
+    **TEXTS,
 }
 
 _words = re.compile(r"[A-Za-z0-9]+").findall

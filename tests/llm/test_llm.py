@@ -274,3 +274,36 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     expected = sorted((r.doc_id, len(other.encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in p.run(spark, sf_dir).collect()) == expected
+
+
+def licences_of(spark, *texts):
+    found = {}
+    for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("dice").collect():
+        found[r.doc_id] = r
+    return found
+
+
+def test_licence_wordings_from_outside_the_templates(spark):
+    # As projects word them, or as the test data do.
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This project is released under the GNU Lesser General Public License v2.1": "LGPL-2.1",
+        "This site is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "# SPDX-License-Identifier: BSD-3-Clause": "SPDX-BSD-3-Clause",
+        "Distributed under the MIT License": "MIT",
+    }
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        * Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+        OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    found = licences_of(spark, *[f"{PROSE}\n{line}\n{PROSE}" for line in lines], bsd)
+    assert all(found[i].licence.startswith(name) for i, name in enumerate(lines.values()))
+    assert "BSD-3-Clause-text" in {r.licence for r in licences.scan(spark.createDataFrame([(1, bsd)], "doc_id long, text string")).collect()}
