@@ -1,23 +1,31 @@
-"""Licence scans: lines of normalised text compared with licence templates by Dice over word bigrams.
+"""Licence scans: passages of normalised text compared with licence templates by Dice over word bigrams.
 
 Normalised text is its ASCII letters and digits in lower case, as words. A passage (a line of the
-document, or the whole document where that is a template's own size) and a template compare by
-2 * common / (sum of both sizes) over their sets of word bigrams. Since common bigrams are at most the
+document, the whole document, or a run of words anywhere in it, across lines or within one) and a template
+compare by 2 * common / (sum of both sizes) over their sets of word bigrams. Since common bigrams are at most the
 smaller set, only templates whose size lies between t / (2 - t) and (2 - t) / t times the passage's can
 reach the threshold t; of those, only templates that share a bigram are counted at all.
 
+Runs are sought for templates of size m of which the text holds at least m * t / (2 - t) bigrams, as every
+match must. Of all runs, the one with the greatest 2 * common - t * size is taken, left to right; it matches
+if that is at least t * m. A run must hold a bigram of its template alone, if there is any, so that a phrase
+that licences share names none of them. Where runs of several templates overlap, the one with the most common
+bigrams stands. Runs that overlap a line (or text) that matches the same template are that match, not another.
+
 Defined results: null and empty texts match nothing; of equal scores all templates are reported; a
 row's best passage per template is its first line with the highest score (line 0 stands for the whole
-text); a line that is the only one is not compared twice; rows that repeat an id are reported each; an
+text, a run is at its first line); a line that is the only one is not compared twice; rows that repeat an id are reported each; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -81,21 +89,28 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return set(zip(found, found[1:], strict=False))
 
 
+def tokens(text: str) -> list[str]:
+    return [w.lower() for w in _words(text)]
+
+
 class Templates:
     """Templates by bigram, with their sizes."""
 
     def __init__(self, texts: dict[str, str], threshold: float):
         self.threshold = threshold
-        self.sizes = {k: len(bigrams(t)) for k, t in texts.items()}
+        self.pairs = {k: bigrams(t) for k, t in texts.items()}
+        self.sizes = {k: len(b) for k, b in self.pairs.items()}
         self.holders: dict[tuple[str, str], list[str]] = {}
-        for k, t in texts.items():
-            for b in bigrams(t):
+        for k, pairs in self.pairs.items():
+            for b in pairs:
                 self.holders.setdefault(b, []).append(k)
+        #: Bigrams that tell a template from all others.
+        self.marks = {k: {b for b in pairs if len(self.holders[b]) == 1} for k, pairs in self.pairs.items()}
         sizes = [n for n in self.sizes.values() if n] or [0]
-        self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+        self.share = threshold / (2 - threshold)
+        self.least, self.most = min(sizes) * self.share, max(sizes) / self.share
 
-    def compare(self, passage: str) -> list[tuple[str, float]]:
-        found = [w.lower() for w in _words(passage)]
+    def compare(self, found: list[str]) -> list[tuple[str, float]]:
         if len(found) - 1 < self.least:
             return []
         pairs = list(zip(found, found[1:], strict=False))
@@ -104,7 +119,8 @@ class Templates:
         if not hits:
             return []
         n = len(set(pairs))
-        if n > self.most:
+        # Common bigrams are at least t / (2 - t) of the passage's own.
+        if n > self.most or len(hits) < n * self.share - 1e-9:
             return []
         common: Counter[str] = Counter(k for b in hits for k in holders[b])
         t = self.threshold
@@ -115,6 +131,112 @@ class Templates:
                 out.append((k, dice))
         return out
 
+    def runs(self, found: list[str]) -> list[tuple[str, float, int, int]]:
+        """(template, dice, first word, end) of the runs of words that match, one for words that several claim."""
+        pairs = list(zip(found, found[1:], strict=False))
+        holders = self.holders
+        hits = [i for i, b in enumerate(pairs) if b in holders]
+        if not hits:
+            return []
+        held = Counter(k for b in {pairs[i] for i in hits} for k in holders[b])
+        all_runs = []
+        for k, c in held.items():
+            if c >= self.sizes[k] * self.share - 1e-9:
+                own = self.pairs[k]
+                all_runs += [(n_common, k, dice, a, b + 2) for n_common, dice, a, b in self._own_runs(k, pairs, [i for i in hits if pairs[i] in own])]
+        out: list[tuple[str, float, int, int]] = []
+        for _, k, dice, a, b in sorted(all_runs, key=lambda r: (-r[0], -r[2], r[3], r[1])):
+            if all(b <= x or a >= y for _, _, x, y in out):
+                out.append((k, dice, a, b))
+        return out
+
+    def _own_runs(self, k: str, pairs: list[tuple[str, str]], hits: list[int]) -> Iterator[tuple[int, float, int, int]]:
+        """(common bigrams, dice, first, last bigram) of one template's runs, in those parts of a text whose gaps are small enough."""
+        own, m, t = self.pairs[k], self.sizes[k], self.threshold
+        # A run has at most 2 m (1 - t) / t bigrams that are not the template's.
+        gap = 2 * m * (1 - t) / t
+        first = 0
+        for i in range(1, len(hits) + 1):
+            if i < len(hits):
+                between = hits[i] - hits[i - 1] - 1
+                if between <= gap or len(set(pairs[hits[i - 1] + 1 : hits[i]])) <= gap:
+                    continue
+            part = hits[first:i]
+            first = i
+            if len({pairs[h] for h in part}) >= m * self.share - 1e-9:
+                yield from self._scan(k, own, pairs, part[0], part[-1] + 1)
+
+    def _scan(self, k: str, own: set[tuple[str, str]], pairs: list[tuple[str, str]], begin: int, end: int) -> Iterator[tuple[int, float, int, int]]:
+        m, t = self.sizes[k], self.threshold
+        least, most, marks = m * self.share - 1e-9, m / self.share + 1e-9, self.marks[k]
+        while begin < end:
+            # gains[l] is 2 * common - t * size of the bigrams from begin + l to the current one.
+            gains = np.zeros(end - begin)
+            last: dict[tuple[str, str], int] = {}
+            inside: Counter[tuple[str, str]] = Counter()
+            low, common, top, best = begin, 0, t * m - 1e-9, None
+            for r in range(begin, end):
+                b = pairs[r]
+                inside[b] += 1
+                if b in own and inside[b] == 1:
+                    common += 1
+                while len(inside) > most:
+                    gone = pairs[low]
+                    low += 1
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                        common -= gone in own
+                # No run that starts in the best one can gain more than all the template has, less what lies between.
+                if best:
+                    if b not in own:
+                        beyond.add(b)
+                    if low > best[1] or (2 - t) * m - t * len(beyond) <= top:
+                        break
+                since = max(last.get(b, begin - 1) + 1, low)
+                last[b] = r
+                gains[since - begin : r + 1 - begin] += 2 - t if b in own else -t
+                if b in own and common >= least:
+                    l = low + int(gains[low - begin : r + 1 - begin].argmax())  # noqa: E741
+                    if gains[l - begin] > top + 1e-9 * bool(best):
+                        top, best = gains[l - begin], (l, r)
+                        beyond: set[tuple[str, str]] = set()
+            if not best:
+                return
+            l, r = best  # noqa: E741
+            held = set(pairs[l : r + 1])
+            n_common = len(held & own)
+            if not marks or held & marks:
+                yield n_common, 2.0 * n_common / (len(held) + m), l, r
+            begin = r + 1
+
+
+def matches(text: str, own: Templates) -> list[tuple[str, float, int, int]]:
+    """(licence, dice, line, n_passages) of a text, by licence."""
+    lines = [tokens(part) for part in text.split("\n")]
+    whole = [w for words in lines for w in words] if len(lines) > 1 else lines[0]
+    starts = [0]
+    for words in lines:
+        starts.append(starts[-1] + len(words))
+    best: dict[str, list] = {}
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for number, part in [(0, whole)] * (len(lines) > 1) + list(enumerate(lines, 1)):
+        for name, dice in own.compare(part):
+            seen = best.setdefault(name, [dice, number, 0])
+            seen[2] += 1
+            spans.setdefault(name, []).append((starts[number - 1], starts[number]) if number else (0, len(whole)))
+            if dice > seen[0]:
+                seen[:2] = dice, number
+    for name, dice, a, b in sorted(own.runs(whole), key=lambda r: r[2]):
+        if any(a < y and b > x for x, y in spans.get(name, ())):
+            continue
+        number = bisect_right(starts, a)
+        seen = best.setdefault(name, [dice, number, 0])
+        seen[2] += 1
+        if (-dice, number) < (-seen[0], seen[1]):
+            seen[:2] = dice, number
+    return [(name, dice, number, n) for name, (dice, number, n) in sorted(best.items())]
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """id, licence, dice, line (from 1; 0: the whole text), n_passages: a row for each licence found in a row's text."""
@@ -126,16 +248,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         for batch in batches:
             at, names, scores, lines, counts = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                text = value.as_py() or ""
-                parts = text.split("\n")
-                best: dict[str, list] = {}
-                for number, part in [(0, text)] * (len(parts) > 1) + list(enumerate(parts, 1)):
-                    for name, dice in own.compare(part):
-                        seen = best.setdefault(name, [dice, number, 0])
-                        seen[2] += 1
-                        if dice > seen[0]:
-                            seen[:2] = dice, number
-                for name, (dice, number, n) in sorted(best.items()):
+                for name, dice, number, n in matches(value.as_py() or "", own):
                     at.append(i), names.append(name), scores.append(dice), lines.append(number), counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lines, pa.int32()), pa.array(counts, pa.int64())], [id_col, "licence", "dice", "line", "n_passages"])
 

@@ -307,3 +307,16 @@ def test_licence_wordings_from_outside_the_templates(spark):
     found = licences_of(spark, *[f"{PROSE}\n{line}\n{PROSE}" for line in lines], bsd)
     assert all(found[i].licence.startswith(name) for i, name in enumerate(lines.values()))
     assert "BSD-3-Clause-text" in {r.licence for r in licences.scan(spark.createDataFrame([(1, bsd)], "doc_id long, text string")).collect()}
+
+
+def test_licences_across_lines_and_within_long_ones(spark):
+    import textwrap
+
+    notice = "\n".join(f"# {x}" for x in textwrap.wrap(licences.TEMPLATES["Apache-2.0-notice"], 72))
+    filler = "\n".join(" ".join(f"v{i}x{j}" for j in range(12)) for i in range(300))
+    texts = [f"# Copyright 2020 Someone\n\n{notice}\n\n{filler}", f"{filler}\n{notice}\n{filler}\n{notice}", f"{filler.replace(chr(10), ' ')} Licensed under CC BY-SA 4.0. {PROSE}"]
+    found = licences_of(spark, *texts)
+    assert found[0].licence == "Apache-2.0-notice" and found[0].line == 3 and found[0].n_passages == 1 and found[0].dice > 0.99
+    assert found[1].licence == "Apache-2.0-notice" and found[1].line == 301 and found[1].n_passages == 2
+    assert found[2].licence == "CC-BY-SA-4.0-short" and found[2].line == 1 and found[2].dice == 1.0
+    assert len(licences_of(spark, f"{filler}\nSPDX-License-Identifier: Unheard-Of-1.0\n{filler}")) == 0
