@@ -4,9 +4,10 @@ Patterns give the base spans: e-mail addresses, IPv4 addresses, card numbers (Lu
 random field then labels the remaining tokens that hold a digit or an @. Its potentials: log-linear
 token features; a chain between neighbours; skip edges between occurrences, however far apart, of the
 same or a similar token (equal address name, equal digits or equal last seven digits), each linked to
-the next one. Base spans are observed. Loopy sum-product messages pass until they settle, so what is
-labelled once in a document is labelled wherever it turns up again; tokens whose belief in one entity
-reaches ``SURE`` become further spans. Weights are fitted in numpy on a bounded sample of documents
+the next one and to the nearest that a base span covers, so that belief does not fade with the number of
+mentions between. Base spans are observed. Loopy sum-product messages pass until they settle (with a bound
+of ``ROUNDS`` and four for each token), so what is labelled once in a document is labelled wherever it turns
+up again; tokens whose belief in one entity reaches ``SURE`` become further spans. Weights are fitted in numpy on a bounded sample of documents
 whose base spans serve as labels; the skip weight is the log-odds of agreement seen there.
 
 Defined results: null texts are empty ones; spans count code points, end exclusive; base spans stay as
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that the weights are fitted on, at most about.
 FIT_ROWS = 4000
 SURE = 0.9
+#: Rounds of messages, at most, besides those that grow with the tokens.
 ROUNDS = 20
 
 Span = tuple[str, int, int]
@@ -169,19 +172,38 @@ def edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, i
     return chain, skip
 
 
+def ties(tokens: list[Token], known: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Skip edges between tokens that no base span covers and the nearest one of their key that is, but for ``known`` edges."""
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        if t.key and t.observed:
+            places.setdefault(t.key, []).append(i)
+    out = []
+    for i, t in enumerate(tokens):
+        if not t.observed and (own := places.get(t.key)):
+            at = bisect(own, i)
+            j = min(own[max(0, at - 1) : at + 1], key=lambda j: abs(i - j))
+            pair = (min(i, j), max(i, j))
+            if pair not in known:
+                out.append(pair)
+    return out
+
+
 def beliefs(text: str, tokens: list[Token], model: Field) -> np.ndarray:
     """Marginals (tokens x labels) by loopy sum-product with damping."""
     labels = len(KINDS) + 1
     local = np.array([model.unary[features(t, text[t.start - 1 : t.start] or " ")].sum(0) for t in tokens])
     for i, t in enumerate(tokens):
         if t.observed:
-            local[i] = -50.0
+            # So low that no number of messages from other mentions outweighs what is observed.
+            local[i] = -1e9
             local[i, t.observed] = 0.0
-    local = np.exp(local - local.max(1, keepdims=True))
     chain, skip = edges(tokens)
+    skip += ties(tokens, {*chain, *skip})
     pairs = chain + skip
     if not pairs:
-        return local / local.sum(1, keepdims=True)
+        out = np.exp(local - local.max(1, keepdims=True))
+        return out / out.sum(1, keepdims=True)
     agree = np.exp(model.skip * np.eye(labels))
     tables = np.array([np.exp(model.chain)] * len(chain) + [agree] * len(skip))
     source = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
@@ -189,8 +211,8 @@ def beliefs(text: str, tokens: list[Token], model: Field) -> np.ndarray:
     tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
     messages = np.full((len(source), labels), 1.0 / labels)
-    for _ in range(ROUNDS):
-        total = np.log(local + 1e-300)
+    for _ in range(ROUNDS + 4 * len(tokens)):
+        total = local.copy()
         np.add.at(total, target, np.log(messages + 1e-300))
         rest = total[source] - np.log(messages[back] + 1e-300)
         rest = np.exp(rest - rest.max(1, keepdims=True))
@@ -200,7 +222,7 @@ def beliefs(text: str, tokens: list[Token], model: Field) -> np.ndarray:
         messages = 0.5 * messages + 0.5 * new
         if moved < 1e-4:
             break
-    total = np.log(local + 1e-300)
+    total = local.copy()
     np.add.at(total, target, np.log(messages + 1e-300))
     out = np.exp(total - total.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)

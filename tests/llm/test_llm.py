@@ -320,3 +320,20 @@ def test_licences_across_lines_and_within_long_ones(spark):
     assert found[1].licence == "Apache-2.0-notice" and found[1].line == 301 and found[1].n_passages == 2
     assert found[2].licence == "CC-BY-SA-4.0-short" and found[2].line == 1 and found[2].dice == 1.0
     assert len(licences_of(spark, f"{filler}\nSPDX-License-Identifier: Unheard-Of-1.0\n{filler}")) == 0
+
+
+@pytest.mark.parametrize(("local", "n"), [(0.0, 100), (1.0, 100), (1.0, 1500)])
+def test_a_label_reaches_all_mentions_of_a_long_text(local, n):
+    model = pii.Field(skip=8.0)
+    model.unary[0, 0] = local
+    text = "Call +1 (171) 555-2028 now. " + "".join(f"Then {'word ' * 20}1715552028 again. " for _ in range(n))
+    more = pii.further_spans(text, pii.base_spans(text), model)
+    assert [text[a:b] for _, a, b in more] == ["1715552028"] * n
+    assert "555" not in pii.redact(text, model)
+
+
+def test_messages_settle_along_a_chain_of_unseen_mentions():
+    model = pii.Field(skip=8.0)
+    model.unary[9, 4] = 12.0  # only the first mention, an odd form, tells its kind
+    tokens = pii.candidates("1.7.1.5552028 " + "word 1715552028 " * 40, [])
+    assert (pii.beliefs("1.7.1.5552028 " + "word 1715552028 " * 40, tokens, model).argmax(1) == 4).all()
