@@ -24,10 +24,11 @@ from math import exp, log, log1p, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import bounded_sample, materialised, remainder
+from skyloom.llm.simhash import near_duplicates
 
 #: Labelled rows that the token table and the calibration are fitted on, at most about.
 FIT_ROWS = 20_000
@@ -153,15 +154,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(slope, 0.0), intercept
 
 
+def one_a_class(rows: DataFrame) -> DataFrame:
+    """text and toxic of rows (id, text, toxic): the smallest id of each label and class of near-duplicates of the whole text.
+
+    Copies and near copies would make their rare words evidence. Texts that only share an opening or an
+    ending are no copies.
+    """
+    # Of equal texts one goes on; ids may repeat, so rows are told apart by a number of their own.
+    first = F.row_number().over(Window.partitionBy("text", "toxic").orderBy("id"))
+    rows = materialised(rows.withColumn("nth", first).where("nth = 1").drop("nth").withColumn("row", F.monotonically_increasing_id()))
+    classes = near_duplicates(rows, "row", "text").select("row", "component_id")
+    first = F.row_number().over(Window.partitionBy("component_id", "toxic").orderBy("id", "text"))
+    return rows.join(classes, "row").withColumn("nth", first).where("nth = 1").select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS) -> Model:
     """A model from the labelled rows whose remainder modulo 4 is not 2."""
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = bounded_sample(known, F.col("id"), most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").where("text IS NOT NULL")
-    # Copies and near copies would make their rare words evidence: one row a label, opening and ending teaches.
-    for edge in (F.substring("text", 1, 40), F.substring("text", -40, 40)):
-        rows = rows.withColumn("edge", F.xxhash64(edge)).dropDuplicates(["edge", "toxic"]).drop("edge")
-    rows = materialised(rows.select("text", "toxic"))
+    rows = materialised(one_a_class(rows))
     table = token_table(rows)
     bad, n = table.attrs["bad"], table.attrs["n"]
     if not 0 < bad < n:

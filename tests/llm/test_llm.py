@@ -337,3 +337,12 @@ def test_messages_settle_along_a_chain_of_unseen_mentions():
     model.unary[9, 4] = 12.0  # only the first mention, an odd form, tells its kind
     tokens = pii.candidates("1.7.1.5552028 " + "word 1715552028 " * 40, [])
     assert (pii.beliefs("1.7.1.5552028 " + "word 1715552028 " * 40, tokens, model).argmax(1) == 4).all()
+
+
+def test_only_whole_text_copies_teach_once(spark):
+    header, footer = "The notes of the harbour office, volume number two. ", " This page is published under the terms of the office, as ever."
+    own = [header + " ".join(f"w{i}x{j}" for j in range(80)) + footer for i in range(30)]
+    near = own[0].replace("w0x40 ", "w0x40  ")
+    rows = [(i + 10, t, 0) for i, t in enumerate(own)] + [(5, own[0], 0), (6, near, 0), (7, near, 1), (5, own[1], 0)]
+    kept = sorted((r.text, r.toxic) for r in toxicity.one_a_class(spark.createDataFrame(rows, "id long, text string, toxic int")).collect())
+    assert kept == sorted([(t, 0) for t in own] + [(near, 1)])
