@@ -427,6 +427,21 @@ def plan_log_matches(spark, sf_dir):
     return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
 
 
+@query()
+def plan_log_matches_all(spark, sf_dir):
+    """Every log as a plan, a third of the plans without a day, which meet all logs."""
+    k, u = F.col("event_id"), F.col("user_id")
+    lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
+    logs = _t(spark, sf_dir, "events").select(
+        k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
+    )
+    plans = logs.select(
+        F.col("log_id").alias("plan_id"), F.when(F.col("log_id") % 3 != 0, F.col("day")).alias("day"),
+        F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
+    )
+    return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
+
+
 @query("""SELECT event_id, round(value * 0.3048, 6) AS metres, round((value - 32) / 1.8, 6) AS celsius, round(value * 1.852, 6) AS kph FROM events""")
 def display_units(spark, sf_dir):
     v = F.col("value")

@@ -169,3 +169,28 @@ def test_clusters_are_named_after_their_own_fix(spark):
     fixes = spark.createDataFrame([("N", "OBSCURE", False, 0.2, 0.0), ("N", "VOR", True, 0.2, 0.05), ("N", "BETWEEN", True, 0.2, 0.5), ("N", "EAST", False, 0.2, 1.0), ("S", "FAR", True, 5.0, 5.0)], "way string, fix string, navaid boolean, lat double, lon double")
     found = {(r.way, r.cluster): r.label for r in corridor.labelled(corridor.fix_distances(tracks, fixes, "way"), "way").collect()}
     assert found == {("N", 0): "VOR", ("N", 1): "EAST", ("S", 0): "Group 1"}
+
+
+def test_plans_without_a_day_meet_all_logs(spark, sf_dir):
+    from skyloom.plans import catalogue
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.to_date("ts").alias("day")).toPandas()
+    k, u, day = (events[c].to_numpy() for c in ("event_id", "user_id", "day"))
+    lat, lon = (k * 37 % 60).astype(float), (k * 53 % 300 - 150).astype(float)
+    first, last = (lat + 0.05 * (u % 3), lon), (lat, lon + 0.02 * (u % 5))
+
+    def nm(a, b):
+        x, y, z, w = (np.radians(v) for v in (*a, *b))
+        h = np.sin((z - x) / 2) ** 2 + np.cos(x) * np.cos(z) * np.sin((w - y) / 2) ** 2
+        return 2 * geo.RADIUS_NM * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+    expected = {}
+    for i in range(len(k)):
+        start, end = nm(first, (last[0][i], first[1][i])), nm(last, (first[0][i], last[1][i]))
+        ok = (start <= 12) & (end <= 12) & ((day == day[i]) | (k[i] % 3 == 0))
+        if ok.any():
+            expected[int(k[i])] = (int(ok.sum()), float((start + end)[ok].min()))
+    found = {r.plan_id: (r.n, r.best) for r in catalogue.queries()["plan_log_matches_all"](spark, sf_dir).collect()}
+    assert found.keys() == expected.keys() and len(found) == len(k)
+    assert all(found[i][0] == expected[i][0] and abs(found[i][1] - expected[i][1]) < 1e-5 for i in found)
+    assert max(n for i, (n, _) in found.items() if i % 3 == 0) > max(n for i, (n, _) in found.items() if i % 3)
