@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.session import materialised as materialised
+
 #: The characters that part words (space, tab to carriage return).
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -50,22 +51,6 @@ def bounded_sample(rows: DataFrame, key: Column, most: int, total: int | None =
     return rows.where(F.xxhash64(key, F.lit(11)) < F.lit(2**64 * most // n - 2**63))
 
 
-def materialised(frame: DataFrame) -> DataFrame:
-    """The frame's rows written to reliable shared storage and read back, with its lineage cut.
-
-    ``checkpoint()`` goes to the folder of ``spark.checkpoint.dir``; only where a session has none
-    (local tests) a folder below the warehouse is set.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
-        )
-    return frame.checkpoint(eager=True)
-
-
 def unique_names(frame: DataFrame, wanted: Sequence[str]) -> list[str]:
     """Names for helper columns that clash with none of the frame's columns."""
     taken = {c.lower() for c in frame.columns}

@@ -33,7 +33,8 @@ def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str, poin
     """point_key and the place with the least squared distance in degrees, of those in the cells around.
 
     ``places`` has ``place``, lat, lon. Points meet places of their own and the eight cells around by an
-    equality join, so work follows the density and not the product; farther places are not neighbours.
+    equality join, so work follows the density and not the product; farther places are not neighbours
+    (``nearest_of_all`` has no such limit).
     """
     from skyloom.functions.geo import squared_degrees
 
@@ -47,6 +48,43 @@ def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str, poin
     return points.join(best, list(point_key), "left")
 
 
+def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, cell: float = 1.0) -> DataFrame:
+    """``points`` with the place of the least squared distance in degrees, however far; ties go to the first by name.
+
+    As ``nearest_place``, over cells that double in size for the points still open. A point is settled once
+    its best is no farther than a cell's side, as every place so near is in the nine cells; at last the cells
+    hold all places. Only points or places without coordinates stay without.
+    """
+    from skyloom.functions.geo import squared_degrees
+    from skyloom.session import materialised
+
+    near = places.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    ends = lambda rows, a, b: rows.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
+    at = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*point_key, F.col(lat).alias("__a"), F.col(lon).alias("__b"))
+    found = at.where("false").select(*point_key, F.lit(None).cast(near.schema[place].dataType).alias(place))
+    box, own = ends(near, "__lat", "__lon"), ends(at, "__a", "__b")
+    if None in (*box, *own):
+        return points.join(found, list(point_key), "left")
+    widest = max(max(box[1], own[1]) - min(box[0], own[0]), max(box[3], own[3]) - min(box[2], own[2]))
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    d = squared_degrees(F.col("__a"), F.col("__b"), F.col("__lat"), F.col("__lon"))
+    while True:
+        last = cell > widest
+        around = near.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
+        around = around.withColumn("__y", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__x", F.floor(F.col("__lon") / cell) + F.col("__dx"))
+        cells = at.withColumn("__y", F.floor(F.col("__a") / cell)).withColumn("__x", F.floor(F.col("__b") / cell))
+        best = cells.join(around, ["__y", "__x"]).groupBy(*point_key).agg(F.min(F.struct(d.alias("d"), F.col(place))).alias("__best"))
+        sure = materialised(best.where(F.lit(last) | (F.col("__best.d") <= cell * cell)).select(*point_key, F.col(f"__best.{place}").alias(place)))
+        found = found.unionByName(sure)
+        if last:
+            break
+        at = materialised(at.join(sure, list(point_key), "left_anti"))
+        if at.isEmpty():
+            break
+        cell *= 2
+    return points.join(found, list(point_key), "left")
+
+
 def abeam(plan: DataFrame, track: DataFrame, key: Sequence[str]) -> DataFrame:
     """For each planned waypoint (key, seq, lat, lon) the nearest row (row_idx, lat, lon) of the same key's track."""
     from skyloom.functions.geo import distance_nm

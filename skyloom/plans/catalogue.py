@@ -442,6 +442,16 @@ def plan_log_matches_all(spark, sf_dir):
     return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
 
 
+@query("""WITH p AS (SELECT event_id, (event_id * 37 % 170 - 85)::DOUBLE AS lat, (event_id * 53 % 350 - 175)::DOUBLE AS lon FROM events),
+s AS (SELECT s_suppkey, (s_suppkey * 7 % 60)::DOUBLE + 0.25 AS slat, (s_suppkey * 11 % 90)::DOUBLE + 0.5 AS slon FROM supplier)
+SELECT event_id, arg_min(s_suppkey, ((lat - slat) * (lat - slat) + (lon - slon) * (lon - slon), s_suppkey)) AS s_suppkey FROM p, s GROUP BY event_id""")
+def nearest_airport(spark, sf_dir):
+    k, s = F.col("event_id"), F.col("s_suppkey")
+    points = _t(spark, sf_dir, "events").select(k, (k * 37 % 170 - 85).cast("double").alias("lat"), (k * 53 % 350 - 175).cast("double").alias("lon"))
+    places = _t(spark, sf_dir, "supplier").select(s, ((s * 7 % 60).cast("double") + 0.25).alias("lat"), ((s * 11 % 90).cast("double") + 0.5).alias("lon"))
+    return joins.nearest_of_all(points, places, "lat", "lon", ["event_id"], "s_suppkey").select("event_id", "s_suppkey")
+
+
 @query("""SELECT event_id, round(value * 0.3048, 6) AS metres, round((value - 32) / 1.8, 6) AS celsius, round(value * 1.852, 6) AS kph FROM events""")
 def display_units(spark, sf_dir):
     v = F.col("value")

@@ -1,13 +1,14 @@
-"""Sessions: sending this package to executors."""
+"""Sessions: sending this package to executors, rows written and read back."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def send_package(spark: SparkSession, root: str) -> None:
@@ -28,3 +29,19 @@ def send_package(spark: SparkSession, root: str) -> None:
         f.write(data.getvalue())
     context.addPyFile(path)
     context._skyloom_sent = True
+
+
+def materialised(frame: DataFrame) -> DataFrame:
+    """The frame's rows written to reliable shared storage and read back, with its lineage cut.
+
+    ``checkpoint()`` goes to the folder of ``spark.checkpoint.dir``; only where a session has none
+    (local tests) a folder below the warehouse is set.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None)
+            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+        )
+    return frame.checkpoint(eager=True)

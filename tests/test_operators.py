@@ -171,6 +171,17 @@ def test_clusters_are_named_after_their_own_fix(spark):
     assert found == {("N", 0): "VOR", ("N", 1): "EAST", ("S", 0): "Group 1"}
 
 
+def test_nearest_place_has_no_range_limit(spark):
+    rng = np.random.default_rng(7)
+    places = [(f"P{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-60, 20, 60), rng.uniform(-170, 30, 60), strict=True))] + [("NONE", None, 1.0)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True))] + [(900, None, 0.0)]
+    at, near = spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(places, "ident string, lat double, lon double")
+    found = {r.id: r.ident for r in joins.nearest_of_all(at, near, "lat", "lon", ["id"], "ident").collect()}
+    expected = {i: min(((a - x) ** 2 + (b - y) ** 2, p) for p, x, y in places[:-1])[1] for i, a, b in points[:-1]}
+    assert found == expected | {900: None}
+    assert {r.ident for r in joins.nearest_of_all(at, near.limit(0), "lat", "lon", ["id"], "ident").collect()} == {None}
+
+
 def test_plans_without_a_day_meet_all_logs(spark, sf_dir):
     from skyloom.plans import catalogue
 
