@@ -160,12 +160,13 @@ def one_a_class(rows: DataFrame) -> DataFrame:
     Copies and near copies would make their rare words evidence. Texts that only share an opening or an
     ending are no copies.
     """
-    # Of equal texts one goes on; ids may repeat, so rows are told apart by a number of their own.
-    first = F.row_number().over(Window.partitionBy("text", "toxic").orderBy("id"))
-    rows = materialised(rows.withColumn("nth", first).where("nth = 1").drop("nth").withColumn("row", F.monotonically_increasing_id()))
+    # Ids may repeat, so rows are told apart by a number of their own; texts are written once and not moved again.
+    rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()))
     classes = near_duplicates(rows, "row", "text").select("row", "component_id")
-    first = F.row_number().over(Window.partitionBy("component_id", "toxic").orderBy("id", "text"))
-    return rows.join(classes, "row").withColumn("nth", first).where("nth = 1").select("text", "toxic")
+    small = rows.select("row", "id", "toxic", F.sha2("text", 256).alias("sha")).join(classes, "row")
+    first = F.row_number().over(Window.partitionBy("component_id", "toxic").orderBy("id", "sha"))
+    kept = materialised(small.withColumn("nth", first).where("nth = 1").select("row"))
+    return rows.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS) -> Model:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = bounded_sample(known, F.col("id"), most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").where("text IS NOT NULL")
-    rows = materialised(one_a_class(rows))
+    rows = one_a_class(rows)
     table = token_table(rows)
     bad, n = table.attrs["bad"], table.attrs["n"]
     if not 0 < bad < n:
