@@ -31,17 +31,34 @@ def send_package(spark: SparkSession, root: str) -> None:
     context._skyloom_sent = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local session without one uses its warehouse; a cluster without one is refused, as its executors
+    would write to their own disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
+
+
 def materialised(frame: DataFrame) -> DataFrame:
-    """The frame's rows written to reliable shared storage and read back, with its lineage cut.
+    """The frame's rows written to reliable shared storage (``shared_folder``) and read back, with its lineage cut.
 
-    ``checkpoint()`` goes to the folder of ``spark.checkpoint.dir``; only where a session has none
-    (local tests) a folder below the warehouse is set.
+    Spark removes the files once the frame is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
-        )
+        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints-{uuid.uuid4().hex}")
     return frame.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of shared storage that this library wrote."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
