@@ -3,6 +3,7 @@
 Each round hangs every node's larger neighbours on its smallest one, then flattens the hanging; the
 number of rounds grows with the logarithm of the longest path. Edges live in Spark tables only, and
 each round's table goes to the shared checkpoint folder, so a lost executor costs one round at most.
+A node with very many neighbours meets them where they are, so that no task gets them all.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import materialised
+from skyloom.llm.common import join_by_size, materialised
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the smallest of u and its neighbours; the minimum is summed before the shuffle."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return join_by_size(edges, least, ["u"], "n").drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:

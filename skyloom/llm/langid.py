@@ -8,7 +8,7 @@ whole texts. A temperature and a rejection threshold are calibrated on a part of
 training does not see.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and are rejected; rows
-with a null language teach nothing; with no labelled rows at all every text is ``und``; equal scores go
+with a null language teach nothing, rows that repeat in id, text and language once; with no labelled rows at all every text is ``und``; equal scores go
 to the language that sorts first; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
 DIMS = 16
-#: Labelled rows that the model is fitted on, at most about.
+#: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 3000
 EPOCHS = 6
 #: Share of accepted calibration rows that may be wrong.
@@ -168,8 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from a bounded sample of the rows with a language, those that ``labelled`` allows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if labelled is None else labelled).alias("ok"))
     rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL")
-    total = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if labelled is None else labelled)).count()
-    sample = bounded_sample(rows, F.col("id"), most, total).select("text", "lang")
+    sample = bounded_sample(rows, ["id", "text", "lang"], most).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +177,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     got = sample.mapInArrow(count, "at array<int>, n array<float>, lang string").toArrow().sort_by([("lang", "ascending")]).to_pandas()
     rows = [(np.asarray(a, np.int32), np.asarray(n, np.float32), c) for a, n, c in zip(got["at"], got["n"], got["lang"], strict=True)]
-    rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), int(r[0].sum())))  # rows come in any order
+    rows.sort(key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))  # rows come in any order
     return train(rows)
 
 

@@ -7,8 +7,9 @@ same or a similar token (equal address name, equal digits or equal last seven di
 the next one and to the nearest that a base span covers, so that belief does not fade with the number of
 mentions between. Base spans are observed. Loopy sum-product messages pass until they settle (with a bound
 of ``ROUNDS`` and four for each token), so what is labelled once in a document is labelled wherever it turns
-up again; tokens whose belief in one entity reaches ``SURE`` become further spans. Weights are fitted in numpy on a bounded sample of documents
-whose base spans serve as labels; the skip weight is the log-odds of agreement seen there.
+up again; tokens whose belief in one entity reaches ``SURE`` become further spans. All weights are trained
+together, by pseudo-likelihood, on a bounded sample of documents whose base spans serve as labels; each span
+is mentioned once more there in a bare form that no pattern matches, so that the skip weight is learnt.
 
 Defined results: null texts are empty ones; spans count code points, end exclusive; base spans stay as
 they are, further spans never overlap them; rows are handled one by one and whole, so repeated rows
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_sample
+from skyloom.llm.common import bounded_sample, materialised
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the weights are fitted on, at most about.
+#: Documents that the weights are fitted on, at most, and tokens of theirs.
 FIT_ROWS = 4000
-SURE = 0.9
+FIT_TOKENS = 400_000
+SURE = 0.8
 #: Rounds of messages, at most, besides those that grow with the tokens.
 ROUNDS = 20
 
@@ -252,59 +254,96 @@ def further_spans(text: str, base: list[Span], model: Field) -> list[Span]:
     return out
 
 
-def train(found: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 300) -> Field:
-    """Weights from (features, labels, chain edges, skip edges) of each sampled document."""
+Lesson = tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]
+
+
+def lesson(text: str) -> Lesson | None:
+    """(features, labels, chain edges, skip edges) that a document teaches; None without candidates.
+
+    Base spans give the labels; other tokens are of no kind, but for those that repeat what a base span
+    holds: their label is hidden (-1). In their place each labelled token is mentioned once more without its
+    context and punctuation, tied to it by a skip edge, so that the field learns mentions that no pattern matches.
+    """
+    base = base_spans(text)
+    own = candidates(text, base)
+    if not own:
+        return None
+    chain, skip = edges(own)
+    known = {t.key: i for i, t in enumerate(own) if t.observed and t.key}
+    marks = [t.observed if t.observed or t.key not in known else -1 for t in own]
+    feats = [features(t, text[t.start - 1 : t.start] or " ") for t in own]
+    for key, i in known.items():
+        t = own[i]
+        whole = next((d for _, a, b in base if a <= t.start < b and (d := _digits(text[a:b])).endswith(key)), "")
+        bare = t.text.partition("@")[0] + "@" if "@" in t.text else whole or _digits(t.text)
+        skip.append((i, len(feats)))
+        feats.append(features(Token(0, len(bare), bare, 0, key), " "))
+        marks.append(t.observed)
+    return feats, marks, chain, skip
+
+
+def train(found: list[Lesson], steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> Field:
+    """All weights of the field together, by its pseudo-likelihood: the chance of each known label, given the
+    token's features and the labels of its neighbours on chain and skip edges. Adam steps in numpy."""
     labels = len(KINDS) + 1
     model = Field()
-    rows, truth = [], []
-    pair_counts, alone = np.ones((labels, labels)), np.ones(labels)
-    same, different = 1.0, 1.0
-    for feats, marks, chain, skip in found:
-        rows += feats
-        truth += marks
-        for i, j in chain:
-            pair_counts[marks[i], marks[j]] += 1
-            alone[marks[i]] += 1
-        for i, j in skip:
-            if marks[i] or marks[j]:
-                same, different = same + (marks[i] == marks[j]), different + (marks[i] != marks[j])
-    if not any(truth):
+    y = np.array([m for _, marks, _, _ in found for m in marks], np.int64)
+    if not (y > 0).any():
         model.unary[0, 0] = 20.0
         return model
-    x = np.zeros((len(rows), FEATURES))
-    for i, feats in enumerate(rows):
-        x[i, feats] = 1
-    y = np.eye(labels)[truth]
-    w = model.unary
-    for _ in range(steps):
-        p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
+    x = np.zeros((len(y), FEATURES))
+    left, right, same = (np.zeros((len(y), labels)) for _ in range(3))
+    at = 0
+    for feats, marks, chain, skip in found:
+        for i, own in enumerate(feats):
+            x[at + i, own] = 1
+        for pairs, to, back in ((chain, left, right), (skip, same, same)):
+            for i, j in pairs:
+                if marks[i] >= 0:
+                    to[at + j, marks[i]] += 1
+                if marks[j] >= 0:
+                    back[at + i, marks[j]] += 1
+        at += len(feats)
+    shown = (y >= 0)[:, None]
+    truth = np.eye(labels)[np.maximum(y, 0)]
+    w = np.zeros(FEATURES * labels + labels * labels + 1)
+    cut = FEATURES * labels, FEATURES * labels + labels * labels
+    mean, spread = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        unary, chained = w[: cut[0]].reshape(FEATURES, labels), w[cut[0] : cut[1]].reshape(labels, labels)
+        z = x @ unary + left @ chained + right @ chained.T + w[-1] * same
+        p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
-    # The chain's share is what neighbours say beyond the labels' own frequencies.
-    share = alone / alone.sum()
-    model.chain = np.clip(np.log(pair_counts / pair_counts.sum()) - np.log(np.outer(share, share)), -2, 2)
-    model.skip = float(np.clip(np.log(same / different) + 3.0, 1.0, 8.0))
-    return model
+        d = (p - truth) * shown / shown.sum()
+        slope = np.concatenate([(x.T @ d).ravel(), (left.T @ d + d.T @ right).ravel(), [(d * same).sum()]]) + ridge * w
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
+        w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-9)
+    return Field(w[: cut[0]].reshape(FEATURES, labels), w[cut[0] : cut[1]].reshape(labels, labels), float(w[-1]))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> Field:
-    """A field fitted on a bounded sample of documents with candidates."""
+    """A field fitted on a bounded sample of documents. Texts stay in the tasks; their feature numbers are
+    gathered, for ``FIT_TOKENS`` tokens at most, in the order of the documents' hashes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = bounded_sample(rows, F.col("id"), most, docs.count()).select("text")
-    kind = "feats array<array<int>>, marks array<int>, chain array<array<int>>, skip array<array<int>>"
+    sample = bounded_sample(rows, ["id", "text"], most)
+    sample = sample.select(F.xxhash64("id", "text").alias("h"), "text")
+    kind = "h long, feats array<array<int>>, marks array<int>, chain array<array<int>>, skip array<array<int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                if text and (own := candidates(text, base_spans(text))):
-                    chain, skip = edges(own)
-                    out.append(([features(t, text[t.start - 1 : t.start] or " ") for t in own], [t.observed for t in own], [list(e) for e in chain], [list(e) for e in skip]))
-            yield pd.DataFrame(out, columns=["feats", "marks", "chain", "skip"])
-
-    found = [(list(map(list, r.feats)), list(r.marks), list(map(tuple, r.chain)), list(map(tuple, r.skip))) for r in sample.mapInPandas(run, kind).collect()]
-    found.sort(key=repr)
-    return train(found)
+            out = [(h, *own) for h, text in zip(batch["h"], batch["text"], strict=True) if text and (own := lesson(text))]
+            yield pd.DataFrame(out, columns=["h", "feats", "marks", "chain", "skip"])
+
+    lessons = materialised(sample.mapInPandas(run, kind))
+    # A text may hold very many tokens: lessons are taken while their tokens fit the bound.
+    sizes = sorted((r.h, r.n) for r in lessons.select("h", F.size("marks").alias("n")).collect())
+    taken, total = [], 0
+    for h, n in sizes:
+        if total + n <= FIT_TOKENS:
+            taken.append(h)
+            total += n
+    rows = lessons.where(F.col("h").isin(taken)).collect() if len(taken) < len(sizes) else lessons.collect()
+    return train([(list(map(list, r.feats)), list(r.marks), list(map(tuple, r.chain)), list(map(tuple, r.skip))) for r in sorted(rows, key=lambda r: r.h)])
 
 
 def joined(spans: list[Span]) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_sample, materialised, unique_names
+from skyloom.llm.common import bounded_sample, join_by_size, materialised, unique_names
 from skyloom.llm.components import components
 
 BITS = 64
@@ -36,7 +36,6 @@ BITS = 64
 PLAN_SAMPLE = 20_000
 #: Distinct fingerprints that are compared with each other in one group, at most.
 GROUP = 4096
-SALTS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -187,7 +186,7 @@ def links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
     """(a, b): verified links between the distinct fingerprints ``fp`` that connect all that link."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = bounded_sample(distinct, F.col("fp"), PLAN_SAMPLE, n).limit(2 * PLAN_SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+    sample = np.sort(bounded_sample(distinct, ["fp"], PLAN_SAMPLE).toPandas()["fp"].to_numpy(np.int64))
     masks = first_masks(plan(sample, n, distance))
     keyed, found = distinct, None
     many = None
@@ -200,7 +199,7 @@ def links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
             rows = keyed.join(F.broadcast(many), "path").select("fp", F.col("child").alias("path"), "mask")  # a row a mask: a few hundred bytes
         rows = rows.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = rows.groupBy("path", "key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(sizes, ["path", "key"])
+        rows = join_by_size(rows, sizes, ["path", "key"], "size")
         small = rows.where(F.col("size") <= group).groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +212,9 @@ def links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
         if sizes.agg(F.max("size")).first()[0] is None or not sizes.where(F.col("size") > group).limit(1).count():
             break
         keyed = materialised(rows.where(F.col("size") > group).select("path", "fp"))
-        children = [(p, c) for p, m in enumerate(masks) for c in finer(m, distance)]
+        # Crowded paths alone go on: their children are a few rows for each.
+        crowded = {r[0] for r in keyed.select("path").distinct().collect()}
+        children = [(p, c) for p, m in enumerate(masks) if p in crowded for c in finer(m, distance)]
         many = spark.createDataFrame([(p, i, _signed(c)) for i, (p, c) in enumerate(children)], "path int, child int, mask long")
         masks = [c for _, c in children]
     return found
@@ -227,10 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_root = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = with_root.join(least, "root").select("fp", "component_id", "n_copies")
-    # One fingerprint may hold a third of all rows: its rows are dealt over the salts.
-    salted = of_print.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(salted, ["fp", "salt"])
+    # One fingerprint may hold a third of all rows.
+    out = join_by_size(prints, of_print, ["fp"], "n_copies")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 

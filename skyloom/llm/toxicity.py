@@ -7,12 +7,15 @@ is judged by the extreme-value law of the best segment in clean text of the same
 parameters fitted on the clean training texts, and the surprise of the text's best segment (plus that
 of its further significant ones) is mapped to a probability by a logistic fit.
 
-Counts are summed by Spark over a bounded sample of the labelled training rows; the table of scored
-tokens is bounded too, by strength of evidence.
+Counts are summed by Spark over a bounded sample of the labelled training rows. The model keeps the
+tokens whose evidence lies beyond three standard errors, the ``most_tokens`` strongest of them (a
+parameter of ``fit``); all others share one score.
 
 Defined results: null and tokenless texts have no segment and the least score; rows without a label
-teach nothing; without labels of both kinds every score is 0; several labels of an id count each;
-rows are scored whole and one by one; an empty table gives an empty result.
+teach nothing; without labels of both kinds every score is 0; several labels of an id count each, rows
+that repeat in id, text and label once; tokens of equal evidence are kept in their own order; of equal
+segments the first stands; rows are scored whole and one by one, in time linear in their tokens; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +33,15 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import bounded_sample, materialised, remainder
 from skyloom.llm.simhash import near_duplicates
 
-#: Labelled rows that the token table and the calibration are fitted on, at most about.
+#: Labelled rows that the token table and the calibration are fitted on, at most.
 FIT_ROWS = 20_000
 #: Tokens that carry scores, at most; all others score ``other``.
-TOKENS = 50_000
+TOKENS = 200_000
 PRIOR = 500.0
 LEAST_PRIOR = 0.5
 EVIDENCE = 3.0
 DRIFT = 0.02
 LARGEST = 6.0
-TOKEN = r"[\p{L}\p{N}]+"
 _find = re.compile(r"[^\W_]+").findall
 
 
@@ -74,43 +76,51 @@ class Model:
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """(score, first, end) of every maximal scoring segment, in one pass over the scores.
+    """(score, first, end) of every maximal scoring segment, in time linear in the scores.
 
-    Candidates wait on a stack with the running sums before and after them. A new positive run joins
-    the nearest candidate that starts lower when it ends higher than that one, and so on.
+    Candidates wait on a stack with the running sums before and after them, and with the place of the
+    nearest candidate below that starts lower. A new positive run joins the nearest one that starts lower
+    when it ends higher than that one, and so on. Candidates that start higher are passed over by those
+    places: whoever passes one hides it from all that follow, so each is passed once.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    stack: list[tuple[float, float, int, int, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        low, high, first = before, total, i
-        # Candidates that start at or above where this one starts cannot absorb it, nor be joined by it.
-        keep = len(stack)
+        low, first = before, i
+        k = len(stack) - 1
         while True:
-            k = keep - 1
             while k >= 0 and stack[k][0] >= low:
-                k -= 1
-            if k < 0 or stack[k][1] >= high:
+                k = stack[k][4]
+            if k < 0 or stack[k][1] >= total:
                 break
-            low, first = stack[k][0], stack[k][2]
+            low, _, first, _, lower = stack[k]
             del stack[k:]
-            keep = k
-        stack.append((low, high, first, i + 1))
-    return [(high - low, first, end) for low, high, first, end in stack]
+            k = lower
+        stack.append((low, total, first, i + 1, k))
+    return [(high - low, first, end) for low, high, first, end, _ in stack]
 
 
-def token_table(rows: DataFrame) -> pd.DataFrame:
+def token_table(rows: DataFrame, most: int = TOKENS) -> pd.DataFrame:
     """token, toxic and all rows that have it, for the tokens with the strongest evidence in rows (text, toxic)."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKEN})"), F.lit(1)))
-    bag = rows.select("toxic", F.explode(found).alias("token"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                own = [(toxic, t) for text, toxic in zip(part["text"], part["toxic"], strict=True) for t in set(tokens(text))]
+                yield pd.DataFrame(own, columns=["toxic", "token"])
+
+    bag = rows.select("text", "toxic").mapInPandas(run, "toxic int, token string")
     counts = bag.groupBy("token").agg(F.sum("toxic").cast("long").alias("bad"), F.count("*").alias("n"))
     # The order of evidence against chance keeps every token that could matter.
-    total = bag.agg(F.avg("toxic")).first()[0] or 0.0
-    z = F.abs(F.col("bad") - F.col("n") * total) / F.sqrt(F.col("n") * max(total * (1 - total), 1e-9))
+    counts = materialised(counts)
     sums = counts.agg(F.sum("bad"), F.sum("n")).first()
-    kept = counts.where(z >= EVIDENCE).orderBy(z.desc(), "token").limit(TOKENS).toPandas()
+    total = (sums[0] or 0) / (sums[1] or 1)
+    z = F.abs(F.col("bad") - F.col("n") * total) / F.sqrt(F.col("n") * max(total * (1 - total), 1e-9))
+    kept = counts.where(z >= EVIDENCE).orderBy(z.desc(), "token").limit(most).toPandas()
     kept.attrs |= {"bad": int(sums[0] or 0), "n": int(sums[1] or 0)}
     return kept
 
@@ -169,13 +179,13 @@ def one_a_class(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS, most_tokens: int = TOKENS) -> Model:
     """A model from the labelled rows whose remainder modulo 4 is not 2."""
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    known = bounded_sample(known, F.col("id"), most)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").where("text IS NOT NULL")
-    rows = one_a_class(rows)
-    table = token_table(rows)
+    known = bounded_sample(known, ["id", "toxic"], most)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").where("text IS NOT NULL")  # ``most`` rows at most
+    rows = one_a_class(bounded_sample(rows, ["id", "text", "toxic"], most))
+    table = token_table(rows, most_tokens)
     bad, n = table.attrs["bad"], table.attrs["n"]
     if not 0 < bad < n:
         return Model()
