@@ -130,7 +130,7 @@ def auc(score, truth):
     return (ranks[truth == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.75), ("op4_quality_rank", "quality", 0.95)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.9), ("op4_quality_rank", "quality", 0.98)])
 def test_held_out_ranking(name, label, least, spark):
     folder = "/root/testdata/sf0.1"
     found = queries.queries()[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
@@ -213,7 +213,9 @@ def test_mixture_meets_its_targets(spark):
     found = mixing.mixed_sizes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     assert (found["taken"] <= 3 * found["size"]).all()
     by = found.groupby("target").agg(taken=("taken", "sum"), n=("source_size", "nunique"))
-    assert (abs(by["taken"] / (by.index * by["n"]) - 1) < 0.03).all()
+    wanted = by.index * by["n"]
+    # Counts of slots are drawn: four standard deviations, and a block at a source's end.
+    assert (abs(by["taken"] - wanted) < 4 * mixing.BLOCK * (wanted / mixing.BLOCK) ** 0.5 + mixing.BLOCK).all()
 
 
 def test_mixture_caps_small_sources(spark):
