@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, langid, mixing, pii, simhash
+from skyloom.session import remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's rows are written as Parquet and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base}/corpus-{uuid.uuid4().hex}"
+    """All stages over the table documents; each stage's rows are written as Parquet and read again.
+
+    What a stage read is removed once its own rows are written; the last stage's rows stay for the reader.
+    Rows with null, empty or repeated ids, null or empty texts go through every stage by the rules that its operator
+    states; a text without a letter is rejected by the first. An empty table gives an empty result.
+    """
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return docs
