@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +10,10 @@ RADIUS_NM = 6371.0088 / 1.852
 
 
 def distance_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance; rounding never takes the sine's square beyond 1."""
+    """Haversine distance, null where a coordinate is; rounding never takes the sine's square beyond 1."""
     a, b = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     h = a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
-    return 2 * RADIUS_NM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * RADIUS_NM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -88,6 +86,3 @@ def midpoint(low: Column, high: Column, inset: float = 0.0) -> Column:
     """Struct mid, low, high of a range widened by a share of it on both sides."""
     more = (high - low) * inset
     return F.struct(((low + high) / 2).alias("mid"), (low - more).alias("low"), (high + more).alias("high"))
-
-
-EARTH = math.pi * RADIUS_NM

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.functions.geo import cross_track_nm, distance_nm
+from skyloom.functions.text import finite
 from skyloom.operators.joins import abeam
 from skyloom.operators.series import by, distance_run
 
@@ -53,18 +56,26 @@ def offset_profile(track: DataFrame, a: tuple[float, float], b: tuple[float, flo
 
 
 def complete_linkage(profiles: list[np.ndarray], most: float) -> list[int]:
-    """Cluster numbers by size: the closest two clusters join while all their members are within ``most`` (RMS)."""
+    """Cluster numbers by size: the closest two clusters join while all their members are within ``most`` (RMS).
+
+    Memory is one number for each pair of profiles. Of equally close pairs the first in the clusters' order joins.
+    """
     if not profiles:
         return []
     x = np.array(profiles, float).reshape(len(profiles), -1)
-    gap = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2))
+    gap = np.array([np.sqrt(((x - own) ** 2).mean(1)) for own in x])
+    gap[np.tril_indices(len(x))] = np.inf
     clusters = [[i] for i in range(len(x))]
     while len(clusters) > 1:
-        pairs = [(gap[np.ix_(a, b)].max(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
-        d, i, j = min(pairs)
-        if d > most:
+        i, j = divmod(int(gap.argmin()), len(clusters))
+        if gap[i, j] > most:
             break
         clusters[i] += clusters.pop(j)
+        # Distances to the joined cluster are the greater of both; each pair stands above the diagonal.
+        both = np.minimum(gap, gap.T)
+        joined = np.maximum(both[i], both[j])
+        gap[i, i + 1 :], gap[:i, i] = joined[i + 1 :], joined[:i]
+        gap = np.delete(np.delete(gap, j, 0), j, 1)
     clusters.sort(key=lambda c: -len(c))
     out = [0] * len(x)
     for number, members in enumerate(clusters):
@@ -129,24 +140,185 @@ def labelled(distances: DataFrame, group: str, near_nm: float = 8.0, apart_nm: f
     return rows.groupBy(group).applyInPandas(choose, kind)
 
 
-def classified(sequence: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], other: str = "Direct / other") -> Column:
-    """The first rule (label, fixes all needed, prefixes of which one is needed) that a fix sequence meets."""
-    out = None
-    for label, needed, prefixes in rules:
-        test = F.lit(True)
-        for fix in needed:
-            test = test & F.array_contains(sequence, fix)
-        if prefixes:
-            test = test & F.exists(sequence, lambda x, p=tuple(prefixes): F.coalesce(*[F.when(x.startswith(q), True) for q in p], F.lit(False)))
-        out = F.when(test, label) if out is None else out.when(test, label)
-    return F.lit(other) if out is None else out.otherwise(other)
+#: The route rules that are used where none are given, the first that holds first.
+RULES = (
+    {"label": "OCAS (low, OCK/LYD)", "any_prefix": ["M25"]},
+    {"label": "Airways + CMB shortcut", "any_of": ["GWC"], "all_of": ["CMB"]},
+    {"label": "Airways (no shortcut)", "any_of": ["GWC"]},
+    {"label": "OCAS (low, OCK/LYD)", "any_of": ["OCK", "LYD", "LZD", "RINTI", "DVR"]},
+)
+
+
+def classified(sequence: Column, rules: Sequence[Mapping[str, object]] = RULES, altitude: Column | None = None, other: str = "Direct / other") -> Column:
+    """The label of the first rule that a fix sequence (and the highest altitude) meets.
+
+    A rule's tests, all of which must hold: all_of, any_of, none_of (fixes), any_prefix (of a fix), alt_above, alt_below.
+    An unknown altitude is neither above nor below.
+    """
+    out = F.lit(other)
+    for rule in reversed(rules):
+        tests = [F.array_contains(sequence, fix) for fix in rule.get("all_of", ())]
+        if rule.get("any_of"):
+            tests.append(F.arrays_overlap(sequence, F.array(*map(F.lit, rule["any_of"]))))
+        if rule.get("any_prefix"):
+            tests.append(_any_starts_with(sequence, rule["any_prefix"]))
+        tests += [~F.array_contains(sequence, fix) for fix in rule.get("none_of", ())]
+        if "alt_above" in rule:
+            tests.append(altitude > rule["alt_above"])
+        if "alt_below" in rule:
+            tests.append(altitude < rule["alt_below"])
+        out = F.when(reduce(and_, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(True)), rule["label"]).otherwise(out)
+    return out
+
+
+def _any_starts_with(sequence: Column, prefixes: Sequence[str]) -> Column:
+    return F.exists(sequence, lambda x: reduce(or_, [x.startswith(p) for p in prefixes]))
+
+
+def renamed(label: Column, names: Mapping[str, str]) -> Column:
+    """The name given to a label, else the label."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[label], label) if names else label
+
+
+def last_events(events: DataFrame, key: Sequence[str], ident: str, order: Sequence[str]) -> DataFrame:
+    """The last event of each name."""
+    return events.groupBy(*[F.col(k).alias(f"__{k}") for k in key], F.col(ident).alias("__i")).agg(F.max_by(F.struct(*events.columns), F.struct(*order)).alias("__row")).select("__row.*")
+
+
+def with_events(plan: DataFrame, events: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``plan`` (key, name) with the values of the last event of the waypoint's name; null where it was never flown to."""
+    own = last_events(events, key, "name", order).select(*key, "name", *[F.col(v).alias(f"event_{v}") for v in values])
+    return plan.join(own, [*key, "name"], "left")
+
+
+def accuracy(legs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Mean errors and fuel sums of each plan over its reliable legs.
+
+    ``legs``: key, reliable, overflown, actual_gs, planned_gs, actual_time_s, planned_time_s, actual_fuel, planned_fuel,
+    actual_fuel_tank, headwind_actual, headwind_planned. Speeds and times of 0 count as unknown.
+    """
+    told = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
+    sure = lambda x: F.when(F.col("reliable"), x)
+    total = lambda c: F.round(F.coalesce(F.sum(sure(F.col(c))), F.lit(0.0)), 1)
+    return legs.groupBy(*key).agg(
+        F.count(F.when(F.col("reliable"), 1)).alias("n_reliable_legs"), F.round(F.avg(sure(told("actual_gs") - told("planned_gs"))), 1).alias("mean_gs_err_kt"),
+        F.round(F.avg(sure(told("actual_time_s") - told("planned_time_s")))).alias("mean_leg_time_err_s"), F.round(F.avg(sure(F.col("actual_fuel") - F.col("planned_fuel"))), 2).alias("mean_leg_fuel_err_gal"),
+        F.round(F.avg(F.when(F.col("overflown"), F.col("headwind_actual") - F.col("headwind_planned"))), 1).alias("mean_headwind_err_kt"),
+        total("planned_fuel").alias("reliable_fuel_plan_gal"), total("actual_fuel").alias("reliable_fuel_totaliser_gal"), total("actual_fuel_tank").alias("reliable_fuel_tank_gal"),
+    )
+
+
+def flown_totals(track: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Distance, airborne time (first to last row faster than 40), burn and fuel left of each log (elapsed, lat, lon, gs, fuel_burn, fuel).
+
+    Fuel that reads 1 gallon or less tells nothing; a log that never flew has its whole time.
+    """
+    rows = distance_run(track, "lat", "lon", key, order, "__run")
+    fast = F.when(F.col("gs") > 40, F.col("elapsed"))
+    told = F.when(F.col("fuel") > 1, F.struct(*order))
+    out = rows.groupBy(*key).agg(
+        F.round(F.max("__run"), 1).alias("flown_dist_nm"), F.round(F.coalesce(F.max(fast) - F.min(fast), F.max("elapsed") - F.min("elapsed"))).alias("airborne_s"),
+        F.min_by("fuel", told).alias("fuel_start_gal"), F.max_by("fuel", told).alias("fuel_end_gal"), F.round(F.max_by("fuel_burn", F.struct(*order)), 1).alias("burned_gal"),
+    )
+    return out.withColumn("burned_tank_gal", F.round(F.col("fuel_start_gal") - F.col("fuel_end_gal"), 1)).withColumn("remaining_gal", F.round(F.col("fuel_start_gal") - F.col("burned_gal"), 1))
+
+
+def planned_climb_descent(plan: DataFrame, key: Sequence[str], top: str = "-TOC-", down: str = "-TOD-") -> DataFrame:
+    """Planned climb (departure to top of climb) and descent (top of descent to destination) of each plan.
+
+    ``plan``: key, seq, name, eta_s, fuel_used, dist_leg, dist_rem, altitude, tas, gs.
+    """
+    get = lambda c, test: F.max_by(c, F.when(test, F.col("seq")))
+    is_top, is_down = F.col("name") == top, F.col("name") == down
+    rows = plan.withColumn("__down", F.max(F.when(is_down, F.col("eta_s"))).over(Window.partitionBy(*key)))
+    late = F.col("eta_s") >= F.col("__down")
+    first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
+    out = rows.groupBy(*key).agg(
+        get("eta_s", is_top).alias("climb_s"), (get("fuel_used", is_top) - first("fuel_used")).alias("climb_gal"), get("dist_leg", is_top).alias("climb_nm"), (get("altitude", is_top) - first("altitude")).alias("climb_ft"),
+        (last("eta_s") - F.max("__down")).alias("descent_s"), (last("fuel_used") - get("fuel_used", is_down)).alias("descent_gal"), get("dist_rem", is_down).alias("descent_nm"),
+        (last("altitude") - get("altitude", is_down)).alias("descent_ft"), F.avg(F.when(late, F.col("tas"))).alias("descent_tas"), F.avg(F.when(late, F.col("gs"))).alias("descent_gs"),
+    )
+    rate = lambda c: F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_ft") / (F.col(f"{c}_s") / 60))
+    return out.withColumns({"climb_fpm": rate("climb"), "descent_fpm": rate("descent")})
+
+
+def corridor_segments(tracks: DataFrame, anchor: tuple[float, float], via: tuple[float, float], key: str, order: str, anchor_nm: float = 8.0, via_nm: float = 14.0, least_rows: int = 30, least_segment: int = 10) -> DataFrame:
+    """The rows (lat, lon) of each track between the anchor and its closest approach to the via point, with ``direction`` (out,
+    in), ``near_via_nm`` and ``step``, which numbers the rows from the anchor to the via point.
+
+    Taken are tracks that start or end within ``anchor_nm`` of the anchor and come within ``via_nm`` of the via point, with
+    enough rows. Keys without a chance are told by their ends and their closest row before any row is shuffled.
+    """
+    point = lambda p: [F.lit(p[0]), F.lit(p[1])]
+    rows = tracks.where("lat IS NOT NULL AND lon IS NOT NULL")
+    rows = rows.withColumn("__a", distance_nm(F.col("lat"), F.col("lon"), *point(anchor))).withColumn("__v", distance_nm(F.col("lat"), F.col("lon"), *point(via)))
+    told = rows.groupBy(key).agg(F.min_by("__a", order).alias("__start"), F.max_by("__a", order).alias("__end"), F.min(F.struct("__v", order)).alias("__near"), F.count("*").alias("__n"))
+    told = told.where((F.least("__start", "__end") <= anchor_nm) & (F.col("__near.__v") <= via_nm) & (F.col("__n") >= least_rows))
+    told = told.select(key, F.when(F.col("__start") <= F.col("__end"), "out").otherwise("in").alias("direction"), F.col("__near.__v").alias("near_via_nm"), F.col(f"__near.{order}").alias("__cut"))
+    cut = rows.join(told, key).where(F.when(F.col("direction") == "out", F.col(order) <= F.col("__cut")).otherwise(F.col(order) >= F.col("__cut")))
+    n, i = F.count("*").over(Window.partitionBy(key)), F.row_number().over(Window.partitionBy(key).orderBy(order))
+    cut = cut.withColumn("__n", n).withColumn("__i", i).where(F.col("__n") >= least_segment)
+    return cut.withColumn("step", F.when(F.col("direction") == "out", F.col("__i") - 1).otherwise(F.col("__n") - F.col("__i"))).drop("__a", "__v", "__cut", "__n", "__i")
+
+
+def segment_figures(segments: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Track, time, still-air time, speeds, altitudes and fuel of each segment of ``corridor_segments`` (elapsed, tas, alt, fuel_burn).
+
+    In still air each step takes as long as at the airspeed of its later point, where that is above 40.
+    """
+    w = by(key, ["step"])
+    d = distance_nm(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    rows = segments.withColumn("__d", d).withColumn("__tas", F.when(F.col("tas") > 40, finite(F.col("tas"))))
+    ends = lambda c: F.abs(F.max_by(c, "step") - F.min_by(c, "step"))
+    out = rows.groupBy(*key).agg(
+        F.coalesce(F.sum("__d"), F.lit(0.0)).alias("track_nm"), ends("elapsed").alias("time_s"), (F.sum(F.col("__d") / F.col("__tas")) * 3600).alias("still_air_s"),
+        F.avg("__tas").alias("avg_tas"), F.avg(finite(F.col("alt"))).alias("avg_alt"), F.max(finite(F.col("alt"))).alias("max_alt"), ends("fuel_burn").alias("fuel_gal"),
+    )
+    return out.withColumn("avg_gs", F.when(F.col("time_s") > 0, F.col("track_nm") / (F.col("time_s") / 3600)))
+
+
+def fix_sequences(events: DataFrame, via: tuple[float, float], directions: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """key, fixes: the names flown to up to (inbound: from) the event nearest to the via point, in order. ``directions``: key, direction."""
+    rows = events.withColumn("__d", distance_nm(F.col("lat"), F.col("lon"), F.lit(via[0]), F.lit(via[1])))
+    at = F.min(F.struct("__d", order)).over(Window.partitionBy(key))[order]
+    rows = rows.withColumn("__at", at).join(directions.select(key, "direction"), key)
+    own = rows.where(F.when(F.col("direction") == "out", F.col(order) <= F.col("__at")).otherwise(F.col(order) >= F.col("__at")))
+    return own.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(name).alias("n")))), lambda x: x["n"]).alias("fixes"))
+
+
+def wind_tag(still_air_s: Column, time_s: Column) -> Column:
+    """tail or head, and by how many minutes; - where either time is unknown or 0."""
+    wind = F.nullif(still_air_s, F.lit(0.0)) - F.nullif(time_s, F.lit(0.0))
+    return F.when(wind.isNull(), "-").otherwise(F.concat(F.when(wind > 0, "tail ").otherwise("head "), F.bround(F.abs(wind) / 60).cast("int").cast("string"), F.lit("m")))
 
 
 def option_rows(flights: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Means of each option, its size, and tags against the midrange of its direction (the first key)."""
-    means = flights.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in measures])
-    w = Window.partitionBy(keys[0])
-    first = measures[0]
-    middle, spread = (F.max(first).over(w) + F.min(first).over(w)) / 2, F.max(first).over(w) - F.min(first).over(w)
-    tag = F.when(spread <= 6, "med").when(F.col(first) < middle, "short").otherwise("long")
-    return means.withColumn("tag", tag).withColumn("best", F.col(measures[-1]) == F.min(measures[-1]).over(w))
+    means = flights.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(finite(F.col(m))).alias(m) for m in measures])
+    tag = _against_midrange(measures[0], 6.0, "short", "long", keys[0])
+    return means.withColumn("tag", tag).withColumn("best", F.col(measures[-1]) == F.min(measures[-1]).over(Window.partitionBy(keys[0])))
+
+
+def _against_midrange(column: str, spread: float, low: str, high: str, direction: str) -> Column:
+    w = Window.partitionBy(direction)
+    own = F.nullif(F.col(column), F.lit(0.0))
+    top, bottom = F.max(own).over(w), F.min(own).over(w)
+    return F.when(top - bottom > spread, F.when(F.col(column) < (top + bottom) / 2, low).otherwise(high)).otherwise("med")
+
+
+def profiles(options: DataFrame, direction: str, track: str = "track_nm", altitude: str = "avg_alt") -> DataFrame:
+    """``options`` with profile: short, long or med by track, and low, high or med by altitude, against the direction's midrange."""
+    return options.withColumn("profile", F.concat_ws("/", _against_midrange(track, 6.0, "short", "long", direction), _against_midrange(altitude, 1500.0, "low", "high", direction)))
+
+
+def head_to_head(options: DataFrame, direction: str, order: Sequence[str], label: str = "label", air: str = "still_air_s", track: str = "track_nm", altitude: str = "avg_alt") -> DataFrame:
+    """direction, a, b, faster, air_min, track_nm, alt_ft: the first two options of each direction compared."""
+    rows = options.withColumn("__k", F.row_number().over(Window.partitionBy(direction).orderBy(*order)))
+    of = lambda c, k: F.max(F.when(F.col("__k") == k, F.col(c)))
+    both = rows.where("__k <= 2").groupBy(direction).agg(*[of(c, k).alias(f"{c}__{k}") for c in (label, air, track, altitude) for k in (1, 2)])
+    both = both.where((F.col(f"{air}__1") != 0) & (F.col(f"{air}__2") != 0))
+    apart = lambda c: F.col(f"{c}__2") - F.col(f"{c}__1")
+    return both.select(
+        direction, F.col(f"{label}__1").alias("a"), F.col(f"{label}__2").alias("b"), F.when(apart(air) > 0, F.col(f"{label}__1")).otherwise(F.col(f"{label}__2")).alias("faster"),
+        F.abs(apart(air) / 60).alias("air_min"), F.abs(apart(track)).alias("track_nm"), F.abs(apart(altitude)).alias("alt_ft"),
+    )

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skyloom.operators.series import drop_head, drop_tail, value_changes
+from skyloom.operators.series import drop_head, drop_tail, scan, value_changes
 
 
 def summaries(samples: DataFrame, key: str = "log_id", ts: str = "ts") -> DataFrame:
@@ -59,30 +57,28 @@ def measures(flights: DataFrame) -> DataFrame:
     })
 
 
-def trips(flights: DataFrame, base: str, aircraft: str = "system_id", start: str = "start_time", departs: str = "start_icao", arrives: str = "end_icao") -> DataFrame:
-    """``flights`` with trip_idx, from 0 for each aircraft.
+class Trips:
+    """Numbers an aircraft's flights by trip: a flight that arrives at the base ends its trip, unless it is the trip's first;
+    after a local flight at the base, one that goes elsewhere starts a new trip. Flights without airports stay in theirs."""
 
-    A flight that arrives at the base ends its trip, unless it is the trip's first. After a local flight
-    at the base, one that goes elsewhere starts a new trip. Flights without airports stay in theirs. The
-    state of a trip depends on all flights before, so an aircraft's flights go through one call.
-    """
-    schema = T.StructType([*flights.schema.fields, T.StructField("trip_idx", T.IntegerType())])
+    def __init__(self, base: str):
+        self.base, self.out, self.trip, self.last = base, [], 0, None
+
+    def add(self, departs: str | None, arrives: str | None) -> None:
+        known = departs is not None and arrives is not None
+        ends = known and self.last is not None and arrives == self.base
+        if known and self.last == (self.base, self.base) and not ends and departs != arrives:
+            self.trip += 1
+        self.out.append(self.trip)
+        self.last = (departs, arrives)
+        if ends:
+            self.trip, self.last = self.trip + 1, None
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(start, kind="stable")
-        trip, last, out = 0, None, []
-        for a, b in zip(group[departs], group[arrives], strict=True):
-            known = isinstance(a, str) and isinstance(b, str)
-            ends = known and last is not None and b == base
-            if known and last is not None and not ends and last == (base, base) and a != b:
-                trip += 1
-            out.append(trip)
-            last = (a, b)
-            if ends:
-                trip, last = trip + 1, None
-        return group.assign(trip_idx=out).astype({"trip_idx": "int32"})
 
-    return flights.groupBy(aircraft).applyInPandas(run, schema)
+def trips(flights: DataFrame, base: str, aircraft: str = "system_id", start: str = "start_time", departs: str = "start_icao", arrives: str = "end_icao", order: Sequence[str] = ()) -> DataFrame:
+    """``flights`` with trip_idx, from 0 for each aircraft; flights of no aircraft belong to no trip."""
+    found = scan(flights.where(F.col(aircraft).isNotNull()), [departs, arrives], [aircraft], [start, *order], "trip_idx", "int", lambda: Trips(base))
+    return found.unionByName(flights.where(F.col(aircraft).isNull()).withColumn("trip_idx", F.lit(None).cast("int")))
 
 
 def trip_totals(flights: DataFrame, keys: Sequence[str], start: str = "start_time") -> DataFrame:
@@ -96,17 +92,24 @@ def trip_totals(flights: DataFrame, keys: Sequence[str], start: str = "start_tim
     )
 
 
-def nights(flights: DataFrame, start: str = "start_time", departs: str = "start_icao", arrives: str = "end_icao", key: Sequence[str] = ()) -> DataFrame:
-    """Nights between flights, by the airport that the later one leaves; local flights do not count."""
+def nights(flights: DataFrame, key: Sequence[str], start: str = "start_time", departs: str = "start_icao", arrives: str = "end_icao", order: Sequence[str] = (), connected: bool = False) -> DataFrame:
+    """Nights between a flight and the one before, by the airport that the later one leaves; local flights do not count.
+
+    ``key`` parts the flights (an owner, a fleet), so that no task gets all. ``connected``: only where the flight before
+    arrived at that airport.
+    """
     away = flights.where(F.col(departs).isNotNull() & F.col(arrives).isNotNull() & (F.col(departs) != F.col(arrives)))
-    w = Window.partitionBy(*key).orderBy(start) if key else Window.orderBy(start)
-    stays = away.withColumn("nights", F.datediff(F.to_date(start), F.lag(F.to_date(start)).over(w))).where("nights IS NOT NULL")
-    return stays.groupBy(F.col(departs).alias("airport"), *key).agg(F.sum("nights").alias("nights"), F.count("*").alias("visits"))
+    w = Window.partitionBy(*key).orderBy(start, *order)
+    stays = away.withColumn("nights", F.datediff(F.to_date(start), F.lag(F.to_date(start)).over(w))).withColumn("__at", F.lag(arrives).over(w)).where("nights IS NOT NULL")
+    if connected:
+        stays = stays.where(F.col("__at") == F.col(departs))
+    return stays.groupBy(F.col(departs).alias("airport"), *key).agg(F.sum("nights").cast("long").alias("nights"), F.count("*").alias("visits"))
 
 
-def home_base(by_airport: DataFrame) -> DataFrame:
-    """The airport with the most nights; of equals the first by name; none without a night."""
-    return by_airport.where("nights > 0").orderBy(F.desc("nights"), "airport").limit(1).select(F.col("airport").alias("base"))
+def home_base(by_airport: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, base: the airport with the most nights; of equals the first by name; none without a night."""
+    best = F.min_by("airport", F.struct(-F.col("nights"), F.col("airport")))
+    return by_airport.where("nights > 0").groupBy(*key).agg(best.alias("base"))
 
 
 def subtotals(rows: DataFrame, group: Sequence[str], detail: Sequence[str], sums: Sequence[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.geo import RADIUS_NM, distance_nm, squared_degrees
+from skyloom.session import materialised
+
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], ts: str, values: Sequence[str], strict: bool = False, prefix: str = "last_") -> DataFrame:
     """``left`` with the values of the latest row of ``right`` at or before (strictly: before) its time.
@@ -29,34 +33,53 @@ def in_intervals(rows: DataFrame, segments: DataFrame, key: Sequence[str], ts: s
     return found.select(*rows.columns, *[F.when(inside, F.col(f"__in_{v}")).alias(v) for v in values])
 
 
-def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, cell: float = 1.0) -> DataFrame:
-    """point_key and the place with the least squared distance in degrees, of those in the cells around.
+def cell(lat: Column, lon: Column, reach_nm: float) -> tuple[Column, Column]:
+    """Band and column of a grid whose cells, with the eight around, hold all that lies within ``reach_nm`` of a point.
 
-    ``places`` has ``place``, lat, lon. Points meet places of their own and the eight cells around by an
-    equality join, so work follows the density and not the product; farther places are not neighbours
-    (``nearest_of_all`` has no such limit).
+    Bands are as high as the reach; each is cut into as many columns, around the whole globe, as are wide enough in it
+    and in the bands beside it. Near the poles a band is one cell.
     """
-    from skyloom.functions.geo import squared_degrees
+    size = math.degrees(reach_nm / RADIUS_NM) * 1.001
+    return (y := F.floor((lat + 90) / size)), _column(y, lon, size)
 
-    near = places.select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = near.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
-    near = near.withColumn("__y", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__x", F.floor(F.col("__lon") / cell) + F.col("__dx"))
-    at = points.withColumn("__y", F.floor(F.col(lat) / cell)).withColumn("__x", F.floor(F.col(lon) / cell))
-    d = squared_degrees(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
-    best = at.join(near, ["__y", "__x"]).groupBy(*point_key).agg(F.min_by(place, F.struct(d, F.col(place))).alias(place))
-    return points.join(best, list(point_key), "left")
+
+def _columns(y: Column, size: float) -> Column:
+    widest = F.greatest(F.abs((y - 1) * size - 90), F.abs((y + 2) * size - 90))
+    share = F.lit(math.sin(math.radians(size) / 2)) / F.greatest(F.cos(F.radians(widest)), F.lit(1e-9))
+    n = F.when((widest >= 90) | (share >= 1), 1).otherwise(F.floor(F.lit(360.0) / F.degrees(2 * F.asin(F.least(share, F.lit(1.0))))))
+    return F.when(n < 3, F.lit(1)).otherwise(n).cast("long")
+
+
+def _column(y: Column, lon: Column, size: float) -> Column:
+    n = _columns(y, size)
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1)
+
+
+def around(rows: DataFrame, lat: str, lon: str, reach_nm: float, y: str, x: str) -> DataFrame:
+    """``rows`` once for each cell, of ``cell``, that a point within reach may lie in."""
+    size = math.degrees(reach_nm / RADIUS_NM) * 1.001
+    rows = rows.withColumn(y, F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.floor((F.col(lat) + 90) / size) + d)))
+    own, n = _column(F.col(y), F.col(lon), size), _columns(F.col(y), size)
+    return rows.withColumn(x, F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.pmod(own + d, n)))))
+
+
+def nearest_within(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, most_nm: float = 6.0) -> DataFrame:
+    """``points`` with the place (lat, lon) nearest on the sphere, null where none is within ``most_nm``; ties go to the first by name."""
+    near = around(places.where("lat IS NOT NULL AND lon IS NOT NULL").select(place, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), "__lat", "__lon", most_nm, "__y", "__x")
+    y, x = cell(F.col(lat), F.col(lon), most_nm)
+    at = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*point_key, F.col(lat).alias("__a"), F.col(lon).alias("__b"), y.alias("__y"), x.alias("__x"))
+    d = distance_nm(F.col("__a"), F.col("__b"), F.col("__lat"), F.col("__lon"))
+    best = at.join(near, ["__y", "__x"]).where(d <= most_nm).groupBy(*point_key).agg(F.min(F.struct(d.alias("d"), F.col(place))).alias("__best"))
+    return points.join(best.select(*point_key, F.col(f"__best.{place}").alias(place)), list(point_key), "left")
 
 
 def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, cell: float = 1.0) -> DataFrame:
     """``points`` with the place of the least squared distance in degrees, however far; ties go to the first by name.
 
-    As ``nearest_place``, over cells that double in size for the points still open. A point is settled once
-    its best is no farther than a cell's side, as every place so near is in the nine cells; at last the cells
-    hold all places. Only points or places without coordinates stay without.
+    Points meet the places of their own and the eight cells around by an equality join, over cells that double in size
+    for the points still open. A point is settled once its best is no farther than a cell's side, as every place so near
+    is in the nine cells; at last the cells hold all places. Only points or places without coordinates stay without.
     """
-    from skyloom.functions.geo import squared_degrees
-    from skyloom.session import materialised
 
     near = places.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
     ends = lambda rows, a, b: rows.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
@@ -87,22 +110,44 @@ def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, poi
 
 def abeam(plan: DataFrame, track: DataFrame, key: Sequence[str]) -> DataFrame:
     """For each planned waypoint (key, seq, lat, lon) the nearest row (row_idx, lat, lon) of the same key's track."""
-    from skyloom.functions.geo import distance_nm
-
     t = track.select(*key, F.col("row_idx"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).where("__lat IS NOT NULL AND __lon IS NOT NULL")
     d = distance_nm(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
     return plan.join(t, list(key)).groupBy(*key, "seq").agg(F.min(F.struct(d.alias("d"), "row_idx")).alias("b")).select(*key, "seq", F.col("b.row_idx").alias("row_idx"), F.col("b.d").alias("offset_nm"))
 
 
-def continuity(flights: DataFrame, order: Sequence[str], arrives: str, departs: str, key: Sequence[str] = ()) -> DataFrame:
-    """``flights`` with the id of the flight before (after) when it ends (starts) where this one starts (ends)."""
-    w = Window.partitionBy(*key).orderBy(*order) if key else Window.orderBy(*order)
+def continuity(flights: DataFrame, order: Sequence[str], arrives: str, departs: str, key: Sequence[str]) -> DataFrame:
+    """``flights`` with the id of the flight before (after) when it ends (starts) where this one starts (ends).
+
+    ``key`` parts the flights (an aircraft, an owner), so that no task gets all.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
     row = order[-1]
     before = F.when(F.lag(arrives).over(w) == F.col(departs), F.lag(row).over(w))
     after = F.when(F.lead(departs).over(w) == F.col(arrives), F.lead(row).over(w))
     return flights.withColumn("previous", before).withColumn("following", after)
 
 
+def resolved(idents: DataFrame, airports: DataFrame, fixes: DataFrame, ident: str = "ident") -> DataFrame:
+    """``idents`` (ident, ref_lat, ref_lon) with lat and lon: the airport of that name, else the fix of that name nearest to the reference."""
+    named = airports.select(F.col("ident").alias("__i"), "lat", "lon", F.lit(0).alias("__rank")).unionByName(fixes.select(F.col("name").alias("__i"), "lat", "lon", F.lit(1).alias("__rank")))
+    rows = idents.withColumn("__row", F.monotonically_increasing_id())
+    d = F.coalesce(distance_nm(F.col("ref_lat"), F.col("ref_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
+    best = rows.join(named, F.col(ident) == F.col("__i")).groupBy("__row").agg(F.min(F.struct("__rank", F.when(F.col("__rank") == 1, d).alias("d"), "lat", "lon")).alias("b"))
+    return rows.join(best, "__row", "left").select(*idents.columns, F.col("b.lat").alias("lat"), F.col("b.lon").alias("lon"))
+
+
+def matched_names(rows: DataFrame, others: DataFrame, name: str, other: str, value: str) -> DataFrame:
+    """``rows`` with the first ``value`` of the others whose name is the same but for case."""
+    own = others.groupBy(F.lower(other).alias("__name")).agg(F.min(value).alias(value))
+    return rows.join(own, F.lower(name) == F.col("__name"), "left").drop("__name")
+
+
+def within(rows: DataFrame, segments: DataFrame, key: Sequence[str], ts: str, start: str, end: str) -> DataFrame:
+    """``rows`` with a boolean ``within``: whether the key's one segment, closed at both ends, holds their time."""
+    own = segments.select(*key, F.col(start).alias("__a"), F.col(end).alias("__b"))
+    return rows.join(own, list(key), "left").withColumn("within", F.coalesce(F.col(ts).between(F.col("__a"), F.col("__b")), F.lit(False))).drop("__a", "__b")
+
+
 def missing(rows: DataFrame, others: DataFrame, on: Sequence[str], always: Column | None = None) -> DataFrame:
     """Rows whose key ``others`` lack, and those that ``always`` names."""
     gone = rows.join(others, list(on), "left_anti")
@@ -123,18 +168,14 @@ def log_matches(plans: DataFrame, logs: DataFrame, most_nm: float = 12.0) -> Dat
 
     ``plans``: plan_id, day, from_lat, from_lon, to_lat, to_lon. ``logs``: log_id, day, first_lat, first_lon,
     last_lat, last_lon. Only logs of the plan's day count, where there is one; else (and without a day)
-    all do. The least sum of both distances ranks first, ties by log_id. Starts meet in cells of a degree,
-    by an equality join, which finds all of them up to 78 degrees of latitude.
+    all do. The least sum of both distances ranks first, ties by log_id. Starts meet in the cells of ``cell``,
+    by an equality join.
     """
-    from skyloom.functions.geo import distance_nm
-
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    cells = lambda lat, lon: {"__y": F.floor(lat), "__x": F.pmod(F.floor(lon), F.lit(360))}
     days = logs.where("first_lat IS NOT NULL AND last_lat IS NOT NULL").select("day").distinct().withColumn("__dated", F.lit(True))
     wanted = plans.where("from_lat IS NOT NULL AND to_lat IS NOT NULL").join(days, "day", "left").withColumnRenamed("day", "__day")
-    wanted = wanted.withColumns(cells(F.col("from_lat"), F.col("from_lon"))).withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
-    wanted = wanted.withColumn("__y", F.col("__y") + F.col("__dy")).withColumn("__x", F.pmod(F.col("__x") + F.col("__dx"), F.lit(360)))
-    pairs = wanted.join(logs.withColumns(cells(F.col("first_lat"), F.col("first_lon"))), ["__y", "__x"]).where("__dated IS NULL OR day = __day")
+    wanted = around(wanted, "from_lat", "from_lon", most_nm, "__y", "__x")
+    y, x = cell(F.col("first_lat"), F.col("first_lon"), most_nm)
+    pairs = wanted.join(logs.withColumn("__y", y).withColumn("__x", x), ["__y", "__x"]).where("__dated IS NULL OR day = __day")
     pairs = pairs.withColumn("start_nm", distance_nm(F.col("first_lat"), F.col("first_lon"), F.col("from_lat"), F.col("from_lon")))
     pairs = pairs.withColumn("end_nm", distance_nm(F.col("last_lat"), F.col("last_lon"), F.col("to_lat"), F.col("to_lon")))
     order = Window.partitionBy("plan_id").orderBy(F.col("start_nm") + F.col("end_nm"), "log_id")

@@ -7,10 +7,12 @@ do not depend on how Spark places rows. Windows run per key, and one key's rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by(key: Sequence[str], order: Sequence[str]) -> Window:
@@ -59,9 +61,9 @@ def dense_intervals(rows: DataFrame, ts: str, key: Sequence[str], seconds: int)
     return ends.select(*key, F.explode(F.sequence("__a", "__b", F.expr(f"INTERVAL {seconds} SECONDS"))).alias("start"))
 
 
-def leg_ends(legs: DataFrame, key: Sequence[str], start: str, last: str, name: str = "end") -> DataFrame:
-    """A leg ends where the next starts; the last one at column ``last``."""
-    return legs.withColumn(name, F.coalesce(F.lead(start).over(by(key, [start])), F.col(last)))
+def leg_ends(legs: DataFrame, key: Sequence[str], start: str, last: str, name: str = "end", order: Sequence[str] = ()) -> DataFrame:
+    """A leg ends where the next starts; the last one at column ``last``. ``order`` parts legs of equal starts."""
+    return legs.withColumn(name, F.coalesce(F.lead(start).over(by(key, [start, *order])), F.col(last)))
 
 
 def between(rows: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
@@ -95,6 +97,96 @@ def drop_tail(rows: DataFrame, match: Column, key: Sequence[str], order: Sequenc
     return at.where(F.col("__last").isNull() | (F.col("__n") <= F.col("__last"))).drop("__n", "__last")
 
 
+def head_from(rows: DataFrame, order: str, first: Column) -> DataFrame:
+    """Rows from ``first`` on."""
+    return rows.where(F.col(order) >= first)
+
+
+def without_first(rows: DataFrame, k: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows but for the first k of each key."""
+    return numbered(rows, key, order, "__n").where(F.col("__n") >= k).drop("__n")
+
+
+def at_row(rows: DataFrame, i: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The i-th row of each key, from 0."""
+    return numbered(rows, key, order, "__n").where(F.col("__n") == i).drop("__n")
+
+
+def first_last(value: str, order: Sequence[str], match: Column | None = None) -> tuple[Column, Column]:
+    """Aggregates: the value at the first and at the last row that matches (any row, without a match)."""
+    at = F.struct(*order) if match is None else F.when(match, F.struct(*order))
+    return F.min_by(value, at), F.max_by(value, at)
+
+
+def nearest_to(rows: DataFrame, target: Column, value: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key whose value is nearest to a target, the first on ties."""
+    best = F.min_by(F.struct(*rows.columns), F.when(F.col(value).isNotNull(), F.struct(F.abs(F.col(value) - target), *order)))
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(best.alias("__row")).select("__row.*").where(F.coalesce(*key).isNotNull())
+
+
+def series_of(rows: DataFrame, field: str, ts: str, start: Column, end: Column, key: Sequence[str]) -> DataFrame:
+    """key, ts, elapsed (seconds from the start) and value of a field's finite values within start and end, both closed."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    own = drop_missing(rows, [field]).where((F.col(ts) >= start) & (F.col(ts) <= end))
+    return own.select(*key, ts, (seconds(F.col(ts)) - seconds(start)).alias("elapsed"), F.col(f"`{field}`").alias("value"))
+
+
+def paired(a: DataFrame, b: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
+    """key, ts, x, y of two series (key, ts, value) at the times that both have."""
+    return a.select(*key, ts, F.col("value").alias("x")).join(b.select(*key, ts, F.col("value").alias("y")), [*key, ts])
+
+
+def first_present(rows: DataFrame, names: Sequence[str]) -> Column:
+    """The first of the columns that the table has (a choice of schema, not of rows); null if it has none."""
+    return next((F.col(f"`{n}`") for n in names if n in rows.columns), F.lit(None).cast("double"))
+
+
+def scan(rows: DataFrame, columns: Sequence[str], key: Sequence[str], order: Sequence[str], name: str, kind: str, state, delay: int = 0) -> DataFrame:
+    """``rows`` with what a state machine says of each, for states that depend on all rows before.
+
+    ``state()`` makes a machine for a key: ``add`` takes a row's values of ``columns``, and its list ``out`` grows by
+    one; what lies more than ``delay`` back is final. Rows pass sorted by key and order, batch by batch, so a
+    task holds one batch and ``delay`` rows, however long a key's series is.
+    """
+    placed = rows.withColumn("__key", F.to_json(F.struct(*key))).repartition(*key).sortWithinPartitions(*key, *order)
+    types = {"string": pa.string(), "int": pa.int32()}
+    wanted = [*rows.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, machine, current = None, None, None
+
+        def ready(n: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            done = held.slice(0, n).append_column(name, pa.array(machine.out[:n], types[kind]))
+            del machine.out[:n]
+            held = held.slice(n)
+            yield from done.select(wanted).combine_chunks().to_batches()
+
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("__key")).to_pylist()
+            begin = 0
+            while begin < len(keys):
+                end = begin + 1
+                while end < len(keys) and keys[end] == keys[begin]:
+                    end += 1
+                part = pa.Table.from_batches([batch.slice(begin, end - begin)])
+                if keys[begin] != current:
+                    if held is not None:
+                        yield from ready(held.num_rows)
+                    held, machine, current = None, state(), keys[begin]
+                for values in zip(*[part.column(c).to_pylist() for c in columns], strict=True):
+                    machine.add(*values)
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.num_rows > delay:
+                    yield from ready(held.num_rows - delay)
+                begin = end
+        if held is not None:
+            yield from ready(held.num_rows)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType() if kind == "string" else T.IntegerType())])
+    return placed.mapInArrow(run, schema)
+
+
 def every(rows: DataFrame, k: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every k-th row of a key, from its first."""
     return numbered(rows, key, order, "__n").where(F.pmod("__n", F.lit(k)) == 0).drop("__n")

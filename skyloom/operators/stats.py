@@ -7,19 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.text import finite
+
 METRICS = ("start", "end", "min", "max", "sum", "count", "average", "total")
 
 
 def value_stats(value: str, order: str | Column) -> dict[str, Column]:
-    """Aggregates of a column's non-null values; start and end by the order, total is their difference."""
-    by = F.when(F.col(value).isNotNull(), F.col(order) if isinstance(order, str) else order)
-    start, end = F.min_by(value, by), F.max_by(value, by)
+    """Aggregates of a column's finite values; start and end by the order, total is their difference."""
+    own = finite(F.col(f"`{value}`").cast("double"))
+    by = F.when(own.isNotNull(), F.col(order) if isinstance(order, str) else order)
+    start, end = F.min_by(own, by), F.max_by(own, by)
     return {
-        "start": start, "end": end, "min": F.min(value), "max": F.max(value), "sum": F.sum(value),
-        "count": F.count(value), "average": F.avg(value), "total": end - start,
+        "start": start, "end": end, "min": F.min(own), "max": F.max(own), "sum": F.sum(own),
+        "count": F.count(own), "average": F.avg(own), "total": end - start,
     }
 
 
+def range_stats(rows: DataFrame, value: str, keys: Sequence[str], order: str, start: Column, end: Column) -> DataFrame:
+    """The statistics of a column over start <= order <= end, one row a key."""
+    inside = rows.where((F.col(order) >= start) & (F.col(order) <= end))
+    return inside.groupBy(*keys).agg(*[c.alias(k) for k, c in value_stats(value, order).items()])
+
+
 def segment_stats(rows: DataFrame, spec: dict[str, Sequence[str]], keys: Sequence[str], order: str | Column) -> DataFrame:
     """One row a segment: for each field its metrics, as columns ``field.metric``."""
     out = [value_stats(f, order)[m].alias(f"{f}.{m}") for f, metrics in spec.items() for m in metrics]
@@ -39,6 +48,50 @@ def modes(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]
     )
 
 
+def categorical_stats(value: str, at: Column) -> dict[str, Column]:
+    """Aggregates start, end and most_frequent of a name column, blanks as absent; ``at`` is a struct (times so far, -row)
+    that ``counted`` adds."""
+    known = F.nullif(F.col(f"`{value}`"), F.lit(""))
+    by = F.when(known.isNotNull(), at)
+    return {"start": F.min_by(known, F.when(known.isNotNull(), -at["i"])), "end": F.max_by(known, F.when(known.isNotNull(), -at["i"])), "mostFrequent": F.max_by(known, by)}
+
+
+def counted(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with struct ``name``: how often the row's value came so far in its segment, and minus the row's number."""
+    n = F.row_number().over(Window.partitionBy(*keys, F.col(f"`{value}`")).orderBy(*order))
+    i = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(name, F.struct(n.alias("n"), (-i).alias("i")))
+
+
+def wide(rows: DataFrame, values: dict[str, Sequence[str]], names: dict[str, Sequence[str]], keys: Sequence[str], order: Sequence[str], constants: dict[str, object] | None = None) -> DataFrame:
+    """A row a segment with a column ``field.metric`` for each metric that a schema names, and constant columns.
+
+    ``values`` and ``names`` map number and name fields to their metrics; fields that the rows lack give nulls.
+    """
+    own = {f: m for f, m in names.items() if f in rows.columns}
+    for k, f in enumerate(own):
+        rows = counted(rows, f, keys, order, f"__c{k}")
+    out = []
+    for f, metrics in values.items():
+        found = value_stats(f, F.struct(*order)) if f in rows.columns else {}
+        out += [found.get(m, F.first(F.lit(None).cast("double"))).alias(f"{f}.{m}") for m in metrics]
+    for f, metrics in names.items():
+        found = categorical_stats(f, F.col(f"__c{list(own).index(f)}")) if f in own else {}
+        out += [found.get(m, F.first(F.lit(None).cast("string"))).alias(f"{f}.{m}") for m in metrics]
+    return rows.groupBy(*keys).agg(*out).withColumns({k: F.lit(v) for k, v in (constants or {}).items()})
+
+
+def distinct_or_scalar(rows: DataFrame, column: str) -> DataFrame:
+    """values (distinct, sorted) and single (the only one, if there is just one) of a column."""
+    return rows.agg(F.sort_array(F.collect_set(column)).alias("values")).select("values", F.when(F.size("values") == 1, F.get("values", F.lit(0))).alias("single"))
+
+
+def by_field(legs: DataFrame, keys: Sequence[str], leg: str, fields: Sequence[str]) -> DataFrame:
+    """keys, field, series: the values of each field over the legs in order, as array<struct<leg, value>>; absent ones are null."""
+    long = legs.unpivot([*keys, leg], list(fields), "field", "value")
+    return long.groupBy(*keys, "field").agg(F.array_sort(F.collect_list(F.struct(F.col(leg).alias("leg"), "value"))).alias("series"))
+
+
 def weighted_mean(value: str, weight: str) -> Column:
     known = F.when(F.col(value).isNotNull(), F.col(weight))
     return F.sum(F.col(value) * F.col(weight)) / F.sum(known)

@@ -1,10 +1,15 @@
-"""Planned routes from HTML tables."""
+"""Planned routes from HTML tables and placed words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import geo, text
+
+#: The labels of a plan's fuel table.
+FUEL_LABELS = ("Taxi", "Destination", "Alternate Fuel", "Final Reserve", "Additional", "Min required", "Extra", "Total", "Landing")
+
 
 def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, row_no, cells of every table row of a page, tags and entities removed."""
@@ -20,3 +25,78 @@ def words_to_rows(words: DataFrame, key: list[str], bins: dict[str, tuple[float,
     at = words.withColumn("line", F.round(F.col("top") / height).cast("int"))
     cell = lambda low, high: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("x0").between(low, high), F.struct("x0", "text")))), lambda x: x["text"]), " ")
     return at.groupBy(*key, "line").agg(*[cell(*b).alias(name) for name, b in bins.items()])
+
+
+def _tokens(cell: int) -> Column:
+    return F.filter(F.split(F.coalesce(F.get("cells", F.lit(cell)), F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def waypoints(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, seq and the planned figures of each row that names a coordinate (rows of a table with three such at least).
+
+    Cells: name, coordinate and navaid; -; airway, altitude, safe altitude; wind; headings; speeds; distances; fuel left;
+    fuel used; flow; times; elapsed time. What is absent or a dash is null.
+    """
+    rows = table_cells(pages, key, html)
+    at = lambda tokens, i: F.get(tokens, F.lit(i))
+    coordinate = F.get(F.filter(_tokens(0), lambda t: t.rlike(r"^[NS]\d{4}(\.\d+)?/[EW]\d{5}(\.\d+)?$")), F.lit(0))
+    rows = rows.withColumn("coord_raw", coordinate).where("coord_raw IS NOT NULL")
+    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n >= 3")
+    name = at(_tokens(0), 0)
+    rest = F.filter(F.slice(_tokens(0), 2, 20), lambda t: (t != F.col("coord_raw")) & (F.upper(t) == t) & t.rlike("[A-Z]"))
+    route = _tokens(2)
+    airway = at(route, 0).rlike("[A-Za-z]")
+    numbers = F.when(airway, F.slice(route, 2, 9)).otherwise(route)
+    number = lambda cell, i: text.number(at(_tokens(cell), i))
+    pair = lambda i: text.pair(at(_tokens(3), i))
+    place = geo.coordinate(F.col("coord_raw"))
+    return rows.select(
+        key, F.row_number().over(Window.partitionBy(key).orderBy("row_no")).alias("seq"), name.alias("name"), place["lat"].alias("lat"), place["lon"].alias("lon"), "coord_raw",
+        (name.startswith("-") & name.endswith("-")).alias("is_pseudo"), F.get(rest, F.lit(0)).alias("navaid"), F.when(airway, at(route, 0)).alias("airway"),
+        text.number(at(numbers, 0)).alias("altitude_ft"), text.number(at(numbers, 1)).alias("msa"), F.when(~at(_tokens(3), 0).isin("-", "--"), at(_tokens(3), 0)).alias("wind_comp_raw"),
+        pair(1)["first"].alias("wind_dir"), pair(1)["second"].alias("wind_speed"), pair(2)["first"].alias("oat"), pair(2)["second"].alias("isa_dev"),
+        number(4, 0).alias("mag_hdg"), number(4, 1).alias("crs"), number(5, 0).alias("tas"), number(5, 1).alias("gs"), number(6, 0).alias("dist_leg"), number(6, 1).alias("dist_rem"),
+        number(7, 0).alias("fuel_rem"), number(8, 0).alias("fuel_used"), number(9, 0).alias("flow"),
+        text.seconds(at(_tokens(10), 0)).alias("leg_time_s"), text.seconds(at(_tokens(10), 1)).alias("ete_remaining_s"), text.seconds(at(_tokens(11), 0)).alias("eta_elapsed_s"),
+    )
+
+
+def plain_lines(html: Column) -> Column:
+    """The lines of a page's text, tags and blank lines left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", "\n"), "&nbsp;", " "), "&amp;", "&")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def header_date(line: Column) -> Column:
+    """The date of a header such as (Jun 07, 2026)."""
+    found = lambda i: F.regexp_extract(line, r"\(([A-Z][a-z]{2})\s+(\d{1,2}),\s*(\d{4})\)", i)
+    return F.try_to_date(F.concat_ws(" ", found(1), found(2), found(3)), "MMM d yyyy")
+
+
+def summaries(pages: DataFrame, key: str, html: str, header: str = r"(\w{4})\s*(?:-|to)\s*(\w{4})\s*(\S+)?") -> DataFrame:
+    """key, departure, destination, aircraft, date, route, ete_total_s, dist_total_nm, avg_tas, cruise_alt_ft, avg_wind of each page.
+
+    ``header`` is the pattern of the line with a date: departure, destination, aircraft.
+    """
+    page = pages.select(key, plain_lines(F.col(html)).alias("l"))
+    dated = F.get(F.filter("l", lambda x: x.rlike(r"\([A-Z][a-z]{2}\s+\d{1,2},\s*\d{4}\)")), F.lit(0))
+    after = lambda label: F.get("l", F.array_position("l", F.lit(label)).cast("int"))
+    labelled = lambda label: F.coalesce(F.regexp_extract(F.get(F.filter("l", lambda x: x.rlike(f"^{label}\\s{{2,}}")), F.lit(0)), rf"^{label}\s{{2,}}(.*)$", 1), F.when(F.array_contains("l", label), after(label)))
+    found = lambda value, pattern, i=1: F.nullif(F.regexp_extract(value, pattern, i), F.lit(""))
+    ete = labelled("ETE")
+    return page.select(
+        key, *[found(dated, header, i).alias(n) for i, n in ((1, "departure"), (2, "destination"), (3, "aircraft"))], header_date(dated).alias("date"),
+        F.when(F.array_contains("l", "Route"), after("Route")).alias("route"),
+        (found(ete, r"(\d+)h(\d+)m").cast("long") * 3600 + found(ete, r"(\d+)h(\d+)m", 2).cast("long") * 60).alias("ete_total_s"),
+        found(labelled("Distance"), r"([\d.]+)\s*NM").try_cast("double").alias("dist_total_nm"), found(labelled("Avg TAS"), r"(\d+)\s*kt").try_cast("double").alias("avg_tas"),
+        found(F.replace(labelled("Altitude"), F.lit(","), F.lit("")), r"(\d+)").try_cast("int").alias("cruise_alt_ft"), labelled("Avg Wind").alias("avg_wind"),
+    )
+
+
+def fuel_plan(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, label, gal, time_s of the rows of a page's fuel table."""
+    rows = table_cells(pages, key, html)
+    first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    label = F.coalesce(*[F.when(first.startswith(k), F.lit(k)) for k in FUEL_LABELS])
+    own = rows.select(key, label.alias("label"), text.number(F.get("cells", F.lit(1))).alias("gal"), text.seconds(F.get("cells", F.lit(2))).alias("time_s"))
+    return own.where("label IS NOT NULL AND gal IS NOT NULL")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom import fields
+from skyloom.session import remove
+
 
 def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
     """Writes ``rows`` so that the keys among them replace what was stored for them and no other key changes."""
@@ -17,10 +23,63 @@ def stored(spark, path: str) -> DataFrame:
 
 
 def as_text(rows: DataFrame, ts: str) -> DataFrame:
-    """Every column as text, the time in ISO 8601 first."""
+    """Every column as text, the time in ISO 8601 and in UTC first."""
     rest = [c for c in rows.columns if c != ts]
-    return rows.select(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(ts), *[F.col(f"`{c}`").cast("string").alias(c) for c in rest])
+    zone = F.to_utc_timestamp(ts, F.current_timezone()) if dict(rows.dtypes)[ts] == "timestamp" else F.col(ts)
+    return rows.select(F.date_format(zone, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(ts), *[F.col(f"`{c}`").cast("string").alias(c) for c in rest])
+
+
+def export_csv(flights: DataFrame, path: str, columns: Sequence[str] = ()) -> None:
+    """Writes the named columns of the flights (all without names) as CSV with a header; the executors write in parallel."""
+    (flights.select(*columns) if columns else flights).write.mode("overwrite").option("header", True).csv(path)
+
+
+class Aggregates:
+    """A store of interval aggregates, one row an interval and log, that opens only for the version and interval it was made with."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 60, version: int = 1):
+        self.spark, self.path, self.seconds = spark, path, seconds
+        own = spark.createDataFrame([(version, seconds)], "version int, seconds int")
+        if not exists(spark, f"{path}/config"):
+            own.write.parquet(f"{path}/config")
+        found = spark.read.parquet(f"{path}/config").orderBy(F.desc("version")).first()
+        if (found["version"], found["seconds"]) != (version, seconds):
+            raise ValueError(f"the store has version {found['version']} and intervals of {found['seconds']} s")
+
+    def upsert(self, samples: DataFrame, takeoff: DataFrame | None = None, log: str = "LogFileName", ts: str = "ts") -> None:
+        """Replaces the stored intervals of the logs among ``samples``; those before a log's ``takeoff`` (log, start), and logs
+        without one, are left out."""
+        replace_by_key(interval_table(samples, self.seconds, takeoff, log, ts), f"{self.path}/intervals", log)
+
+    def table(self) -> DataFrame:
+        return stored(self.spark, f"{self.path}/intervals")
+
+    def remove(self, logs: Sequence[str], log: str = "LogFileName") -> None:
+        """Drops the intervals of some logs."""
+        gone = self.table().where(F.col(log).isin(list(logs))).select(log).distinct()
+        for r in gone.collect():  # a folder a log that was named
+            remove(self.spark, f"{self.path}/intervals/{log}={r[0]}")
+
+
+def interval_table(samples: DataFrame, seconds: int = 60, takeoff: DataFrame | None = None, log: str = "LogFileName", ts: str = "ts") -> DataFrame:
+    """log, Date and the ``field.metric`` columns of what is stored of each interval."""
+    from skyloom.operators import series, stats
+
+    if takeoff is not None:
+        samples = samples.join(takeoff.select(log, F.col("start").alias("__from")), log).where(F.col(ts) >= F.col("__from")).drop("__from")
+    rows = series.intervals(samples, ts, seconds, "Date")
+    return stats.wide(rows, fields.STORED_VALUES, fields.STORED_NAMES, [log, "Date"], [ts])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def cached(spark: SparkSession, folder: str, signature: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written below ``folder`` under a digest of ``signature`` (parameters, file names and sizes) and read
+    from there when it is asked for again."""
+    path = f"{folder}/{hashlib.md5(signature.encode()).hexdigest()}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -23,10 +23,18 @@ def sessions(samples: DataFrame, ts: str, key: Sequence[str], gap: str, late: st
 
 
 def refresh(samples: DataFrame, path: str, key: str, checkpoint: str, summarise) -> StreamingQuery:
-    """Processes what is new in a source and replaces the summaries of the keys that it names, then stops."""
+    """Processes what is new in a source and replaces the summaries of the keys that it names, then stops.
+
+    Rows are kept below ``path``-rows, a folder a key and batch, so that a key that comes in several batches is
+    summarised over all its rows, and a batch that runs twice is stored once.
+    """
     from skyloom.sources.store import replace_by_key
 
-    def batch(rows: DataFrame, _: int) -> None:
-        replace_by_key(summarise(rows), path, key)
+    def batch(rows: DataFrame, number: int) -> None:
+        kept = f"{path}-rows"
+        part = rows.withColumn("batch", F.lit(number))
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", key).parquet(kept)
+        known = rows.sparkSession.read.parquet(kept)
+        replace_by_key(summarise(known.drop("batch").join(rows.select(key).distinct(), key, "left_semi").select(*rows.columns)), path, key)
 
     return samples.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start()
