@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from skyloom.plans import recorder  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from skyloom.plans import recorder  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -95,7 +99,7 @@ SELECT user_id, leg_idx::BIGINT AS leg_idx, start, coalesce(lead(start) OVER (PA
 def leg_ends(spark, sf_dir):
     rows = series.legs(_t(spark, sf_dir, "events"), ["event_type"], KEY, ORDER)
     legs = rows.withColumn("last", F.max("ts").over(Window.partitionBy(*KEY))).groupBy("user_id", F.col("leg_idx").cast("long").alias("leg_idx")).agg(F.min("ts").alias("start"), F.max("last").alias("last"))
-    return legs.withColumn("end", F.coalesce(F.lead("start").over(series.by(KEY, ["start", "leg_idx"])), F.col("last"))).drop("last")
+    return series.leg_ends(legs, KEY, "start", "last", order=["leg_idx"]).drop("last")
 
 
 @query("SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
@@ -175,8 +179,8 @@ def merge_short_runs(spark, sf_dir):
 
 @query("""SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (value > 50) AS first_match, arg_max(event_id, (ts, event_id)) FILTER (value > 50) AS last_match FROM events GROUP BY user_id""")
 def first_last_match(spark, sf_dir):
-    at = F.when(F.col("value") > 50, F.struct(*ORDER))
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", at).alias("first_match"), F.max_by("event_id", at).alias("last_match"))
+    first, last = series.first_last("event_id", ORDER, F.col("value") > 50)
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(first.alias("first_match"), last.alias("last_match"))
 
 
 @query(f"""SELECT user_id, list_sum(list_transform(list(value ORDER BY ts, event_id), lambda x: floor(x)::BIGINT % 7))::BIGINT AS folded FROM events GROUP BY user_id""")
@@ -282,10 +286,10 @@ def weighted_mean(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT user_id, avg(value * sin(radians(event_id % 360))) AS e, avg(value * cos(radians(event_id % 360))) AS n FROM events GROUP BY user_id)
-SELECT user_id, round(sqrt(e * e + n * n), 4) AS speed FROM v""")
+SELECT user_id, round(sqrt(e * e + n * n), 4) AS speed, round((degrees(atan2(e, n)) + 360) % 360, 4) AS direction FROM v""")
 def vector_mean(spark, sf_dir):
     wind = geo.mean_wind(F.col("value"), F.col("event_id") % 360)
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(wind.alias("w")).select("user_id", F.round("w.speed", 4).alias("speed"))
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(wind.alias("w")).select("user_id", F.round("w.speed", 4).alias("speed"), F.round("w.direction", 4).alias("direction"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
@@ -303,7 +307,7 @@ def _points(spark, sf_dir):
 
 def _sql_distance(a: str, b: str, c: str, d: str) -> str:
     h = f"pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)"
-    return f"(2 * {geo.RADIUS_NM!r} * asin(sqrt(least({h}, 1.0))))"
+    return f"(2 * {geo.RADIUS_NM!r} * asin(sqrt(CASE WHEN {h} > 1 THEN 1.0 ELSE {h} END)))"
 
 
 @query(f"""WITH p AS (SELECT event_id, {_SELF} FROM events) SELECT event_id, round({_sql_distance("lat", "lon", "lat2", "lon2")}, 4) AS nm,
@@ -356,19 +360,34 @@ def decoded_properties(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id, event_type, date_trunc('day', ts)::DATE AS day FROM events), l AS (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY day, event_type) AS p, lag(event_type) OVER (PARTITION BY user_id ORDER BY day, event_type) AS f FROM d)
-SELECT f AS airport, user_id, sum(day - p)::BIGINT AS nights, count(*) AS visits FROM l WHERE p IS NOT NULL AND f <> event_type AND f IS NOT NULL GROUP BY ALL""")
+#: Orders as flights: the airports are A to D, some are unknown.
+_FLIGHTS = """f AS (SELECT o_orderkey AS log_id, 'log_' || (o_orderkey % 100 + 100)::VARCHAR || '_' || o_orderkey || '.csv' AS log_file_name, o_custkey AS system_id, o_orderdate AS start_time,
+ CASE WHEN o_orderkey % 13 > 0 THEN chr((65 + o_orderkey % 4)::INT) END AS start_icao, CASE WHEN o_orderkey % 17 > 0 THEN chr((65 + o_orderkey // 3 % 4)::INT) END AS end_icao,
+ o_totalprice / 1000 AS distance, o_totalprice / 100000 AS hours, o_totalprice / 20000 AS fuel_used, (60 + o_orderkey % 30)::DOUBLE AS fuel_from, (60 + o_orderkey % 30)::DOUBLE - o_totalprice / 20000 AS fuel_to,
+ (o_orderkey % 97 * 100)::DOUBLE AS altitude, (o_orderkey % 7)::DOUBLE AS added, o_orderstatus AS status FROM orders)"""
+
+
+def _flights(spark, sf_dir):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return _t(spark, sf_dir, "orders").select(
+        k.alias("log_id"), F.concat(F.lit("log_"), (k % 100 + 100).cast("string"), F.lit("_"), k.cast("string"), F.lit(".csv")).alias("log_file_name"), F.col("o_custkey").alias("system_id"), F.col("o_orderdate").alias("start_time"),
+        F.when(k % 13 > 0, F.char(65 + k % 4)).alias("start_icao"), F.when(k % 17 > 0, F.char(65 + F.expr("o_orderkey div 3") % 4)).alias("end_icao"),
+        (price / 1000).alias("distance"), (price / 100000).alias("hours"), (price / 20000).alias("fuel_used"), (60 + k % 30).cast("double").alias("fuel_from"), ((60 + k % 30).cast("double") - price / 20000).alias("fuel_to"),
+        (k % 97 * 100).cast("double").alias("altitude"), (k % 7).cast("double").alias("added"), F.col("o_orderstatus").alias("status"),
+    )
+
+
+@query(f"""WITH {_FLIGHTS}, l AS (SELECT *, lag(start_time) OVER (PARTITION BY system_id ORDER BY start_time, log_id) AS p FROM f WHERE start_icao <> end_icao)
+SELECT start_icao AS airport, system_id, sum(start_time::DATE - p::DATE)::BIGINT AS nights, count(*) AS visits FROM l WHERE p IS NOT NULL GROUP BY ALL""")
 def nights_by_place(spark, sf_dir):
-    days = _t(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
-    w = Window.partitionBy("user_id").orderBy("day", "event_type")
-    stays = days.withColumn("p", F.lag("day").over(w)).withColumn("airport", F.lag("event_type").over(w)).where("p IS NOT NULL AND airport <> event_type")
-    return stays.groupBy("airport", "user_id").agg(F.sum(F.datediff("day", "p")).cast("long").alias("nights"), F.count("*").alias("visits"))
+    rows = _flights(spark, sf_dir)
+    return flights.nights(rows, ["system_id"], order=["log_id"])
 
 
 @query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, CASE WHEN list_contains(list(role), 'system') THEN 'guided' ELSE 'Direct / other' END AS label FROM conversations GROUP BY conv_id""")
 def rule_labels(spark, sf_dir):
     roles = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
-    label = corridor.classified(F.col("roles"), [("guided", ["system"], [])])
+    label = corridor.classified(F.col("roles"), [{"label": "guided", "all_of": ["system"]}])
     return roles.select("conv_id", F.array_join("roles", ",").alias("roles"), label.alias("label"))
 
 

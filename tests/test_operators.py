@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import fuel, geo, text, units
 from skyloom.operators import corridor, flights, joins, phase, series
+from skyloom.plans import catalogue
 from skyloom.sources import logs, plans, store
 from skyloom.streaming import streams
 
@@ -21,6 +22,7 @@ def test_coordinates_and_angles(spark):
     assert one(spark, geo.angle_difference(F.lit(10.0), F.lit(350.0))) == 20.0
     assert one(spark, geo.angle_difference(F.lit(0.0), F.lit(180.0))) == 180.0
     assert abs(one(spark, geo.distance_nm(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) - 60.04) < 0.01
+    assert one(spark, geo.distance_nm(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(1.0))) is None
     assert one(spark, geo.cross_track_nm(F.lit(1.0), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) < 0
     assert one(spark, geo.headwind(F.lit(10.0), F.lit(90.0), F.lit(90.0))) == 10.0
     assert one(spark, geo.wind_along(F.lit(10.0), F.lit(-270.0), F.lit(90.0))) == -10.0
@@ -66,8 +68,62 @@ def test_phases_by_the_rule_row_by_row(spark):
     runs = [p for i, p in enumerate(found) if i == 0 or found[i - 1] != p]
     # The first fast row is level with the rows before it, which it relabels; the climb shows 15 rows later.
     assert runs[:4] == ["Ground", "Cruise", "Climb", "Cruise"] and runs[-1] == "Ground" and "Descent" in runs
-    assert found[29] == "Cruise" and found[30] == "Climb" and found[10] == "Ground"
+    assert found == phases_row_by_row(speed, alt)
     assert phase.labels([], []) == []
+    level = [5000.0] * 40
+    level[25] = None
+    assert set(phase.labels([100.0] * 40, level)[15:]) == {"Cruise"}
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        s, a = rng.choice([0.0, 30.0, 50.0, 90.0], 120).tolist(), np.cumsum(rng.choice([-20.0, 0.0, 5.0, 30.0], 120)).tolist()
+        for i in rng.integers(0, 120, 4):
+            s[i], a[(i + 7) % 120] = None, None
+        assert phase.labels(s, a) == phases_row_by_row(s, a)
+
+
+def phases_row_by_row(speed, altitude):
+    """The rule told plainly: buffers of at most 20 values, emptied but for the current one when the label changes."""
+    out, buffer = [], []
+    for t, (s, a) in enumerate(zip(speed, altitude, strict=True)):
+        buffer = (buffer + [a])[-20:]
+        before = out[-1] if out else None
+        if len(buffer) < 15:
+            new = before or "Ground"
+        elif s is not None and s > 35:
+            known = a is not None and buffer[0] is not None
+            new = "Climb" if known and a > buffer[0] + 50 else "Descent" if known and a < buffer[0] - 50 else "Cruise"
+        else:
+            new = "Ground"
+        if before is not None and new != before:
+            for row in range(max(0, t - len(buffer)), t):
+                out[row] = new
+            buffer = [a]
+        out.append(new)
+    return out
+
+
+def test_states_cross_batches_and_partitions(spark, sf_dir):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+        found = {r.event_id: r.phase for r in phase.with_phase(rows, "value", "value", ["user_id"], ["ts", "event_id"]).collect()}
+        for _, own in rows.toPandas().sort_values(["ts", "event_id"], kind="stable").groupby("user_id"):
+            v = own["value"].tolist()
+            assert [found[i] for i in own["event_id"]] == phases_row_by_row(v, v)
+        orders = catalogue.queries()["trip_segments"](spark, sf_dir)
+        told = {r.o_orderkey: r.trip_idx for r in orders.collect()}
+        plain = spark.read.parquet(f"{sf_dir}/orders.parquet").toPandas().sort_values(["o_orderdate", "o_orderkey"])
+        for _, own in plain.groupby("o_custkey"):
+            trip, last = 0, None
+            for r in own.itertuples():
+                here = (r.o_orderstatus, {"1": "O", "2": "F"}.get(r.o_orderpriority[0], "P"))
+                ends = last is not None and here[1] == "O"
+                if last == ("O", "O") and here[0] != here[1] and not ends:
+                    trip += 1
+                assert told[r.o_orderkey] == trip
+                trip, last = (trip + 1, None) if ends else (trip, here)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_trips_of_hand(spark):
@@ -92,7 +148,9 @@ def test_summary_types(spark):
 def test_nearest_place_and_abeam(spark):
     places = spark.createDataFrame([("EGTF", 51.348, -0.559), ("EGPN", 56.4525, -3.0258), ("KSAF", 35.617, -106.089), ("FAR", 0.0, 0.0)], "ident string, lat double, lon double")
     points = spark.createDataFrame([(1, 51.3504028, -0.5617803), (2, 56.4537125, -3.0180488), (3, 35.617, -106.089), (4, 80.0, 80.0)], "id int, lat double, lon double")
-    found = {r.id: r.ident for r in joins.nearest_place(points, places, "lat", "lon", ["id"], "ident").collect()}
+    found = {r.id: r.ident for r in joins.nearest_of_all(points, places, "lat", "lon", ["id"], "ident").collect()}
+    assert found == {1: "EGTF", 2: "EGPN", 3: "KSAF", 4: "EGTF"}
+    found = {r.id: r.ident for r in joins.nearest_within(points, places, "lat", "lon", ["id"], "ident").collect()}
     assert found == {1: "EGTF", 2: "EGPN", 3: "KSAF", 4: None}
     track = spark.createDataFrame([("a", i, 0.0, i / 10, 50.0 - i, float(i * 60)) for i in range(11)], "log string, row_idx int, lat double, lon double, fuel double, elapsed double")
     plan = spark.createDataFrame([("a", 0, "P", 0.01, 0.0, 50.0, 0.0), ("a", 1, "Q", 0.01, 0.52, 46.0, 280.0)], "log string, seq int, name string, lat double, lon double, fuel double, elapsed double")
@@ -105,6 +163,16 @@ def test_complete_linkage_against_brute_force():
     x = [rng.normal(c, 1, 9) for c in (0, 0, 0, 40, 40, -40)]
     assert corridor.complete_linkage(x, 12.0) == [0, 0, 0, 1, 1, 2]
     assert corridor.complete_linkage([], 12.0) == []
+    for n in range(2, 14):
+        own = [rng.normal(0, 8, 9).round(1) for _ in range(n)]
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            d, a, b = min((max(float(np.sqrt(((own[i] - own[j]) ** 2).mean())) for i in g for j in h), k, m) for k, g in enumerate(groups) for m, h in enumerate(groups) if k < m)
+            if d > 12.0:
+                break
+            groups[a] += groups.pop(b)
+        groups.sort(key=lambda g: -len(g))
+        assert corridor.complete_linkage(own, 12.0) == [next(k for k, g in enumerate(groups) if i in g) for i in range(n)]
 
 
 def test_log_reader(spark, tmp_path):
@@ -145,8 +213,11 @@ def test_refresh_replaces_what_a_batch_names(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "log string, v double")
     rows.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    streams.refresh(source, str(tmp_path / "out"), "log", str(tmp_path / "cp"), lambda r: r.groupBy("log").agg(F.max("v").alias("v"))).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    run = lambda: streams.refresh(source, str(tmp_path / "out"), "log", str(tmp_path / "cp"), lambda r: r.groupBy("log").agg(F.sum("v").alias("v"), F.count("*").alias("n"))).awaitTermination()
+    run()
+    spark.createDataFrame([("a", 5.0), ("c", 3.0)], "log string, v double").write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert sorted((r.log, r.v, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 6.0, 2), ("b", 2.0, 1), ("c", 3.0, 1)]
 
 
 def test_units(spark):
@@ -183,8 +254,6 @@ def test_nearest_place_has_no_range_limit(spark):
 
 
 def test_plans_without_a_day_meet_all_logs(spark, sf_dir):
-    from skyloom.plans import catalogue
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.to_date("ts").alias("day")).toPandas()
     k, u, day = (events[c].to_numpy() for c in ("event_id", "user_id", "day"))
     lat, lon = (k * 37 % 60).astype(float), (k * 53 % 300 - 150).astype(float)
