@@ -85,12 +85,17 @@ def running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -
     return joined.select(*rows.columns, *[(F.col(f"{k}_before") + F.col(f"{k}_inside")).alias(k) for k in sums])
 
 
-def join_by_size(rows: DataFrame, table: DataFrame, on: Sequence[str], size: str, hot: int = 100_000) -> DataFrame:
+def join_by_size(rows: DataFrame, table: DataFrame, on: Sequence[str], size: str, hot: int = 100_000, biggest: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and the number of ``rows`` that hold it.
 
     Keys that more than ``hot`` rows hold are joined where their rows are, so that none fills a task; of
-    such keys there is at most one for each ``hot`` rows, which bounds what is broadcast.
+    such keys there is at most one for each ``hot`` rows, which bounds what is broadcast. Where no key is hot
+    (``biggest`` is the greatest number, if it is known) a plain join does.
     """
+    if biggest is None:
+        biggest = table.agg(F.max(size)).first()[0] or 0
+    if biggest <= hot:
+        return rows.join(table, list(on))
     few, many = table.where(F.col(size) <= hot), table.where(F.col(size) > hot)
     rest = rows.join(F.broadcast(many.select(*on)), list(on), "left_anti")
     return rest.join(few, list(on)).unionByName(rows.join(F.broadcast(many), list(on)))

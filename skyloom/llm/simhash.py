@@ -198,8 +198,9 @@ def links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
         else:
             rows = keyed.join(F.broadcast(many), "path").select("fp", F.col("child").alias("path"), "mask")  # a row a mask: a few hundred bytes
         rows = rows.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        sizes = rows.groupBy("path", "key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = join_by_size(rows, sizes, ["path", "key"], "size")
+        sizes = materialised(rows.groupBy("path", "key").agg(F.count("*").alias("size")).where("size > 1"))
+        biggest = sizes.agg(F.max("size")).first()[0] or 0
+        rows = join_by_size(rows, sizes, ["path", "key"], "size", biggest=biggest)
         small = rows.where(F.col("size") <= group).groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +210,7 @@ def links(distinct: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
 
         part = small.mapInPandas(run, "a long, b long")
         found = part if found is None else found.unionByName(part)
-        if sizes.agg(F.max("size")).first()[0] is None or not sizes.where(F.col("size") > group).limit(1).count():
+        if biggest <= group:
             break
         keyed = materialised(rows.where(F.col("size") > group).select("path", "fp"))
         # Crowded paths alone go on: their children are a few rows for each.
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = with_root.join(least, "root").select("fp", "component_id", "n_copies")
     # One fingerprint may hold a third of all rows.
-    out = join_by_size(prints, of_print, ["fp"], "n_copies")
+    out = join_by_size(prints, of_print, ["fp"], "n_copies", biggest=distinct.agg(F.max("n_copies")).first()[0] or 0)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
