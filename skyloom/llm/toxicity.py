@@ -170,8 +170,9 @@ def one_a_class(rows: DataFrame) -> DataFrame:
     Copies and near copies would make their rare words evidence. Texts that only share an opening or an
     ending are no copies.
     """
-    # Ids may repeat, so rows are told apart by a number of their own; texts are written once and not moved again.
-    rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()))
+    # Ids may repeat, so rows are told apart by a number of their own, which stays as long as they come in one order, as
+    # those of a written sample do; texts are not written again.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     classes = near_duplicates(rows, "row", "text").select("row", "component_id")
     small = rows.select("row", "id", "toxic", F.sha2("text", 256).alias("sha")).join(classes, "row")
     first = F.row_number().over(Window.partitionBy("component_id", "toxic").orderBy("id", "sha"))
