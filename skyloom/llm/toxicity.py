@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import bounded_sample, materialised, remainder
-from skyloom.llm.simhash import near_duplicates
+from skyloom.llm.simhash import fingerprints, spanning_links
 
 #: Labelled rows that the token table and the calibration are fitted on, at most.
 FIT_ROWS = 20_000
@@ -164,18 +164,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(slope, 0.0), intercept
 
 
-def one_a_class(rows: DataFrame) -> DataFrame:
+def one_a_class(rows: DataFrame, distance: int = 2) -> DataFrame:
     """text and toxic of rows (id, text, toxic): the smallest id of each label and class of near-duplicates of the whole text.
 
     Copies and near copies would make their rare words evidence. Texts that only share an opening or an
-    ending are no copies.
+    ending are no copies. Classes are those of ``simhash.near_duplicates``. The rows are a fitting sample, so
+    their fingerprints, 8 bytes a row, are linked at once on the driver, in time quadratic in the distinct
+    ones; shuffles of so few rows would cost a file for each pair of tasks.
     """
     # Ids may repeat, so rows are told apart by a number of their own, which stays as long as they come in one order, as
     # those of a written sample do; texts are not written again.
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    classes = near_duplicates(rows, "row", "text").select("row", "component_id")
-    small = rows.select("row", "id", "toxic", F.sha2("text", 256).alias("sha")).join(classes, "row")
-    first = F.row_number().over(Window.partitionBy("component_id", "toxic").orderBy("id", "sha"))
+    prints = fingerprints(rows, "row", "text").withColumnsRenamed({"id": "row"}).toPandas()
+    root: dict[int, int] = {}
+    for a, b in spanning_links(np.unique(prints["fp"].to_numpy(np.int64)), distance):  # a node comes after the one it hangs on
+        root[b] = root.get(a, a)
+    prints["component"] = [root.get(f, f) for f in prints["fp"].tolist()]
+    classes = rows.sparkSession.createDataFrame(prints[["row", "component"]], "row long, component long")
+    small = rows.select("row", "id", "toxic", F.sha2("text", 256).alias("sha")).join(F.broadcast(classes), "row")
+    first = F.row_number().over(Window.partitionBy("component", "toxic").orderBy("id", "sha"))
     kept = materialised(small.withColumn("nth", first).where("nth = 1").select("row"))
     return rows.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic")
 

@@ -131,6 +131,19 @@ def test_toxicity_scores_by_hand(spark, sf_dir):
         assert abs(found[i] - 1 / (1 + exp(-model.slope * sure - model.intercept))) < 1e-9
 
 
+def test_training_texts_are_one_of_each_class_of_near_duplicates(spark, sf_dir):
+    texts = sorted(texts_of(spark, sf_dir).items())
+    rows = [(i, t, i % 2) for i, t in texts if t is not None] + [(i + 10**6, f"{t} ", i % 2) for i, t in texts[:40] if t is not None]
+    frame = spark.createDataFrame(rows, "id long, text string, toxic int")
+    of = {r.id: r.component_id for r in simhash.near_duplicates(frame, "id", "text").collect()}
+    least = {}
+    for i, text, toxic in sorted(rows):
+        least.setdefault((of[i], toxic), (text, toxic))
+    found = sorted(tuple(r) for r in toxicity.one_a_class(common.materialised(frame)).collect())
+    assert found == sorted(least.values()) and len(found) < len(rows)
+    assert toxicity.one_a_class(common.materialised(frame.limit(0))).count() == 0
+
+
 def test_token_counts_are_those_of_the_scan(spark):
     rows = spark.createDataFrame([("Ünï ÜNÏ x_y ٣ İstanbul ß", 1), ("x y", 0), ("x", 0)] * 20, "text string, toxic int")
     table = toxicity.token_table(rows)
