@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions.text import finite
 from skyloom.functions.units import UNITS, converted
 
 #: Order, unit in the log and kind of each known column.
@@ -118,3 +119,22 @@ def shown(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 def leg_value(stats: dict[str, Column], field: str) -> Column:
     """The one statistic of a field, of those of ``stats.value_stats``, that a leg shows."""
     return stats[metric(field)]
+
+
+def frame(rows: DataFrame, what: str, index: Sequence[str], wanted: Sequence[str] = (), every: bool = True) -> DataFrame:
+    """The recorder's columns of one sort beside ``index``: "number", "name" or "position".
+
+    Numbers are finite or null; with ``wanted``, rows where one of those is null go, and without ``every`` only those
+    columns stay. Names are text. A position is a struct of both coordinates, null unless both are numbers.
+    """
+    if what == "position":
+        lat, lon = (finite(F.col(c).cast("double")) for c in ("Latitude", "Longitude"))
+        rows = rows.select(*index, F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))).alias("position"))
+        return rows.where("position IS NOT NULL") if wanted else rows
+    own = ordered(c for c in rows.columns if c in FIELDS and kind(c) == what and c not in index)
+    shape = (lambda c: finite(F.col(f"`{c}`").cast("double"))) if what == "number" else (lambda c: F.col(f"`{c}`").cast("string"))
+    keep = own if every or not wanted else [c for c in own if c in wanted]
+    rows = rows.select(*index, *[shape(c).alias(c) for c in own])
+    if what == "number":
+        rows = rows.dropna(subset=[f"`{c}`" for c in own if c in wanted]) if set(wanted) & set(own) else rows
+    return rows.select(*index, *[F.col(f"`{c}`") for c in keep])

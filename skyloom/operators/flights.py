@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.operators.series import drop_head, drop_tail, scan, value_changes
+from skyloom.operators.series import drop_head, drop_tail, leg_ends, legs, scan, value_changes
 
 
 def summaries(samples: DataFrame, key: str = "log_id", ts: str = "ts") -> DataFrame:
@@ -112,6 +112,21 @@ def home_base(by_airport: DataFrame, key: Sequence[str]) -> DataFrame:
     return by_airport.where("nights > 0").groupBy(*key).agg(best.alias("base"))
 
 
+def flown_legs(rows: DataFrame, columns: Sequence[str], key: Sequence[str], order: Sequence[str], ts: str, takeoff: DataFrame | None = None) -> DataFrame:
+    """key, leg_idx, ``columns``, start, end: a key's runs of equal values from its take-off on; the last ends with the log.
+
+    ``takeoff`` has the key and takeoff, one row a key; keys without one have no legs. Without the table runs count
+    from the first row, as for routes.
+    """
+    at = rows.withColumn("__last", F.max(ts).over(Window.partitionBy(*key)))
+    if takeoff is not None:
+        own = takeoff.select(*key, F.col("takeoff").alias("__from")).where("__from IS NOT NULL")
+        at = at.join(own, list(key)).where(F.col(ts) >= F.col("__from"))
+    runs = legs(at, columns, key, order).groupBy(*key, "leg_idx")
+    found = runs.agg(*[F.first(c).alias(c) for c in columns], F.min(ts).alias("start"), F.max("__last").alias("__last"))
+    return leg_ends(found, key, "start", "__last", order=["leg_idx"]).drop("__last")
+
+
 def subtotals(rows: DataFrame, group: Sequence[str], detail: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Detail rows and one total row a group (detail columns null, is_total 1)."""
     agg = [F.sum(c).alias(c) for c in sums]

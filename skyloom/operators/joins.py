@@ -76,7 +76,7 @@ def nearest_within(points: DataFrame, places: DataFrame, lat: str, lon: str, poi
 def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, cell: float = 1.0) -> DataFrame:
     """``points`` with the place of the least squared distance in degrees, however far; ties go to the first by name.
 
-    Points meet the places of their own and the eight cells around by an equality join, over cells that double in size
+    Points meet the places of their own and the eight cells around by an equality join, over cells four times as wide
     for the points still open. A point is settled once its best is no farther than a cell's side, as every place so near
     is in the nine cells; at last the cells hold all places. Only points or places without coordinates stay without.
     """
@@ -96,15 +96,13 @@ def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, poi
         around = near.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
         around = around.withColumn("__y", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__x", F.floor(F.col("__lon") / cell) + F.col("__dx"))
         cells = at.withColumn("__y", F.floor(F.col("__a") / cell)).withColumn("__x", F.floor(F.col("__b") / cell))
-        best = cells.join(around, ["__y", "__x"]).groupBy(*point_key).agg(F.min(F.struct(d.alias("d"), F.col(place))).alias("__best"))
-        sure = materialised(best.where(F.lit(last) | (F.col("__best.d") <= cell * cell)).select(*point_key, F.col(f"__best.{place}").alias(place)))
-        found = found.unionByName(sure)
-        if last:
+        best = cells.join(around, ["__y", "__x"], "left").groupBy(*point_key, "__a", "__b").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col(place)))).alias("__best"))
+        step = materialised(best.withColumn("__sure", F.lit(last) | F.coalesce(F.col("__best.d") <= cell * cell, F.lit(False))))
+        found = found.unionByName(step.where("__sure").select(*point_key, F.col(f"__best.{place}").alias(place)))
+        at = step.where("NOT __sure").select(*point_key, "__a", "__b")
+        if last or at.isEmpty():
             break
-        at = materialised(at.join(sure, list(point_key), "left_anti"))
-        if at.isEmpty():
-            break
-        cell *= 2
+        cell *= 4
     return points.join(found, list(point_key), "left")
 
 

@@ -92,6 +92,16 @@ def by_field(legs: DataFrame, keys: Sequence[str], leg: str, fields: Sequence[st
     return long.groupBy(*keys, "field").agg(F.array_sort(F.collect_list(F.struct(F.col(leg).alias("leg"), "value"))).alias("series"))
 
 
+def interval_extras(value: str, at: Column, left: Column, right: Column, running: Column) -> dict[str, Column]:
+    """Aggregates of an interval's rows beyond ``value_stats``: the median, where the least and the greatest value lie
+    (``at``, the first of equals), the greatest difference between the two tanks, and whether the engine runs in most rows.
+    """
+    v = finite(F.col(value))
+    first = lambda sign: F.min(F.when(v.isNotNull(), F.struct((sign * v).alias("v"), at.alias("at"))))["at"]
+    ran, stood = F.count_if(running), F.count_if(~running)
+    return {"median": F.median(v), "min_at": first(1), "max_at": first(-1), "imbalance": F.max(F.abs(finite(left) - finite(right))), "running": F.when(ran + stood > 0, ran > stood)}
+
+
 def weighted_mean(value: str, weight: str) -> Column:
     known = F.when(F.col(value).isNotNull(), F.col(weight))
     return F.sum(F.col(value) * F.col(weight)) / F.sum(known)

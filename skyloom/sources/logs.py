@@ -97,3 +97,10 @@ def runways(spark: SparkSession, path: str, airports: DataFrame) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     own = rows.select(F.col("airport_ident").alias("ident"), F.col("length_ft").try_cast("double").alias("length_ft"), F.col("width_ft").try_cast("double").alias("width_ft"), "surface", *[(F.col(c) == "1").alias(c) for c in ("lighted", "closed")])
     return own.join(airports.select("ident"), "ident", "left_semi")
+
+
+def fixes(spark: SparkSession, path: str) -> DataFrame:
+    """ident, lat, lon of the named points of a CSV file (ident, latitude_deg, longitude_deg), for ``joins.resolved``; rows without a position go."""
+    rows = spark.read.option("header", True).csv(path)
+    own = rows.select(F.upper(F.trim("ident")).alias("ident"), F.col("latitude_deg").try_cast("double").alias("lat"), F.col("longitude_deg").try_cast("double").alias("lon"))
+    return own.where("ident <> '' AND abs(lat) <= 90 AND abs(lon) <= 180").distinct()
