@@ -397,17 +397,35 @@ def option_means(spark, sf_dir):
     return out.select("l_suppkey", "l_returnflag", "n", F.round("l_quantity", 6).alias("q"), F.round("l_tax", 6).alias("x"))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() {W} AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::VARCHAR AS now, false AS changed, 0::BIGINT AS back, 0::BIGINT AS held FROM events
+ UNION ALL
+ SELECT user_id, n, now, changed, least(reach, n - 1), CASE WHEN changed THEN 1 ELSE reach END FROM
+ (SELECT *, coalesce(now <> before, false) AS changed FROM
+  (SELECT s.user_id, r.n, s.now AS before, least(s.held + 1, 20) AS reach,
+    CASE WHEN least(s.held + 1, 20) < 15 THEN coalesce(s.now, 'Ground') WHEN r.value > 35 THEN
+     CASE WHEN r.value - f.value > 50 THEN 'Climb' WHEN r.value - f.value < -50 THEN 'Descent' ELSE 'Cruise' END ELSE 'Ground' END AS now
+   FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1 JOIN r f ON f.user_id = s.user_id AND f.n = s.n + 2 - least(s.held + 1, 20)))),
+c AS (SELECT * FROM s WHERE changed),
+b AS (SELECT r.event_id, arg_max(c.now, c.n) AS now FROM r JOIN c ON c.user_id = r.user_id AND r.n < c.n AND r.n >= c.n - c.back GROUP BY r.event_id)
+SELECT r.event_id, r.user_id, coalesce(b.now, s.now) AS phase FROM r JOIN s USING (user_id, n) LEFT JOIN b ON b.event_id = r.event_id""")
 def flight_phases(spark, sf_dir):
     rows = phase.with_phase(_t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), "value", "value", KEY, ORDER)
     return rows.select("event_id", "user_id", "phase")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_orderstatus AS departs,
+ CASE o_orderpriority[1] WHEN '1' THEN 'O' WHEN '2' THEN 'F' ELSE 'P' END AS arrives FROM orders),
+s AS (SELECT DISTINCT k, 0::BIGINT AS n, NULL::BIGINT AS id, 0 AS trip, 0 AS following, NULL::VARCHAR AS departed, NULL::VARCHAR AS arrived FROM o
+ UNION ALL
+ SELECT k, n, id, trip, CASE WHEN home THEN trip + 1 ELSE trip END, CASE WHEN NOT home THEN departs END, CASE WHEN NOT home THEN arrives END FROM
+ (SELECT k, n, id, departs, arrives, home, following + CASE WHEN departed = 'O' AND arrived = 'O' AND NOT home AND departs <> arrives THEN 1 ELSE 0 END AS trip FROM
+  (SELECT o.k, o.n, o.o_orderkey AS id, o.departs, o.arrives, s.following, s.departed, s.arrived, s.departed IS NOT NULL AND o.arrives = 'O' AS home FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1)))
+SELECT id AS o_orderkey, k AS system_id, trip AS trip_idx FROM s WHERE id IS NOT NULL""")
 def trip_segments(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("system_id"), F.col("o_orderdate").alias("start_time"), F.col("o_orderstatus").alias("start_icao"), F.substring("o_orderpriority", 1, 1).alias("end_icao"))
     rows = rows.withColumn("end_icao", F.when(F.col("end_icao") == "1", "O").when(F.col("end_icao") == "2", "F").otherwise("P"))
-    return flights.trips(rows, "O").select("o_orderkey", "system_id", "trip_idx")
+    return flights.trips(rows, "O", order=["o_orderkey"]).select("o_orderkey", "system_id", "trip_idx")
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>'))::BIGINT AS n_rows FROM pages""")
@@ -428,25 +446,29 @@ def parsed_durations(spark, sf_dir):
 _ENDS = """(event_id * 37 % 60)::DOUBLE + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 300 - 150)::DOUBLE AS first_lon, (event_id * 37 % 60)::DOUBLE AS last_lat, (event_id * 53 % 300 - 150)::DOUBLE + 0.02 * (user_id % 5) AS last_lon"""
 
 
-@query(f"""WITH l AS (SELECT event_id AS log_id, ts::DATE AS day, {_ENDS} FROM events),
-p AS (SELECT log_id AS plan_id, CASE WHEN log_id % 2 = 0 THEN day END AS day, last_lat AS from_lat, first_lon AS from_lon, first_lat AS to_lat, last_lon AS to_lon FROM l WHERE log_id % 50 = 0),
+def _matches_sql(dated: str) -> str:
+    return f"""WITH l AS (SELECT event_id AS log_id, ts::DATE AS day, {_ENDS} FROM events),
+p AS (SELECT log_id AS plan_id, CASE WHEN {dated} THEN day END AS day, last_lat AS from_lat, first_lon AS from_lon, first_lat AS to_lat, last_lon AS to_lon FROM l),
 d AS (SELECT p.plan_id, l.log_id, {_sql_distance("first_lat", "first_lon", "from_lat", "from_lon")} AS a, {_sql_distance("last_lat", "last_lon", "to_lat", "to_lon")} AS b
- FROM p JOIN l ON abs(l.first_lat - p.from_lat) < 1 AND (p.day IS NULL OR p.day = l.day))
-SELECT plan_id, count(*) AS n, round(min(a + b), 6) AS best FROM d WHERE a <= 12 AND b <= 12 GROUP BY plan_id""")
+ FROM p JOIN l ON abs(l.first_lat - p.from_lat) < 1 AND abs(l.first_lon - p.from_lon) < 1 AND (p.day IS NULL OR p.day = l.day))
+SELECT plan_id, count(*) AS n, round(min(a + b), 6) AS best FROM d WHERE a <= 12 AND b <= 12 GROUP BY plan_id"""
+
+
+@query(_matches_sql("log_id % 2 = 0"))
 def plan_log_matches(spark, sf_dir):
     k, u = F.col("event_id"), F.col("user_id")
     lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
     logs = _t(spark, sf_dir, "events").select(
         k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
     )
-    plans = logs.where("log_id % 50 = 0").select(
+    plans = logs.select(
         F.col("log_id").alias("plan_id"), F.when(F.col("log_id") % 2 == 0, F.col("day")).alias("day"),
         F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
     )
     return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
 
 
-@query()
+@query(_matches_sql("log_id % 3 <> 0"))
 def plan_log_matches_all(spark, sf_dir):
     """Every log as a plan, a third of the plans without a day, which meet all logs."""
     k, u = F.col("event_id"), F.col("user_id")
