@@ -326,10 +326,10 @@ def corridor_scan(spark, sf_dir):
     return found.select("user_id", "direction", "max_alt", *_r("near_via_nm", "track_nm"), *_r("still_air_s", "time_s", places=3), *_r("avg_tas", "fuel_gal", places=6))
 
 
-@query(f"""WITH {_TRACK}, v AS (SELECT *, {_sql_distance("lat", "lon", "51.0", "-0.5")} AS d, CASE WHEN user_id % 2 = 0 THEN 'out' ELSE 'in' END AS direction FROM t WHERE row_idx % 20 = 0), k AS (SELECT user_id, arg_min(row_idx, (d, row_idx)) AS cut_row FROM v GROUP BY user_id)
+@query(f"""WITH {_TRACK}, v AS (SELECT *, {_sql_distance("lat", "lon", "51.0", "-0.5")} AS d, CASE WHEN user_id % 2 = 0 THEN 'out' ELSE 'in' END AS direction FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY row_idx) AS before FROM t) WHERE before IS NULL OR event_type <> before), k AS (SELECT user_id, arg_min(row_idx, (d, row_idx)) AS cut_row FROM v GROUP BY user_id)
 SELECT user_id, string_agg(event_type, ' ' ORDER BY row_idx) AS fixes FROM v JOIN k USING (user_id) WHERE (direction = 'out' AND row_idx <= cut_row) OR (direction = 'in' AND row_idx >= cut_row) GROUP BY user_id""")
 def fix_sequences(spark, sf_dir):
-    rows = _track(spark, sf_dir).where("row_idx % 20 = 0")
+    rows = series.value_changes(_track(spark, sf_dir), ["event_type"], KEY, ["row_idx"])
     ways = rows.select("user_id").distinct().withColumn("direction", F.when(F.col("user_id") % 2 == 0, "out").otherwise("in"))
     return corridor.fix_sequences(rows, (51.0, -0.5), ways, "user_id", "row_idx", "event_type").select("user_id", F.array_join("fixes", " ").alias("fixes"))
 
@@ -413,13 +413,13 @@ def wind_tags_and_names(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", corridor.wind_tag(still, F.lit(1500.0)).alias("wind"), corridor.renamed(F.col("l_returnflag"), {"A": "Airways"}).alias("label"))
 
 
-@query("""WITH r AS (SELECT user_id, list(DISTINCT event_type) AS s, max(value) AS top FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
-SELECT user_id, CASE WHEN len(list_filter(s, lambda x: x LIKE 'pur%')) > 0 AND top > 150 THEN 'high' WHEN list_contains(s, 'error') OR list_contains(s, 'signup') THEN CASE WHEN list_contains(s, 'view') THEN CASE WHEN top < 120 THEN 'low' ELSE 'Direct / other' END ELSE 'unseen' END
+@query("""WITH r AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) AS s, max(value) AS top FROM events GROUP BY ALL)
+SELECT user_id, day, CASE WHEN len(list_filter(s, lambda x: x LIKE 'pur%')) > 0 AND top > 150 THEN 'high' WHEN list_contains(s, 'error') OR list_contains(s, 'signup') THEN CASE WHEN list_contains(s, 'view') THEN CASE WHEN top < 120 THEN 'low' ELSE 'Direct / other' END ELSE 'unseen' END
  WHEN top < 120 THEN 'low' ELSE 'Direct / other' END AS label FROM r""")
 def route_rules(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("s"), F.max("value").alias("top"))
+    rows = _t(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("s"), F.max("value").alias("top"))
     rules = [{"label": "high", "any_prefix": ["pur", "xyz"], "alt_above": 150}, {"label": "unseen", "any_of": ["error", "signup"], "none_of": ["view"]}, {"label": "low", "alt_below": 120}]
-    return rows.select("user_id", corridor.classified(F.col("s"), rules, F.col("top")).alias("label"))
+    return rows.select("user_id", "day", corridor.classified(F.col("s"), rules, F.col("top")).alias("label"))
 
 
 @query(f"""WITH {_FLIGHTS} SELECT log_id, 'flights' AS request FROM f WHERE hours <> 0 AND distance >= 0.2 AND status = 'F' UNION ALL SELECT log_id, 'filtered' FROM f WHERE system_id IN (1, 4, 7)""")
