@@ -443,7 +443,7 @@ def parsed_durations(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), text.seconds(token).alias("seconds"))
 
 
-_ENDS = """(event_id * 37 % 60)::DOUBLE + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 300 - 150)::DOUBLE AS first_lon, (event_id * 37 % 60)::DOUBLE AS last_lat, (event_id * 53 % 300 - 150)::DOUBLE + 0.02 * (user_id % 5) AS last_lon"""
+_ENDS = """(event_id * 37 % 6000)::DOUBLE / 100 + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 30000)::DOUBLE / 100 - 150 AS first_lon, (event_id * 37 % 6000)::DOUBLE / 100 AS last_lat, (event_id * 53 % 30000)::DOUBLE / 100 - 150 + 0.02 * (user_id % 5) AS last_lon"""
 
 
 def _matches_sql(dated: str) -> str:
@@ -457,7 +457,7 @@ SELECT plan_id, count(*) AS n, round(min(a + b), 6) AS best FROM d WHERE a <= 12
 @query(_matches_sql("log_id % 2 = 0"))
 def plan_log_matches(spark, sf_dir):
     k, u = F.col("event_id"), F.col("user_id")
-    lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
+    lat, lon = k * 37 % 6000 / 100, k * 53 % 30000 / 100 - 150
     logs = _t(spark, sf_dir, "events").select(
         k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
     )
@@ -472,7 +472,7 @@ def plan_log_matches(spark, sf_dir):
 def plan_log_matches_all(spark, sf_dir):
     """Every log as a plan, a third of the plans without a day, which meet all logs."""
     k, u = F.col("event_id"), F.col("user_id")
-    lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
+    lat, lon = k * 37 % 6000 / 100, k * 53 % 30000 / 100 - 150
     logs = _t(spark, sf_dir, "events").select(
         k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
     )
