@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, langid, licences, mixing, pii, quality_rank, quality_rules, simhash, toxicity, vafile
+from skyloom.llm import bpe, divergence, hashed_index, langid, licences, mixing, pii, quality_rank, quality_rules, simhash, toxicity, vafile, vector_codes
 from skyloom.llm.common import table
 
 
@@ -62,6 +62,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_hashed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashed_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_pii, op3_toxicity, op4_quality_rank, op5_vector_files, op6_mixing, op7_language_id, op8_simhash, op9_licences, op10_bpe, pipeline)
+    own = (op1_quality_rules, op2_pii, op3_toxicity, op4_quality_rank, op5_vector_files, op6_mixing, op7_language_id, op8_simhash, op9_licences, op10_bpe, op11_hashed_index, op12_divergence, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -79,4 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_vector_files": vafile.oracle(),
         "op6_mixing": mixing.oracle(),
         "op9_licences": licences.oracle(),
+        "op12_divergence": divergence.oracle(),
+        "op13_vector_codes": vector_codes.oracle(),
     }

@@ -40,29 +40,29 @@ LONG = 2**63 - 1
 SAFE, SAFE_SUM = 2.0**31 - 1, 2.0**62
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id long and v array<double> (whole numbers) of the rows that take part."""
-    # Scaling by a power of two and rounding down are exact in doubles, however large the component.
-    x = F.transform(F.col(vector_col), lambda e: _floor(F.lit(float(scale)) * e.cast("double")))
-    fine = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) * scale < float("inf"))
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id long and v array<double> of the rows that take part."""
+    x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
+    fine = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf"))
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), fine)
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
 
 
-def _floor(x):
-    """Rounded down, as a double: beyond 2^53 every double is whole."""
-    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+def pack(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, scale: int = 1024) -> dict[str, bytes]:
+    """A block: ids, row numbers, exact vectors, each dimension's lowest value and cell width, and the cells.
 
-
-def pack(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> dict[str, bytes]:
-    """A block: ids, row numbers, exact vectors, each dimension's lowest value and cell width, and the cells."""
-    low = vectors.min(0)
-    width = np.maximum(1.0, np.ceil((vectors.max(0) - low + 1) / CELLS))
-    # Where doubles are coarser than 1 the division may round up to the end of the range.
-    cells = np.minimum((vectors - low) // width, CELLS - 1).astype(np.uint8)
-    small = len(vectors) and np.abs(vectors).max(initial=0.0) <= SAFE
+    Exact vectors are integers; where a block's do not fit 32 bits they stay as they came, unscaled.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Scaling by a power of two and rounding down are exact in doubles, up to where they turn infinite.
+        whole = np.floor(vectors * scale)
+        low = whole.min(0)
+        width = np.maximum(1.0, np.ceil((whole.max(0) - low + 1) / CELLS))
+        # Where doubles are coarser than 1 the division may round up to the end of the range; without a range all share a cell.
+        cells = np.clip(np.nan_to_num((whole - low) // width, nan=0.0), 0, CELLS - 1).astype(np.uint8)
+    small = len(vectors) and np.abs(whole).max(initial=0.0) <= SAFE
     return {
-        "ids": ids.astype("<i8").tobytes(), "rows": rows.astype("<i8").tobytes(), "exact": vectors.astype("<i4" if small else "<f8").tobytes(), "small": bool(small),
+        "ids": ids.astype("<i8").tobytes(), "rows": rows.astype("<i8").tobytes(), "exact": (whole.astype("<i4") if small else vectors.astype("<f8")).tobytes(), "small": bool(small),
         "low": low.astype("<f8").tobytes(), "width": width.astype("<f8").tobytes(), "cells": cells.tobytes(),
     }
 
@@ -73,23 +73,32 @@ def unpacked(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(block.rows, "<i8"), np.frombuffer(block.exact, "<i4" if block.small else "<f8").reshape(len(ids), -1)
 
 
-def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products with a query, cut to the range of a long."""
-    most = np.abs(query).max(initial=0.0) * np.abs(vectors.astype(np.float64)).max(initial=0.0) * max(1, len(query))
-    if most < SAFE_SUM and np.abs(query).max(initial=0.0) < SAFE_SUM and np.abs(vectors.astype(np.float64)).max(initial=0.0) < SAFE_SUM:
-        return vectors.astype(np.int64) @ query.astype(np.int64)
-    asked = [int(x) for x in query]
-    sums = [sum(a * int(x) for a, x in zip(asked, v, strict=True)) for v in vectors.tolist()]
+def integers(vector: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) without bounds; vectors of integers are such already."""
+    if vector.dtype.kind == "i":
+        return vector.tolist()
+    return [int(np.floor(x * scale)) if abs(x) < 2.0**53 else int(x) * scale for x in vector.tolist()]
+
+
+def products(vectors: np.ndarray, query: np.ndarray, scale: int = 1024) -> np.ndarray:
+    """Exact inner products with a query, cut to the range of a long; doubles are unscaled, as in ``pack``."""
+    if vectors.dtype.kind == query.dtype.kind == "i":
+        most = float(np.abs(query.astype(np.float64)).max(initial=0.0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0.0)) * max(1, len(query))
+        if most < SAFE_SUM:
+            return vectors.astype(np.int64) @ query.astype(np.int64)
+    asked = integers(query, scale)
+    sums = [sum(a * x for a, x in zip(asked, integers(v, scale), strict=True)) for v in vectors]
     return np.array([max(-LONG - 1, min(LONG, s)) for s in sums], np.int64)
 
 
 class Best:
     """The k best candidates so far of each query of a block, and how many exact vectors were read."""
 
-    def __init__(self, block, k: int):
+    def __init__(self, block, k: int, scale: int = 1024):
         self.ids, self.rows, self.queries = unpacked(block)
-        self.asked = self.queries.astype(np.float64)
-        self.k = k
+        with np.errstate(over="ignore"):
+            self.asked = self.queries.astype(np.float64) if block.small else np.floor(self.queries * scale)
+        self.k, self.scale = k, scale
         self.found = [np.zeros(0, np.int64) for _ in self.ids]
         self.scores = [np.zeros(0, np.int64) for _ in self.ids]
         self.read = 0
@@ -98,12 +107,14 @@ class Best:
         """Takes in a block of vectors; ``cells`` are its bytes as doubles."""
         ids, _, exact = unpacked(block)
         low, width = (np.frombuffer(x, "<f8") for x in (block.low, block.width))
-        # The most that cell c of dimension d adds is q * (low + c * width), and q * (width - 1) more where q > 0.
-        steps = self.asked * width
-        base = self.asked @ low + np.maximum(self.asked, 0.0) @ (width - 1)
-        bounds = base[:, None] + steps @ cells.T
-        # The sums are rounded; the bound stays one with this much added.
-        bounds += (1.0 + np.abs(self.asked) @ (np.abs(low) + CELLS * width))[:, None] * 1e-9 + 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            # The most that cell c of dimension d adds is q * (low + c * width), and q * (width - 1) more where q > 0.
+            steps = self.asked * width
+            base = self.asked @ low + np.maximum(self.asked, 0.0) @ (width - 1)
+            bounds = base[:, None] + steps @ cells.T
+            # The sums are rounded; the bound stays one with this much added.
+            bounds += (1.0 + np.abs(self.asked) @ (np.abs(low) + CELLS * width))[:, None] * 1e-9 + 1
+        bounds[~np.isfinite(bounds)] = np.inf  # what overflows on the way bounds nothing, so the exact vector is read
         np.maximum(bounds, -float(LONG), out=bounds)  # as scores are cut to the range of a long
         for q, own in enumerate(self.ids):
             bound = bounds[q]
@@ -120,7 +131,7 @@ class Best:
             at += self.k
             self.read += len(part)
             found = np.concatenate([found, ids[part]])
-            scores = np.concatenate([scores, products(exact[part], self.queries[q])])
+            scores = np.concatenate([scores, products(exact[part], self.queries[q], self.scale)])
             best = np.lexsort((found, -1 - scores))[: self.k]
             found, scores = found[best], scores[best]
         self.found[q], self.scores[q] = found, scores
@@ -130,14 +141,14 @@ class Best:
         return pd.DataFrame({"query_row": np.repeat(self.rows, n), "query_id": np.repeat(self.ids, n), "vec_id": np.concatenate(self.found), "score": np.concatenate(self.scores)})
 
 
-def _packed(rows: DataFrame, blocks: int, dims: int, per_group: int) -> DataFrame:
+def _packed(rows: DataFrame, blocks: int, dims: int, per_group: int, scale: int) -> DataFrame:
     """One row a block: its group (``per_group`` blocks each) and the parts of ``pack``."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         vectors = np.zeros((len(group), dims))
         for i, v in enumerate(group["v"]):
             vectors[i, : len(v)] = v
-        return pd.DataFrame([{"part": group["block"].iloc[0] // per_group, **pack(group["vec_id"].to_numpy(np.int64), group["row"].to_numpy(np.int64), vectors)}])
+        return pd.DataFrame([{"part": group["block"].iloc[0] // per_group, **pack(group["vec_id"].to_numpy(np.int64), group["row"].to_numpy(np.int64), vectors, scale)}])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInPandas(run, "part int, ids binary, rows binary, exact binary, small boolean, low binary, width binary, cells binary")
@@ -145,7 +156,7 @@ def _packed(rows: DataFrame, blocks: int, dims: int, per_group: int) -> DataFram
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by ``every``."""
-    rows = materialised(quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
+    rows = materialised(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     asked = F.col("vec_id") % every == 0
     n, n_asked, dims = rows.agg(F.count("*"), F.count(F.when(asked, 1)), F.greatest(F.lit(1), F.coalesce(F.max(F.size("v")), F.lit(1)))).first()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
@@ -154,11 +165,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     per_group = min(per_group, max(1, blocks // (2 * rows.sparkSession.sparkContext.defaultParallelism)))
     groups, query_groups = -(-blocks // per_group), -(-query_blocks // queries_a_group)
     both = lambda frame, name, copies: frame.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    stored = both(_packed(rows, blocks, dims, per_group).withColumnRenamed("part", "g"), "h", query_groups)
-    queries = both(_packed(rows.where(asked), query_blocks, dims, queries_a_group).withColumnRenamed("part", "h"), "g", groups)
+    stored = both(_packed(rows, blocks, dims, per_group, scale).withColumnRenamed("part", "g"), "h", query_groups)
+    queries = both(_packed(rows.where(asked), query_blocks, dims, queries_a_group, scale).withColumnRenamed("part", "h"), "g", groups)
 
     def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        best = [Best(block, k) for block in asked.itertuples(index=False)]
+        best = [Best(block, k, scale) for block in asked.itertuples(index=False)]
         for block in own.itertuples(index=False):
             cells = np.frombuffer(block.cells, np.uint8).reshape(-1, dims).astype(np.float64)
             for b in best:
