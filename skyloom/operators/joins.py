@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.geo import RADIUS_NM, distance_nm, squared_degrees
-from skyloom.session import materialised
+from skyloom.functions.geo import distance_nm
+from skyloom.functions.text import finite
+from skyloom.operators.spatial import Grid
+from skyloom.operators.spatial import nearest_of_all as nearest_of_all
+from skyloom.operators.spatial import nearest_within as nearest_within
 
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], ts: str, values: Sequence[str], strict: bool = False, prefix: str = "last_") -> DataFrame:
@@ -33,79 +35,6 @@ def in_intervals(rows: DataFrame, segments: DataFrame, key: Sequence[str], ts: s
     return found.select(*rows.columns, *[F.when(inside, F.col(f"__in_{v}")).alias(v) for v in values])
 
 
-def cell(lat: Column, lon: Column, reach_nm: float) -> tuple[Column, Column]:
-    """Band and column of a grid whose cells, with the eight around, hold all that lies within ``reach_nm`` of a point.
-
-    Bands are as high as the reach; each is cut into as many columns, around the whole globe, as are wide enough in it
-    and in the bands beside it. Near the poles a band is one cell.
-    """
-    size = math.degrees(reach_nm / RADIUS_NM) * 1.001
-    return (y := F.floor((lat + 90) / size)), _column(y, lon, size)
-
-
-def _columns(y: Column, size: float) -> Column:
-    widest = F.greatest(F.abs((y - 1) * size - 90), F.abs((y + 2) * size - 90))
-    share = F.lit(math.sin(math.radians(size) / 2)) / F.greatest(F.cos(F.radians(widest)), F.lit(1e-9))
-    n = F.when((widest >= 90) | (share >= 1), 1).otherwise(F.floor(F.lit(360.0) / F.degrees(2 * F.asin(F.least(share, F.lit(1.0))))))
-    return F.when(n < 3, F.lit(1)).otherwise(n).cast("long")
-
-
-def _column(y: Column, lon: Column, size: float) -> Column:
-    n = _columns(y, size)
-    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1)
-
-
-def around(rows: DataFrame, lat: str, lon: str, reach_nm: float, y: str, x: str) -> DataFrame:
-    """``rows`` once for each cell, of ``cell``, that a point within reach may lie in."""
-    size = math.degrees(reach_nm / RADIUS_NM) * 1.001
-    rows = rows.withColumn(y, F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.floor((F.col(lat) + 90) / size) + d)))
-    own, n = _column(F.col(y), F.col(lon), size), _columns(F.col(y), size)
-    return rows.withColumn(x, F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.pmod(own + d, n)))))
-
-
-def nearest_within(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, most_nm: float = 6.0) -> DataFrame:
-    """``points`` with the place (lat, lon) nearest on the sphere, null where none is within ``most_nm``; ties go to the first by name."""
-    near = around(places.where("lat IS NOT NULL AND lon IS NOT NULL").select(place, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), "__lat", "__lon", most_nm, "__y", "__x")
-    y, x = cell(F.col(lat), F.col(lon), most_nm)
-    at = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*point_key, F.col(lat).alias("__a"), F.col(lon).alias("__b"), y.alias("__y"), x.alias("__x"))
-    d = distance_nm(F.col("__a"), F.col("__b"), F.col("__lat"), F.col("__lon"))
-    best = at.join(near, ["__y", "__x"]).where(d <= most_nm).groupBy(*point_key).agg(F.min(F.struct(d.alias("d"), F.col(place))).alias("__best"))
-    return points.join(best.select(*point_key, F.col(f"__best.{place}").alias(place)), list(point_key), "left")
-
-
-def nearest_of_all(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, cell: float = 1.0) -> DataFrame:
-    """``points`` with the place of the least squared distance in degrees, however far; ties go to the first by name.
-
-    Points meet the places of their own and the eight cells around by an equality join, over cells four times as wide
-    for the points still open. A point is settled once its best is no farther than a cell's side, as every place so near
-    is in the nine cells; at last the cells hold all places. Only points or places without coordinates stay without.
-    """
-
-    near = places.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    ends = lambda rows, a, b: rows.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
-    at = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*point_key, F.col(lat).alias("__a"), F.col(lon).alias("__b"))
-    found = at.where("false").select(*point_key, F.lit(None).cast(near.schema[place].dataType).alias(place))
-    box, own = ends(near, "__lat", "__lon"), ends(at, "__a", "__b")
-    if None in (*box, *own):
-        return points.join(found, list(point_key), "left")
-    widest = max(max(box[1], own[1]) - min(box[0], own[0]), max(box[3], own[3]) - min(box[2], own[2]))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    d = squared_degrees(F.col("__a"), F.col("__b"), F.col("__lat"), F.col("__lon"))
-    while True:
-        last = cell > widest
-        around = near.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
-        around = around.withColumn("__y", F.floor(F.col("__lat") / cell) + F.col("__dy")).withColumn("__x", F.floor(F.col("__lon") / cell) + F.col("__dx"))
-        cells = at.withColumn("__y", F.floor(F.col("__a") / cell)).withColumn("__x", F.floor(F.col("__b") / cell))
-        best = cells.join(around, ["__y", "__x"], "left").groupBy(*point_key, "__a", "__b").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col(place)))).alias("__best"))
-        step = materialised(best.withColumn("__sure", F.lit(last) | F.coalesce(F.col("__best.d") <= cell * cell, F.lit(False))))
-        found = found.unionByName(step.where("__sure").select(*point_key, F.col(f"__best.{place}").alias(place)))
-        at = step.where("NOT __sure").select(*point_key, "__a", "__b")
-        if last or at.isEmpty():
-            break
-        cell *= 4
-    return points.join(found, list(point_key), "left")
-
-
 def abeam(plan: DataFrame, track: DataFrame, key: Sequence[str]) -> DataFrame:
     """For each planned waypoint (key, seq, lat, lon) the nearest row (row_idx, lat, lon) of the same key's track."""
     t = track.select(*key, F.col("row_idx"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).where("__lat IS NOT NULL AND __lon IS NOT NULL")
@@ -126,12 +55,17 @@ def continuity(flights: DataFrame, order: Sequence[str], arrives: str, departs:
 
 
 def resolved(idents: DataFrame, airports: DataFrame, fixes: DataFrame, ident: str = "ident") -> DataFrame:
-    """``idents`` (ident, ref_lat, ref_lon) with lat and lon: the airport of that name, else the fix of that name nearest to the reference."""
+    """``idents`` (ident, ref_lat, ref_lon) with lat and lon: the airport of that name, else the fix of that name nearest to the reference.
+
+    Each distinct ident and reference is resolved once. Without a reference the first namesake by position serves.
+    """
     named = airports.select(F.col("ident").alias("__i"), "lat", "lon", F.lit(0).alias("__rank")).unionByName(fixes.select(F.col("name").alias("__i"), "lat", "lon", F.lit(1).alias("__rank")))
-    rows = idents.withColumn("__row", F.monotonically_increasing_id())
-    d = F.coalesce(distance_nm(F.col("ref_lat"), F.col("ref_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    best = rows.join(named, F.col(ident) == F.col("__i")).groupBy("__row").agg(F.min(F.struct("__rank", F.when(F.col("__rank") == 1, d).alias("d"), "lat", "lon")).alias("b"))
-    return rows.join(best, "__row", "left").select(*idents.columns, F.col("b.lat").alias("lat"), F.col("b.lon").alias("lon"))
+    asked = idents.select(F.col(ident).alias("__i"), F.col("ref_lat").alias("__a"), F.col("ref_lon").alias("__b")).where("__i IS NOT NULL").distinct()
+    d = F.coalesce(distance_nm(F.col("__a"), F.col("__b"), F.col("lat"), F.col("lon")), F.lit(0.0))
+    rows = asked.join(named, "__i").withColumn("__d", F.when(F.col("__rank") == 1, d))
+    best = rows.groupBy("__i", "__a", "__b").agg(F.min(F.struct("__rank", "__d", "lat", "lon")).alias("__best"))
+    same = (F.col(ident) == F.col("__i")) & F.col("ref_lat").eqNullSafe(F.col("__a")) & F.col("ref_lon").eqNullSafe(F.col("__b"))
+    return idents.join(best, same, "left").select(*[idents[c] for c in idents.columns], F.col("__best.lat").alias("lat"), F.col("__best.lon").alias("lon"))
 
 
 def matched_names(rows: DataFrame, others: DataFrame, name: str, other: str, value: str) -> DataFrame:
@@ -166,16 +100,24 @@ def log_matches(plans: DataFrame, logs: DataFrame, most_nm: float = 12.0) -> Dat
 
     ``plans``: plan_id, day, from_lat, from_lon, to_lat, to_lon. ``logs``: log_id, day, first_lat, first_lon,
     last_lat, last_lon. Only logs of the plan's day count, where there is one; else (and without a day)
-    all do. The least sum of both distances ranks first, ties by log_id. Starts meet in the cells of ``cell``,
-    by an equality join.
+    all do. The least sum of both distances, to a millionth of a mile, ranks first, ties by log_id.
+
+    One equality join on the cells of both ends, so that a place where most flights begin does not bring them all
+    together; plans of a day with logs meet on the day too.
     """
-    days = logs.where("first_lat IS NOT NULL AND last_lat IS NOT NULL").select("day").distinct().withColumn("__dated", F.lit(True))
-    wanted = plans.where("from_lat IS NOT NULL AND to_lat IS NOT NULL").join(days, "day", "left").withColumnRenamed("day", "__day")
-    wanted = around(wanted, "from_lat", "from_lon", most_nm, "__y", "__x")
-    y, x = cell(F.col("first_lat"), F.col("first_lon"), most_nm)
-    pairs = wanted.join(logs.withColumn("__y", y).withColumn("__x", x), ["__y", "__x"]).where("__dated IS NULL OR day = __day")
-    pairs = pairs.withColumn("start_nm", distance_nm(F.col("first_lat"), F.col("first_lon"), F.col("from_lat"), F.col("from_lon")))
-    pairs = pairs.withColumn("end_nm", distance_nm(F.col("last_lat"), F.col("last_lon"), F.col("to_lat"), F.col("to_lon")))
-    order = Window.partitionBy("plan_id").orderBy(F.col("start_nm") + F.col("end_nm"), "log_id")
-    found = pairs.where((F.col("start_nm") <= most_nm) & (F.col("end_nm") <= most_nm))
-    return found.select("plan_id", "log_id", "start_nm", "end_nm", F.row_number().over(order).alias("rank"))
+    grid = Grid(most_nm)
+    ends = ["first_lat", "first_lon", "last_lat", "last_lon"]
+    own = logs.select("log_id", "day", *[finite(F.col(c)).alias(c) for c in ends]).where(" AND ".join(f"{c} IS NOT NULL" for c in ends))
+    wanted = plans.select("plan_id", F.col("day").alias("__day"), *[finite(F.col(c)).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")])
+    wanted = wanted.where("from_lat IS NOT NULL AND from_lon IS NOT NULL AND to_lat IS NOT NULL AND to_lon IS NOT NULL")
+    days = own.select(F.col("day").alias("__day")).where("day IS NOT NULL").distinct().withColumn("__dated", F.lit(True))
+    wanted = wanted.join(days, "__day", "left")
+    wanted = grid.around(grid.around(wanted, "from_lat", "from_lon", "__y", "__x"), "to_lat", "to_lon", "__v", "__u")
+    own = grid.cells(grid.cells(own, "first_lat", "first_lon", "__y", "__x"), "last_lat", "last_lon", "__v", "__u")
+    cells = ["__y", "__x", "__v", "__u"]
+    dated = wanted.where("__dated").withColumnRenamed("__day", "day").join(own, [*cells, "day"])
+    pairs = dated.drop("day", "__dated").unionByName(wanted.where("__dated IS NULL").drop("__day", "__dated").join(own.drop("day"), cells))
+    pairs = pairs.withColumn("start_nm", distance_nm(F.col("first_lat"), F.col("first_lon"), F.col("from_lat"), F.col("from_lon"))).where(F.col("start_nm") <= most_nm)
+    pairs = pairs.withColumn("end_nm", distance_nm(F.col("last_lat"), F.col("last_lon"), F.col("to_lat"), F.col("to_lon"))).where(F.col("end_nm") <= most_nm)
+    order = Window.partitionBy("plan_id").orderBy(F.round(F.col("start_nm") + F.col("end_nm"), 6), "log_id")
+    return pairs.select("plan_id", "log_id", "start_nm", "end_nm", F.row_number().over(order).alias("rank"))

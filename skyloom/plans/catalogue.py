@@ -443,44 +443,46 @@ def parsed_durations(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), text.seconds(token).alias("seconds"))
 
 
-_ENDS = """(event_id * 37 % 6000)::DOUBLE / 100 + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 30000)::DOUBLE / 100 - 150 AS first_lon, (event_id * 37 % 6000)::DOUBLE / 100 AS last_lat, (event_id * 53 % 30000)::DOUBLE / 100 - 150 + 0.02 * (user_id % 5) AS last_lon"""
+_ENDS = """(event_id * 37 % 60)::DOUBLE + 0.05 * (user_id % 3) AS first_lat, (event_id * 53 % 300 - 150)::DOUBLE AS first_lon, (event_id * 37 % 60)::DOUBLE AS last_lat, (event_id * 53 % 300 - 150)::DOUBLE + 0.02 * (user_id % 5) AS last_lon"""
 
 
 def _matches_sql(dated: str) -> str:
     return f"""WITH l AS (SELECT event_id AS log_id, ts::DATE AS day, {_ENDS} FROM events),
 p AS (SELECT log_id AS plan_id, CASE WHEN {dated} THEN day END AS day, last_lat AS from_lat, first_lon AS from_lon, first_lat AS to_lat, last_lon AS to_lon FROM l),
 d AS (SELECT p.plan_id, l.log_id, {_sql_distance("first_lat", "first_lon", "from_lat", "from_lon")} AS a, {_sql_distance("last_lat", "last_lon", "to_lat", "to_lon")} AS b
- FROM p JOIN l ON abs(l.first_lat - p.from_lat) < 1 AND abs(l.first_lon - p.from_lon) < 1 AND (p.day IS NULL OR p.day = l.day))
-SELECT plan_id, count(*) AS n, round(min(a + b), 6) AS best FROM d WHERE a <= 12 AND b <= 12 GROUP BY plan_id"""
+ FROM p JOIN l ON abs(l.first_lat - p.from_lat) < 1 AND abs(l.first_lon - p.from_lon) < 1 AND (p.day IS NULL OR p.day = l.day)),
+r AS (SELECT plan_id, log_id, round(a, 6) AS start_nm, round(b, 6) AS end_nm, row_number() OVER (PARTITION BY plan_id ORDER BY round(a + b, 6), log_id)::INT AS rank, count(*) OVER (PARTITION BY plan_id) AS n FROM d WHERE a <= 12 AND b <= 12)
+SELECT * FROM r WHERE rank <= 5"""
 
 
-@query(_matches_sql("log_id % 2 = 0"))
-def plan_log_matches(spark, sf_dir):
+def _ends(spark, sf_dir) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
-    lat, lon = k * 37 % 6000 / 100, k * 53 % 30000 / 100 - 150
-    logs = _t(spark, sf_dir, "events").select(
+    lat, lon = (k * 37 % 60).cast("double"), (k * 53 % 300 - 150).cast("double")
+    return _t(spark, sf_dir, "events").select(
         k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
     )
+
+
+def _ranked_matches(logs: DataFrame, dated) -> DataFrame:
+    """The first five matches of every log, taken as a plan that begins where it ended, and how many there are."""
     plans = logs.select(
-        F.col("log_id").alias("plan_id"), F.when(F.col("log_id") % 2 == 0, F.col("day")).alias("day"),
+        F.col("log_id").alias("plan_id"), F.when(dated, F.col("day")).alias("day"),
         F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
     )
-    return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
+    found = joins.log_matches(plans, logs).withColumn("n", F.count("*").over(Window.partitionBy("plan_id"))).where("rank <= 5")
+    return found.select("plan_id", "log_id", F.round("start_nm", 6).alias("start_nm"), F.round("end_nm", 6).alias("end_nm"), "rank", "n")
+
+
+@query(_matches_sql("log_id % 2 = 0"))
+def plan_log_matches(spark, sf_dir):
+    """Every log as a plan, half of the plans without a day, which meet all logs."""
+    return _ranked_matches(_ends(spark, sf_dir), F.col("log_id") % 2 == 0)
 
 
 @query(_matches_sql("log_id % 3 <> 0"))
 def plan_log_matches_all(spark, sf_dir):
-    """Every log as a plan, a third of the plans without a day, which meet all logs."""
-    k, u = F.col("event_id"), F.col("user_id")
-    lat, lon = k * 37 % 6000 / 100, k * 53 % 30000 / 100 - 150
-    logs = _t(spark, sf_dir, "events").select(
-        k.alias("log_id"), F.to_date("ts").alias("day"), (lat + 0.05 * (u % 3)).alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), (lon + 0.02 * (u % 5)).alias("last_lon")
-    )
-    plans = logs.select(
-        F.col("log_id").alias("plan_id"), F.when(F.col("log_id") % 3 != 0, F.col("day")).alias("day"),
-        F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
-    )
-    return joins.log_matches(plans, logs).groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("start_nm") + F.col("end_nm")), 6).alias("best"))
+    """The same with a third of the plans without a day."""
+    return _ranked_matches(_ends(spark, sf_dir), F.col("log_id") % 3 != 0)
 
 
 @query("""WITH p AS (SELECT event_id, (event_id * 37 % 170 - 85)::DOUBLE AS lat, (event_id * 53 % 350 - 175)::DOUBLE AS lon FROM events),
