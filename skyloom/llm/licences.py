@@ -7,8 +7,9 @@ smaller set, only templates whose size lies between t / (2 - t) and (2 - t) / t
 reach the threshold t; of those, only templates that share a bigram are counted at all.
 
 Runs are sought for templates of size m of which the text holds at least m * t / (2 - t) bigrams, as every
-match must. Of all runs, the one with the greatest 2 * common - t * size is taken, left to right; it matches
-if that is at least t * m. A run must hold a bigram of its template alone, if there is any, so that a phrase
+match must. A run has at most m * (2 - t) / t bigrams, repeats counted, as a match's distinct ones have. It matches if 2 * common - t * size
+is at least t * m. Left to right, the first match to end gives way to runs that start no later than it ends and reach more, the first of
+equals; what stands is taken, and the search goes on behind it, so a text takes time in proportion to its length. A run must hold a bigram of its template alone, if there is any, so that a phrase
 that licences share names none of them. Where runs of several templates overlap, the one with the most common
 bigrams stands. Runs that overlap a line (or text) that matches the same template are that match, not another.
 
@@ -144,63 +145,66 @@ class Templates:
             if c >= self.sizes[k] * self.share - 1e-9:
                 own = self.pairs[k]
                 all_runs += [(n_common, k, dice, a, b + 2) for n_common, dice, a, b in self._own_runs(k, pairs, [i for i in hits if pairs[i] in own])]
-        out: list[tuple[str, float, int, int]] = []
+        out: list[tuple[int, int, str, float]] = []  # disjoint, in their order
         for _, k, dice, a, b in sorted(all_runs, key=lambda r: (-r[0], -r[2], r[3], r[1])):
-            if all(b <= x or a >= y for _, _, x, y in out):
-                out.append((k, dice, a, b))
-        return out
+            at = bisect_right(out, (a, len(found) + 1))
+            if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+                out.insert(at, (a, b, k, dice))
+        return [(k, dice, a, b) for a, b, k, dice in out]
 
     def _own_runs(self, k: str, pairs: list[tuple[str, str]], hits: list[int]) -> Iterator[tuple[int, float, int, int]]:
-        """(common bigrams, dice, first, last bigram) of one template's runs, in those parts of a text whose gaps are small enough."""
-        own, m, t = self.pairs[k], self.sizes[k], self.threshold
-        # A run has at most 2 m (1 - t) / t bigrams that are not the template's.
-        gap = 2 * m * (1 - t) / t
+        """(common bigrams, dice, first, last bigram) of one template's runs, in those parts of a text whose gaps are shorter than a run."""
+        own, m, most = self.pairs[k], self.sizes[k], self.longest(k)
         first = 0
         for i in range(1, len(hits) + 1):
-            if i < len(hits):
-                between = hits[i] - hits[i - 1] - 1
-                if between <= gap or len(set(pairs[hits[i - 1] + 1 : hits[i]])) <= gap:
-                    continue
+            if i < len(hits) and hits[i] - hits[i - 1] < most:
+                continue
             part = hits[first:i]
             first = i
             if len({pairs[h] for h in part}) >= m * self.share - 1e-9:
                 yield from self._scan(k, own, pairs, part[0], part[-1] + 1)
 
+    def longest(self, k: str) -> int:
+        """Bigrams of a run of a template at most, repeats counted: as many as a passage that can match may have."""
+        return int(self.sizes[k] / self.share + 1e-9)
+
     def _scan(self, k: str, own: set[tuple[str, str]], pairs: list[tuple[str, str]], begin: int, end: int) -> Iterator[tuple[int, float, int, int]]:
-        m, t = self.sizes[k], self.threshold
-        least, most, marks = m * self.share - 1e-9, m / self.share + 1e-9, self.marks[k]
+        """Steps through the bigrams once; after a run, from the one after it.
+
+        A bigram changes the gains of those runs alone that start after its last occurrence, and each place is changed at most once for
+        each distinct bigram of a run's length, so that repetitive texts take no longer than others.
+        """
+        m, t, most, marks = self.sizes[k], self.threshold, self.longest(k), self.marks[k]
+        ceiling = (2 - t) * m - 1e-9
+        # gains[l] is 2 * common - t * size of the bigrams from l to the current one.
+        gains = np.zeros(end - begin)
+        offset = begin
         while begin < end:
-            # gains[l] is 2 * common - t * size of the bigrams from begin + l to the current one.
-            gains = np.zeros(end - begin)
             last: dict[tuple[str, str], int] = {}
-            inside: Counter[tuple[str, str]] = Counter()
-            low, common, top, best = begin, 0, t * m - 1e-9, None
+            top, best, gate, bound = t * m - 1e-9, None, end, 0.0
+            gains[begin - offset :] = 0.0
             for r in range(begin, end):
+                low = max(begin, r + 1 - most)
+                # A run that starts beyond the first match is another.
+                if low > gate or top >= ceiling:
+                    break
                 b = pairs[r]
-                inside[b] += 1
-                if b in own and inside[b] == 1:
-                    common += 1
-                while len(inside) > most:
-                    gone = pairs[low]
-                    low += 1
-                    inside[gone] -= 1
-                    if not inside[gone]:
-                        del inside[gone]
-                        common -= gone in own
-                # No run that starts in the best one can gain more than all the template has, less what lies between.
-                if best:
-                    if b not in own:
-                        beyond.add(b)
-                    if low > best[1] or (2 - t) * m - t * len(beyond) <= top:
-                        break
-                since = max(last.get(b, begin - 1) + 1, low)
+                since = max(last.get(b, -1) + 1, low)
                 last[b] = r
-                gains[since - begin : r + 1 - begin] += 2 - t if b in own else -t
-                if b in own and common >= least:
-                    l = low + int(gains[low - begin : r + 1 - begin].argmax())  # noqa: E741
-                    if gains[l - begin] > top + 1e-9 * bool(best):
-                        top, best = gains[l - begin], (l, r)
-                        beyond: set[tuple[str, str]] = set()
+                if b not in own:
+                    gains[since - offset : r + 1 - offset] -= t
+                    continue
+                gains[since - offset : r + 1 - offset] += 2 - t
+                bound += 2 - t
+                if bound <= top:
+                    continue
+                until = min(r, gate)
+                if since > until:
+                    continue
+                # Runs that start earlier gain nothing by it, so those that start here tell whether there is a better one.
+                l = since + int(gains[since - offset : until + 1 - offset].argmax())  # noqa: E741
+                if gains[l - offset] > top + 1e-9 * bool(best):
+                    top, best, gate = gains[l - offset], (l, r), min(gate, r)
             if not best:
                 return
             l, r = best  # noqa: E741

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import bounded_sample, materialised
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the weights are fitted on, at most, and tokens of theirs.
+#: Documents that the weights are fitted on, at most, and tokens of theirs; parameters of ``fit``.
 FIT_ROWS = 4000
 FIT_TOKENS = 400_000
 SURE = 0.8
@@ -321,9 +321,10 @@ def train(found: list[Lesson], steps: int = 600, rate: float = 0.05, ridge: floa
     return Field(w[: cut[0]].reshape(FEATURES, labels), w[cut[0] : cut[1]].reshape(labels, labels), float(w[-1]))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> Field:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS, most_tokens: int = FIT_TOKENS) -> Field:
     """A field fitted on a bounded sample of documents. Texts stay in the tasks; their feature numbers are
-    gathered, for ``FIT_TOKENS`` tokens at most, in the order of the documents' hashes."""
+    gathered in the order of the documents' hashes, up to the first document with which there would be more than ``most_tokens`` tokens
+    (a document that has more on its own is passed over), so long and short documents are as likely to be in the sample."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = bounded_sample(rows, ["id", "text"], most)
     sample = sample.select(F.xxhash64("id", "text").alias("h"), "text")
@@ -335,13 +336,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
             yield pd.DataFrame(out, columns=["h", "feats", "marks", "chain", "skip"])
 
     lessons = materialised(sample.mapInPandas(run, kind))
-    # A text may hold very many tokens: lessons are taken while their tokens fit the bound.
+    # A text may hold very many tokens.
     sizes = sorted((r.h, r.n) for r in lessons.select("h", F.size("marks").alias("n")).collect())
     taken, total = [], 0
     for h, n in sizes:
-        if total + n <= FIT_TOKENS:
-            taken.append(h)
-            total += n
+        if n > most_tokens:
+            continue
+        if total + n > most_tokens:
+            break
+        taken.append(h)
+        total += n
     rows = lessons.where(F.col("h").isin(taken)).collect() if len(taken) < len(sizes) else lessons.collect()
     return train([(list(map(list, r.feats)), list(r.marks), list(map(tuple, r.chain)), list(map(tuple, r.skip))) for r in sorted(rows, key=lambda r: r.h)])
 

@@ -7,9 +7,9 @@ is judged by the extreme-value law of the best segment in clean text of the same
 parameters fitted on the clean training texts, and the surprise of the text's best segment (plus that
 of its further significant ones) is mapped to a probability by a logistic fit.
 
-Counts are summed by Spark over a bounded sample of the labelled training rows. The model keeps the
-tokens whose evidence lies beyond three standard errors, the ``most_tokens`` strongest of them (a
-parameter of ``fit``); all others share one score.
+Counts are summed by Spark over a bounded sample of the labelled training rows. The model keeps all
+tokens whose evidence lies beyond three standard errors; all others share one score. Where they are more than
+``most_tokens`` (a parameter of ``fit``), which the model's memory is for, fitting fails rather than leave some out.
 
 Defined results: null and tokenless texts have no segment and the least score; rows without a label
 teach nothing; without labels of both kinds every score is 0; several labels of an id count each, rows
@@ -35,8 +35,10 @@ from skyloom.llm.simhash import fingerprints, spanning_links
 
 #: Labelled rows that the token table and the calibration are fitted on, at most.
 FIT_ROWS = 20_000
-#: Tokens that carry scores, at most; all others score ``other``.
-TOKENS = 200_000
+#: Labelled rows that near copies are sought among on the driver, at most: a ceiling of ``most``.
+MOST_ROWS = 50_000
+#: Tokens that may carry scores.
+TOKENS = 1_000_000
 PRIOR = 500.0
 LEAST_PRIOR = 0.5
 EVIDENCE = 3.0
@@ -104,7 +106,7 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
 
 
 def token_table(rows: DataFrame, most: int = TOKENS) -> pd.DataFrame:
-    """token, toxic and all rows that have it, for the tokens with the strongest evidence in rows (text, toxic)."""
+    """token, toxic and all rows that have it, for the tokens with evidence in rows (text, toxic); more than ``most`` are an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +122,9 @@ def token_table(rows: DataFrame, most: int = TOKENS) -> pd.DataFrame:
     sums = counts.agg(F.sum("bad"), F.sum("n")).first()
     total = (sums[0] or 0) / (sums[1] or 1)
     z = F.abs(F.col("bad") - F.col("n") * total) / F.sqrt(F.col("n") * max(total * (1 - total), 1e-9))
-    kept = counts.where(z >= EVIDENCE).orderBy(z.desc(), "token").limit(most).toPandas()
+    kept = counts.where(z >= EVIDENCE).orderBy(z.desc(), "token").limit(most + 1).toPandas()
+    if len(kept) > most:
+        raise ValueError(f"more than {most} tokens are evidence; raise most_tokens or lower most")
     kept.attrs |= {"bad": int(sums[0] or 0), "n": int(sums[1] or 0)}
     return kept
 
@@ -188,7 +192,9 @@ def one_a_class(rows: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS, most_tokens: int = TOKENS) -> Model:
-    """A model from the labelled rows whose remainder modulo 4 is not 2."""
+    """A model from the labelled rows whose remainder modulo 4 is not 2, ``most`` of them and never more than ``MOST_ROWS``."""
+    if most > MOST_ROWS:
+        raise ValueError(f"near copies are sought among {MOST_ROWS} rows at most")
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = bounded_sample(known, ["id", "toxic"], most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").where("text IS NOT NULL")  # ``most`` rows at most

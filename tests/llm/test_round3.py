@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
-from skyloom.llm import divergence, hashed_index, queries, vafile, vector_codes
+from skyloom.llm import divergence, hashed_index, licences, pii, queries, toxicity, vafile, vector_codes
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string, rank int, id int, v int, row int"
 
@@ -245,3 +246,83 @@ def test_exact_search_with_extreme_components(spark):
     assert sorted(map(tuple, vafile.top_k(vectors(spark, rows)).collect())) == expected
     block = SimpleNamespace(**vafile.pack(np.arange(2), np.arange(2), np.array([[1e308, 1.0], [-1e308, 2.0]])))
     assert not block.small and vafile.integers(vafile.unpacked(block)[2][0], 1024) == [int(1e308) * 1024, 1024]
+
+
+# Licences
+
+
+def plain_runs(own, k, pairs):
+    """All windows of a template's runs, one after another."""
+    mine, m, t, most = own.pairs[k], own.sizes[k], own.threshold, own.longest(k)
+    gain = lambda a, b: 2 * len(set(pairs[a : b + 1]) & mine) - t * len(set(pairs[a : b + 1]))
+    begin, out = 0, []
+    while begin < len(pairs):
+        best, top, gate = None, t * m - 1e-9, len(pairs)
+        for r in range(begin, len(pairs)):
+            if r + 1 - most > gate:
+                break
+            for a in range(max(begin, r + 1 - most), min(r, gate) + 1):
+                if (g := gain(a, r)) > top + 1e-9 * bool(best):
+                    top, best = g, (a, r)
+            gate = min(gate, best[1]) if best else gate
+        if not best:
+            break
+        held = set(pairs[best[0] : best[1] + 1])
+        if not own.marks[k] or held & own.marks[k]:
+            out.append((len(held & mine), 2.0 * len(held & mine) / (len(held) + m), *best))
+        begin = best[1] + 1
+    return out
+
+
+def test_runs_of_random_texts_by_all_windows():
+    rng = random.Random(9)
+    texts = {"one": "a b c d e f g h i j", "two": "a b c x y z d e f q r s", "three": "m n a b m n"}
+    own = licences.Templates(texts, 0.8)
+    found = 0
+    for _ in range(400):
+        words = []
+        while len(words) < rng.randrange(5, 60):
+            if rng.random() < 0.5:
+                part = texts[rng.choice(list(texts))].split()
+                words += [w for w in part if rng.random() < 0.95] * rng.choice([1, 1, 2])
+            else:
+                words += rng.choices("abcdefmnxyq", k=rng.randrange(1, 6))
+        pairs = list(zip(words, words[1:], strict=False))
+        for k in texts:
+            hits = [i for i, b in enumerate(pairs) if b in own.pairs[k]]
+            mine = list(own._own_runs(k, pairs, hits)) if hits else []
+            expected = plain_runs(own, k, pairs)
+            assert [r[2:] for r in mine] == [r[2:] for r in expected] and np.allclose([r[:2] for r in mine], [r[:2] for r in expected])
+            found += len(mine)
+        kept = own.runs(words)
+        assert all(b <= c for (_, _, _, b), (_, _, c, _) in zip(kept, kept[1:], strict=False))
+    assert found > 200
+
+
+def test_runs_in_repetitive_texts_take_time_in_proportion():
+    own = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
+    name = max((k for k, n in own.sizes.items() if n < 200), key=own.sizes.get)
+    words = licences.tokens(licences.TEMPLATES[name])
+    near = words[: len(words) // 2] + words[len(words) // 2 + 1 :]
+    times = []
+    for n in (100_000, 400_000):
+        began = time.perf_counter()
+        found = own.runs((near * (n // len(near) + 1))[:n])
+        times.append(time.perf_counter() - began)
+        assert abs(len(found) - n / len(near)) <= n / len(near) / 10
+    assert times[1] < 8 * times[0] and times[1] < 60
+
+
+# Bounds of fitting samples
+
+
+def test_pii_samples_stop_at_the_bound_and_toxicity_fails_beyond_it(spark):
+    docs = spark.createDataFrame([(i, f"call +1 (171) 555-20{i:02d} or 17155520{i:02d} " * (1 + i % 3)) for i in range(60)], "doc_id long, text string")
+    for most in (10, 200, 10**6):
+        assert pii.fit(docs, most_tokens=most).unary.shape == (pii.FEATURES, 5)
+    rows = spark.createDataFrame([(f"good w{i} bad{i % 2}", i % 2) for i in range(200)], "text string, toxic int")
+    assert len(toxicity.token_table(rows)) >= 2
+    with pytest.raises(ValueError, match="tokens are evidence"):
+        toxicity.token_table(rows, 1)
+    with pytest.raises(ValueError, match="near copies"):
+        toxicity.fit(docs, docs, most=toxicity.MOST_ROWS + 1)
