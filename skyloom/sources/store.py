@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom import fields
-from skyloom.session import remove
+from skyloom.sources.keyed import KeyedTable, exists, opened
 
 
-def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
+def replace_by_key(rows: DataFrame, path: str, key: str | Sequence[str]) -> None:
     """Writes ``rows`` so that the keys among them replace what was stored for them and no other key changes."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    KeyedTable(rows.sparkSession, path, key).replace(rows)
 
 
-def stored(spark, path: str) -> DataFrame:
+def stored(spark: SparkSession, path: str) -> DataFrame:
     """The table, with the columns of all its parts."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return opened(spark, path).table()
 
 
 def as_text(rows: DataFrame, ts: str) -> DataFrame:
@@ -55,10 +55,8 @@ class Aggregates:
         return stored(self.spark, f"{self.path}/intervals")
 
     def remove(self, logs: Sequence[str], log: str = "LogFileName") -> None:
-        """Drops the intervals of some logs."""
-        gone = self.table().where(F.col(log).isin(list(logs))).select(log).distinct()
-        for r in gone.collect():  # a folder a log that was named
-            remove(self.spark, f"{self.path}/intervals/{log}={r[0]}")
+        """Drops the intervals of some logs; those that are not there change nothing."""
+        KeyedTable(self.spark, f"{self.path}/intervals", log).delete(self.spark.createDataFrame([(name,) for name in logs], f"`{log}` string"))
 
 
 def interval_table(samples: DataFrame, seconds: int = 60, takeoff: DataFrame | None = None, log: str = "LogFileName", ts: str = "ts") -> DataFrame:
@@ -71,11 +69,6 @@ def interval_table(samples: DataFrame, seconds: int = 60, takeoff: DataFrame | N
     return stats.wide(rows, fields.STORED_VALUES, fields.STORED_NAMES, [log, "Date"], [ts])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def cached(spark: SparkSession, folder: str, signature: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, written below ``folder`` under a digest of ``signature`` (parameters, file names and sizes) and read
     from there when it is asked for again."""

@@ -209,17 +209,6 @@ def test_streaming_agrees_with_batch(spark, sf_dir, tmp_path):
     assert spark.table("interval_stats").count() == batch.count()
 
 
-def test_refresh_replaces_what_a_batch_names(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "log string, v double")
-    rows.write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run = lambda: streams.refresh(source, str(tmp_path / "out"), "log", str(tmp_path / "cp"), lambda r: r.groupBy("log").agg(F.sum("v").alias("v"), F.count("*").alias("n"))).awaitTermination()
-    run()
-    spark.createDataFrame([("a", 5.0), ("c", 3.0)], "log string, v double").write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    assert sorted((r.log, r.v, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 6.0, 2), ("b", 2.0, 1), ("c", 3.0, 1)]
-
-
 def test_units(spark):
     assert abs(one(spark, units.converted(F.lit(212.0), "degF", "degC")) - 100) < 1e-9
     assert one(spark, units.converted(F.lit(None).cast("double"), "ft", "m")) is None
