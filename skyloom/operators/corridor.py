@@ -7,13 +7,15 @@ from functools import reduce
 from operator import and_, or_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skyloom.functions.geo import cross_track_nm, distance_nm
 from skyloom.functions.text import finite
+from skyloom.operators.clusters import clustered as clustered
+from skyloom.operators.clusters import complete_linkage as complete_linkage
+from skyloom.operators.clusters import fix_distances as fix_distances
+from skyloom.operators.clusters import labelled as labelled
 from skyloom.operators.joins import abeam
 from skyloom.operators.series import by, distance_run
 
@@ -55,91 +57,6 @@ def offset_profile(track: DataFrame, a: tuple[float, float], b: tuple[float, flo
     return rows.groupBy(*key).agg(*at).select(*key, F.array(*[f"o{k}" for k in range(1, n + 1)]).alias("offsets"))
 
 
-def complete_linkage(profiles: list[np.ndarray], most: float) -> list[int]:
-    """Cluster numbers by size: the closest two clusters join while all their members are within ``most`` (RMS).
-
-    Memory is one number for each pair of profiles. Of equally close pairs the first in the clusters' order joins.
-    """
-    if not profiles:
-        return []
-    x = np.array(profiles, float).reshape(len(profiles), -1)
-    gap = np.array([np.sqrt(((x - own) ** 2).mean(1)) for own in x])
-    gap[np.tril_indices(len(x))] = np.inf
-    clusters = [[i] for i in range(len(x))]
-    while len(clusters) > 1:
-        i, j = divmod(int(gap.argmin()), len(clusters))
-        if gap[i, j] > most:
-            break
-        clusters[i] += clusters.pop(j)
-        # Distances to the joined cluster are the greater of both; each pair stands above the diagonal.
-        both = np.minimum(gap, gap.T)
-        joined = np.maximum(both[i], both[j])
-        gap[i, i + 1 :], gap[:i, i] = joined[i + 1 :], joined[:i]
-        gap = np.delete(np.delete(gap, j, 0), j, 1)
-    clusters.sort(key=lambda c: -len(c))
-    out = [0] * len(x)
-    for number, members in enumerate(clusters):
-        for m in members:
-            out[m] = number
-    return out
-
-
-def clustered(profiles: DataFrame, group: str, key: str, most_nm: float = 12.0) -> DataFrame:
-    """``profiles`` (group, key, offsets) with the cluster of each flight within its group (a direction of one corridor: tens of flights)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, kind="stable")
-        return rows.assign(cluster=complete_linkage(list(rows["offsets"]), most_nm)).astype({"cluster": "int32"})
-
-    return profiles.groupBy(group).applyInPandas(run, T.StructType([*profiles.schema.fields, T.StructField("cluster", T.IntegerType())]))
-
-
-def fix_distances(tracks: DataFrame, fixes: DataFrame, group: str) -> DataFrame:
-    """group, cluster, fix, navaid, mean: how near a cluster's flights come to each fix of their corridor, on average.
-
-    ``tracks``: group, cluster, flight, lat, lon (thinned out). ``fixes``: group, fix, navaid, lat, lon, those
-    within the corridor's box. Nearest approaches are taken before anything is shuffled.
-    """
-    at = fixes.select(group, "fix", "navaid", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    d = distance_nm(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
-    nearest = tracks.where("lat IS NOT NULL AND lon IS NOT NULL").join(at, group).groupBy(group, "cluster", "flight", "fix", "navaid").agg(F.min(d).alias("d"))
-    return nearest.groupBy(group, "cluster", "fix", "navaid").agg(F.avg("d").alias("mean"))
-
-
-def labelled(distances: DataFrame, group: str, near_nm: float = 8.0, apart_nm: float = 6.0) -> DataFrame:
-    """group, cluster, label: the fix that tells a cluster from the others of its group, by ``fix_distances``.
-
-    A fix suits a cluster that comes within ``near_nm`` of it while every other one stays ``apart_nm`` farther
-    off. Clusters choose in order of their numbers; navaids go before other fixes, then the greatest lead,
-    then the name; a fix is given once. Without a suitable one the nearest fix within reach serves, or else the number.
-    """
-    w = Window.partitionBy(group, "fix")
-    least = F.min(F.struct("mean", "cluster")).over(w)
-    second = F.get(F.sort_array(F.collect_list("mean").over(w)), F.lit(1))
-    others = F.when(least["cluster"] == F.col("cluster"), second).otherwise(least["mean"])
-    rows = distances.withColumn("lead", others - F.col("mean"))
-    # Only suitable fixes and each cluster's nearest one reach the choice.
-    nearest = F.row_number().over(Window.partitionBy(group, "cluster").orderBy("mean", "fix")) == 1
-    rows = rows.withColumn("suits", (F.col("mean") <= near_nm) & (F.col("lead").isNull() | (F.col("lead") >= apart_nm))).withColumn("nearest", nearest).where("suits OR nearest")
-
-    def choose(own: pd.DataFrame) -> pd.DataFrame:
-        given: set[str] = set()
-        out = []
-        for cluster, mine in own.groupby("cluster", sort=True):
-            free = mine[mine["suits"] & ~mine["fix"].isin(given)].sort_values(["navaid", "lead", "fix"], ascending=[False, False, True], na_position="last", kind="stable")
-            if len(free):
-                label = free["fix"].iloc[0]
-                given.add(label)
-            else:
-                best = mine[mine["nearest"]].iloc[0]
-                label = best["fix"] if best["mean"] <= near_nm else f"Group {cluster + 1}"
-            out.append((own[group].iloc[0], cluster, label))
-        return pd.DataFrame(out, columns=[group, "cluster", "label"]).astype({"cluster": "int32"})
-
-    kind = T.StructType([distances.schema[group], T.StructField("cluster", T.IntegerType()), T.StructField("label", T.StringType())])
-    return rows.groupBy(group).applyInPandas(choose, kind)
-
-
 #: The route rules that are used where none are given, the first that holds first.
 RULES = (
     {"label": "OCAS (low, OCK/LYD)", "any_prefix": ["M25"]},

@@ -81,15 +81,39 @@ def trips(flights: DataFrame, base: str, aircraft: str = "system_id", start: str
     return found.unionByName(flights.where(F.col(aircraft).isNull()).withColumn("trip_idx", F.lit(None).cast("int")))
 
 
-def trip_totals(flights: DataFrame, keys: Sequence[str], start: str = "start_time") -> DataFrame:
-    """Fuel at the start and end, sums, and ratios of sums for each trip; ``flights`` has distance, hours, fuel_used, fuel_from, fuel_to, altitude."""
-    return flights.groupBy(*keys).agg(
-        F.count("*").alias("n_flights"), F.min_by("fuel_from", start).alias("fuel_start"), F.max_by("fuel_to", start).alias("fuel_end"),
-        F.sum("distance").alias("distance"), F.sum("hours").alias("hours"), F.sum("fuel_used").alias("fuel_used"), F.max("altitude").alias("altitude"),
-        (F.sum("distance") / F.nullif(F.sum("hours"), F.lit(0.0))).alias("ground_speed"),
-        (F.sum("fuel_used") / F.nullif(F.sum("hours"), F.lit(0.0))).alias("gph"),
-        (F.sum("distance") / F.nullif(F.sum("fuel_used"), F.lit(0.0))).alias("nm_per_gallon"),
-    )
+def trip_measures(start: str = "start_time", order: Sequence[str] = ()) -> dict[str, Column]:
+    """Aggregates of flights at any level: sums, ratios of sums, and what belongs to the oldest or the newest flight.
+
+    Flights have distance, hours, fuel_used, fuel_from, fuel_to, altitude.
+    """
+    at = F.struct(start, *order)
+    ratio = lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0.0))
+    return {
+        "n_flights": F.count("*"), "fuel_start": F.min_by("fuel_from", at), "fuel_end": F.max_by("fuel_to", at),
+        "distance": F.sum("distance"), "hours": F.sum("hours"), "fuel_used": F.sum("fuel_used"), "altitude": F.max("altitude"),
+        "ground_speed": ratio("distance", "hours"), "gph": ratio("fuel_used", "hours"), "nm_per_gallon": ratio("distance", "fuel_used"),
+    }
+
+
+def trip_totals(flights: DataFrame, keys: Sequence[str], start: str = "start_time", order: Sequence[str] = ()) -> DataFrame:
+    """Fuel at the start and end, sums, and ratios of sums for each trip, by ``trip_measures``."""
+    return flights.groupBy(*keys).agg(*[c.alias(n) for n, c in trip_measures(start, order).items()])
+
+
+def trip_table(flights: DataFrame, levels: Sequence[str], detail: str, start: str = "start_time", order: Sequence[str] = ()) -> DataFrame:
+    """The rows of a table of trips: every flight, a total for each of the levels (an aircraft, a trip), and one over all.
+
+    level counts the levels that a row is of (flights: one more), oldest and newest are the times of its first and last flight, and place
+    is its position within its parent, the newest first, each trip's flights too. Measures are those of ``trip_measures`` at every level, so
+    ratios are of sums, and fuel at the start and end is that of the oldest and the newest flight. All levels are summed in one pass.
+    """
+    names = [*levels, detail]
+    out = flights.rollup(*names).agg(F.grouping_id().alias("__g"), F.min(start).alias("oldest"), F.max(start).alias("newest"), *[c.alias(n) for n, c in trip_measures(start, order).items()])
+    # A level that is rolled up sets the bits of all below it.
+    out = out.withColumn("level", (F.lit(len(names)) - F.bit_count("__g")).cast("int"))
+    own = lambda k: F.when(F.col("level") > k + 1, F.col(names[k]))
+    w = Window.partitionBy("level", *[own(k) for k in range(len(names))]).orderBy(F.desc("newest"), *[F.desc(n) for n in names])
+    return out.withColumn("place", F.row_number().over(w)).drop("__g")
 
 
 def nights(flights: DataFrame, key: Sequence[str], start: str = "start_time", departs: str = "start_icao", arrives: str = "end_icao", order: Sequence[str] = (), connected: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def by(key: Sequence[str], order: Sequence[str]) -> Window:
@@ -187,6 +188,38 @@ def scan(rows: DataFrame, columns: Sequence[str], key: Sequence[str], order: Seq
     return placed.mapInArrow(run, schema)
 
 
+def fold(rows: DataFrame, columns: Sequence[str], key: Sequence[str], order: Sequence[str], name: str, kind: str, state) -> DataFrame:
+    """key and what a state machine says of all the key's rows in order; a row a key.
+
+    ``state()`` makes a machine for a key: ``add`` takes a row's values of ``columns``, ``result`` gives the value (``kind``: its type). Rows
+    pass sorted, batch by batch, so a key of any length takes the memory of one batch and its machine.
+    """
+    placed = rows.select(*key, *order, *[c for c in columns if c not in (*key, *order)]).withColumn("__key", F.to_json(F.struct(*key))).repartition(*key).sortWithinPartitions(*key, *order)
+    schema = T.StructType([*rows.select(*key).schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    types = [f.type for f in to_arrow_schema(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, machine, own = None, None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*own, pa.array([machine.result()], types[-1])], schema.names)
+
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("__key")).to_pylist()
+            values = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns], strict=True)
+            for i, (k, v) in enumerate(zip(keys, values, strict=True)):
+                if k != current:
+                    if machine is not None:
+                        yield told()
+                    current, machine = k, state()
+                    own = [batch.column(batch.schema.get_field_index(c)).slice(i, 1).cast(t) for c, t in zip(key, types, strict=False)]
+                machine.add(*v)
+        if machine is not None:
+            yield told()
+
+    return placed.mapInArrow(run, schema)
+
+
 def every(rows: DataFrame, k: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every k-th row of a key, from its first."""
     return numbered(rows, key, order, "__n").where(F.pmod("__n", F.lit(k)) == 0).drop("__n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,7 +118,21 @@ def bounds(lat: str, lon: str, within: Column | None = None) -> list[Column]:
     return [f(F.when(ok, F.col(c))).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max))]
 
 
-def folded(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], zero: Column, merge, name: str = "folded") -> DataFrame:
-    """A fold over each key's values in order; for keys whose rows fit a task."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], value.alias("__v")))), lambda x: x["__v"])
-    return rows.groupBy(*keys).agg(F.aggregate(items, zero, merge).alias(name))
+class Folded:
+    """A fold as a state machine for ``series.fold``."""
+
+    def __init__(self, zero, merge):
+        self.now, self.merge = zero, merge
+
+    def add(self, value) -> None:
+        self.now = self.merge(self.now, value)
+
+    def result(self):
+        return self.now
+
+
+def folded(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], zero: object, merge: Callable[[object, object], object], kind: str = "long", name: str = "folded") -> DataFrame:
+    """A fold (``merge`` of the value so far and the next one) over each key's values in order, however many a key has."""
+    from skyloom.operators.series import fold
+
+    return fold(rows.withColumn("__v", value), ["__v"], keys, order, name, kind, lambda: Folded(zero, merge))

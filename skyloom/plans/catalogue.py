@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from skyloom.plans import computed, recorder  # noqa: F401  they register their queries
+    from skyloom.plans import computed, kept, recorder  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from skyloom.plans import computed, recorder  # noqa: F401
+    from skyloom.plans import computed, kept, recorder  # noqa: F401
 
     return dict(_SQL)
 
@@ -186,7 +186,7 @@ def first_last_match(spark, sf_dir):
 @query(f"""SELECT user_id, list_sum(list_transform(list(value ORDER BY ts, event_id), lambda x: floor(x)::BIGINT % 7))::BIGINT AS folded FROM events GROUP BY user_id""")
 def generic_fold(spark, sf_dir):
     v = F.floor("value") % 7
-    return stats.folded(_t(spark, sf_dir, "events"), v, KEY, ORDER, F.lit(0).cast("long"), lambda a, x: a + x)
+    return stats.folded(_t(spark, sf_dir, "events"), v, KEY, ORDER, 0, lambda a, x: a + x)
 
 
 @query("""SELECT l_suppkey, min(l_quantity) AS "l_quantity.min", max(l_quantity) AS "l_quantity.max", round(avg(l_quantity), 6) AS "l_quantity.average", max(l_discount) AS "l_discount.max" FROM lineitem GROUP BY l_suppkey""")

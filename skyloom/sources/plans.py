@@ -12,12 +12,30 @@ FUEL_LABELS = ("Taxi", "Destination", "Alternate Fuel", "Final Reserve", "Additi
 
 
 def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, row_no, cells of every table row of a page, tags and entities removed."""
-    rows = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    at = pages.select(key, F.posexplode(rows).alias("row_no", "row"))
+    """key, table_no, row_no, cells of every row of a page's tables, both numbered from 0, tags and entities removed.
+
+    Rows outside of tables are of none. A table in a table ends the outer one's rows.
+    """
+    tables = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table[^>]*>(.*?)(?=</table|<table|$)"), F.lit(1))
+    at = pages.select(key, F.posexplode(tables).alias("table_no", "table"))
+    at = at.select(key, "table_no", F.posexplode(F.regexp_extract_all("table", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), "&nbsp;", " "), "&amp;", "&"), r"\s+", " "))
-    return at.select(key, "row_no", F.transform(cells, plain).alias("cells"))
+    return at.select(key, "table_no", "row_no", F.transform(cells, plain).alias("cells"))
+
+
+def first_table(rows: DataFrame, key: str, test: Column, least: int = 1) -> DataFrame:
+    """The rows of each page's first table in which ``least`` rows or more meet a test."""
+    met = rows.groupBy(key, "table_no").agg(F.count_if(test).alias("__n")).where(F.col("__n") >= least)
+    own = met.groupBy(key).agg(F.min("table_no").alias("table_no"))
+    return rows.join(own, [key, "table_no"])
+
+
+COORDINATE = r"^[NS]\d{4}(\.\d+)?/[EW]\d{5}(\.\d+)?$"
+#: Where the columns of a printed plan begin, in points from the left edge.
+COLUMNS = (("name", 0), ("awy", 130), ("wind", 165), ("hdg", 212), ("tas", 242), ("dist", 268), ("fuelrem", 296), ("fuelused", 326), ("flow", 362), ("time1", 392), ("time2", 416), ("time3", 452))
+#: The words of a printed plan's header lines.
+HEADINGS = ("AWY", "WIND", "MAG", "KT", "DIST", "FUEL", "G", "TIMES", "REMARKS", "WAYPOINT", "ALT", "DIR/SPD", "HDG", "TAS", "LEG", "REM", "USED", "FLOW", "ETE", "ETA", "COORDINATES", "MSA", "OAT/ISA", "CRS", "GS", "ACTL", "ATE", "ATA")
 
 
 def words_to_rows(words: DataFrame, key: list[str], bins: dict[str, tuple[float, float]], height: float = 3.0) -> DataFrame:
@@ -27,21 +45,59 @@ def words_to_rows(words: DataFrame, key: list[str], bins: dict[str, tuple[float,
     return at.groupBy(*key, "line").agg(*[cell(*b).alias(name) for name, b in bins.items()])
 
 
+def printed_waypoints(words: DataFrame, key: str, page: str = "page", height: float = 3.0) -> DataFrame:
+    """key, seq and the planned figures of the waypoints of a printed plan, from its placed words (page, top, x0, text).
+
+    Pages with three coordinates at least are read. Words at about one height are a line; ``COLUMNS`` part it into cells, of
+    which the first word counts; lines that hold words of ``HEADINGS`` alone are passed over. A waypoint has a line with its name and
+    figures, then one with its coordinate, altitude, wind, course, ground speed, distance and time left, then further ones with its safe
+    altitude, temperature and navaid. The figures are named as in ``waypoints``.
+    """
+    w = Window.partitionBy(key, page)
+    own = words.where("text IS NOT NULL AND top IS NOT NULL AND x0 IS NOT NULL").withColumn("__c", F.col("text").rlike(COORDINATE))
+    own = own.withColumn("__n", F.count_if("__c").over(w)).where("__n >= 3").withColumn("__line", F.round(F.col("top") / height).cast("int"))
+    column = F.lit(COLUMNS[0][0])
+    for name, low in COLUMNS[1:]:
+        column = F.when(F.col("x0") >= low, F.lit(name)).otherwise(column)
+    own = own.where(~F.upper("text").isin(*HEADINGS)).withColumn("__column", column)
+    first = lambda name: F.min_by("text", F.when(F.col("__column") == name, F.struct("x0", "text"))).alias(name)
+    lines = own.groupBy(key, page, "__line").agg(*[first(name) for name, _ in COLUMNS])
+    order = Window.partitionBy(key).orderBy(page, "__line")
+    is_place = F.coalesce(F.col("name").rlike(COORDINATE), F.lit(False))
+    lines = lines.withColumn("__place", is_place).withColumn("__heads", F.coalesce(F.lead("__place").over(order), F.lit(False)))
+    lines = lines.withColumn("seq", F.sum(F.col("__heads").cast("int")).over(order)).where("seq > 0")
+    seconds = lambda c: text.seconds(F.col(c))
+    head = lambda c: F.max(F.when(F.col("__heads"), c))
+    place = lambda c: F.max(F.when(F.col("__place") & ~F.col("__heads"), c))
+    rest = ~F.col("__heads") & ~F.col("__place")
+    later = lambda c: F.min_by(c, F.when(rest & c.isNotNull(), F.col("__at")))
+    n, two = (lambda c: text.number(F.col(c))), (lambda c, i: text.pair(F.col(c))[i])
+    lines = lines.withColumn("__at", F.struct(page, "__line"))
+    navaid = F.when((F.upper("name") == F.col("name")) & F.col("name").rlike("[A-Z]"), F.col("name"))
+    out = lines.groupBy(key, "seq").agg(
+        head(F.col("name")).alias("name"), place(F.col("name")).alias("coord_raw"), later(navaid).alias("navaid"), head(F.col("awy")).alias("airway"), place(n("awy")).alias("altitude_ft"), later(n("awy")).alias("msa"),
+        head(F.col("wind")).alias("wind_comp_raw"), place(two("wind", "first")).alias("wind_dir"), place(two("wind", "second")).alias("wind_speed"), later(two("wind", "first")).alias("oat"), later(two("wind", "second")).alias("isa_dev"),
+        head(n("hdg")).alias("mag_hdg"), place(n("hdg")).alias("crs"), head(n("tas")).alias("tas"), place(n("tas")).alias("gs"), head(n("dist")).alias("dist_leg"), place(n("dist")).alias("dist_rem"),
+        head(n("fuelrem")).alias("fuel_rem"), head(n("fuelused")).alias("fuel_used"), head(n("flow")).alias("flow"), head(seconds("time1")).alias("leg_time_s"), place(seconds("time1")).alias("ete_remaining_s"), head(seconds("time2")).alias("eta_elapsed_s"),
+    ).where("name IS NOT NULL")
+    spot = geo.coordinate(F.col("coord_raw"))
+    out = out.select("*", spot["lat"].alias("lat"), spot["lon"].alias("lon"), (F.col("name").startswith("-") & F.col("name").endswith("-")).alias("is_pseudo"))
+    return out.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("seq")))
+
+
 def _tokens(cell: int) -> Column:
     return F.filter(F.split(F.coalesce(F.get("cells", F.lit(cell)), F.lit("")), r"\s+"), lambda t: t != "")
 
 
 def waypoints(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, seq and the planned figures of each row that names a coordinate (rows of a table with three such at least).
+    """key, seq and the planned figures of each row that names a coordinate, of a page's first table with three such rows.
 
     Cells: name, coordinate and navaid; -; airway, altitude, safe altitude; wind; headings; speeds; distances; fuel left;
     fuel used; flow; times; elapsed time. What is absent or a dash is null.
     """
-    rows = table_cells(pages, key, html)
     at = lambda tokens, i: F.get(tokens, F.lit(i))
-    coordinate = F.get(F.filter(_tokens(0), lambda t: t.rlike(r"^[NS]\d{4}(\.\d+)?/[EW]\d{5}(\.\d+)?$")), F.lit(0))
-    rows = rows.withColumn("coord_raw", coordinate).where("coord_raw IS NOT NULL")
-    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n >= 3")
+    coordinate = F.get(F.filter(_tokens(0), lambda t: t.rlike(COORDINATE)), F.lit(0))
+    rows = first_table(table_cells(pages, key, html).withColumn("coord_raw", coordinate), key, F.col("coord_raw").isNotNull(), 3).where("coord_raw IS NOT NULL")
     name = at(_tokens(0), 0)
     rest = F.filter(F.slice(_tokens(0), 2, 20), lambda t: (t != F.col("coord_raw")) & (F.upper(t) == t) & t.rlike("[A-Z]"))
     route = _tokens(2)
@@ -94,9 +150,9 @@ def summaries(pages: DataFrame, key: str, html: str, header: str = r"(\w{4})\s*(
 
 
 def fuel_plan(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, label, gal, time_s of the rows of a page's fuel table."""
-    rows = table_cells(pages, key, html)
+    """key, label, gal, time_s of the rows of a page's fuel table, the first with a row named Taxi."""
     first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    rows = first_table(table_cells(pages, key, html), key, first == "Taxi")
     label = F.coalesce(*[F.when(first.startswith(k), F.lit(k)) for k in FUEL_LABELS])
     own = rows.select(key, label.alias("label"), text.number(F.get("cells", F.lit(1))).alias("gal"), text.seconds(F.get("cells", F.lit(2))).alias("time_s"))
     return own.where("label IS NOT NULL AND gal IS NOT NULL")

@@ -3,13 +3,15 @@
 import datetime
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import series, spatial
-from skyloom.sources import keyed, store
+from skyloom.operators import clusters, series, spatial, stats
+from skyloom.plans import catalogue
+from skyloom.sources import keyed, logscan, plans, store
 from skyloom.streaming import streams
 
 START = datetime.datetime(2021, 1, 1)
@@ -189,3 +191,149 @@ def test_cells_hold_all_within_reach(spark):
     other = grid.around(spark.createDataFrame(b, kind), "lat", "lon", "y", "x")
     assert other.groupBy("id").count().agg(F.max("count")).first()[0] <= 4
     assert other.join(own, ["id", "y", "x"]).select("id").distinct().count() == len(a)
+
+
+def linkage(x, most):
+    """The closest two clusters join, by all pairs."""
+    groups = [[i] for i in range(len(x))]
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2))
+    while len(groups) > 1:
+        d, i, j = min((max(gap[a, b] for a in groups[i] for b in groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if d > most:
+            break
+        groups[i] += groups.pop(j)
+    groups.sort(key=lambda g: (-len(g), min(g)))
+    return {m: k for k, g in enumerate(groups) for m in g}
+
+
+def test_clusters_of_groups_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows, expected = [], {}
+    for g, n in (("a", 60), ("b", 1), ("c", 35), (None, 3)):
+        x = rng.normal(0, 30, (n, 1)) + rng.normal(0, 6, (n, 9))
+        rows += [(g, f"{i:03d}", [float(v) for v in p], 1) for i, p in enumerate(x)]
+        expected |= {(g, f"{i:03d}"): k for i, k in linkage(x, 12.0).items()}
+    rows += [("d", "0", None, 1), ("d", "1", [1.0, float("nan")], 1), ("d", "2", [1.0, 1.0], 1), ("d", "3", [1.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "way string, flight string, offsets array<double>, cluster2 int")
+    found = {(r.way, r.flight): r.cluster for r in clusters.clustered(frame, "way", "flight").collect()}
+    assert {k: found[k] for k in expected} == expected
+    assert found["d", "2"] == found["d", "3"] == 0 and sorted((found["d", "0"], found["d", "1"])) == [1, 2]
+    assert clusters.clustered(frame.limit(0), "way", "flight").count() == 0
+    apart = clusters.blocks(frame.where("way = 'a'"), "way", 12.0).select("block").distinct().count()
+    assert 1 <= apart <= len({v for (g, _), v in expected.items() if g == "a"})
+
+
+def test_vectors_that_are_dropped_are_made_again():
+    x = np.random.default_rng(9).normal(0, 10, (80, 5))
+    few = clusters.Chain(x, 12.0, cache=1)
+    few.room = 2
+    assert (few.run() == clusters.Chain(x, 12.0).run()).all()
+
+
+def test_very_many_flights_of_one_corridor_need_no_pairs():
+    rng = np.random.default_rng(10)
+    centres = np.arange(40)[:, None] * 100.0 + rng.normal(0, 1, (40, 9))
+    x = np.repeat(centres, 500, axis=0) + rng.uniform(-5, 5, (20_000, 9))
+    began = time.perf_counter()
+    found = clusters.complete_linkage(x, 12.0)
+    assert time.perf_counter() - began < 240
+    assert len(set(found)) == 40 and all(len(set(found[i * 500 : (i + 1) * 500])) == 1 for i in range(40))
+
+
+def test_approaches_equal_all_distances():
+    rng = np.random.default_rng(11)
+    lat, lon = 50 + np.cumsum(rng.normal(0, 0.01, 700)), np.cumsum(rng.normal(0, 0.01, 700))
+    fix_lat, fix_lon = np.append(rng.uniform(40, 60, 1500), 90.0), np.append(rng.uniform(-180, 180, 1500), 0.0)
+    every = clusters.radians_apart(lat[None], lon[None], fix_lat[:, None], fix_lon[:, None]).min(1) * clusters.RADIUS_NM
+    assert np.allclose(clusters.approach(lat, lon, fix_lat, fix_lon), every, rtol=1e-12, atol=1e-9)
+
+
+def test_folds_take_keys_of_any_length_in_order(spark):
+    rows = spark.range(50_000).select((F.col("id") % 3).alias("k"), (-F.col("id")).alias("o"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("v"))
+    found = {r.k: r.folded for r in stats.folded(rows, F.col("v"), ["k"], ["o"], 0, lambda a, x: (a * 31 + (x or 7)) % 1_000_003).collect()}
+    expected = {k: 0 for k in range(3)}
+    for i in range(49_999, -1, -1):
+        expected[i % 3] = (expected[i % 3] * 31 + ((i % 11 if i % 5 else 0) or 7)) % 1_000_003
+    assert found == expected
+    text = stats.folded(rows.where("id < 4" if "id" in rows.columns else "o > -4"), F.col("v").cast("string"), ["k"], ["o"], "", lambda a, x: a + str(x), "string")
+    assert {r.k: r.folded for r in text.collect()} == {0: "3None", 1: "1", 2: "2"}
+    assert stats.folded(rows.limit(0), F.col("v"), ["k"], ["o"], 0, lambda a, x: a).count() == 0
+
+
+LOG = '#airframe_info, log_version="1.00"\n#yyy-mm-dd, hh:mm:ss, hh:mm, degrees, degrees, kt, ident\n  Lcl Date, Lcl Time, UTCOfst, Latitude, Longitude, IAS, AtvWpt\n'
+
+
+def log_lines(n):
+    out = []
+    for i in range(n):
+        fix = ",".join(["", ""] if i % 10 == 0 or i > n - 3 else [f"{50 + i / 1000:9.4f}", f" {i / 1000:9.4f}"])
+        out.append(f'2021-01-01, 10:{i // 60:02d}:{i % 60:02d}, +00:00,{fix}, {i}.5,"WP, {i % 4}"')
+    return out
+
+
+@pytest.mark.parametrize("size", [97, 1000, 1 << 20])
+def test_log_scan_reads_ranges_once_and_in_order(size, spark, tmp_path):
+    from skyloom.sources import logs
+
+    lines = log_lines(150)
+    lines[40] += ", one cell more"
+    (tmp_path / "log_210101_100000_EGTF.csv").write_text(LOG + "\n".join(lines))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "log_210102_100000_LFAT.csv").write_text(LOG.replace("IAS", "TAS").replace("\n", "\r\n") + "\r\n".join(log_lines(5)) + "\r\n")
+    (tmp_path / "log_210103_000000.csv").write_text("")
+    (tmp_path / "notes.txt").write_text("no log")
+    wanted = ["Latitude", "Longitude", "IAS", "AtvWpt", "Absent"]
+    plain = {(r.path.rsplit("/", 1)[1], r.ts): tuple(r[c] for c in wanted) for r in logs.samples(spark, str(tmp_path), wanted).collect()}
+    rows = logscan.samples(spark, str(tmp_path), wanted, range=size).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.ts): tuple(r[c] for c in wanted) for r in rows} == plain and len(rows) == len(plain) == 154
+    own = sorted((r for r in rows if "EGTF" in r.path), key=lambda r: r.row_idx)
+    assert [r.ts for r in own] == sorted(r.ts for r in own)
+    some = logscan.cells(spark, str(tmp_path), ["IAS"], every=30, range=size)
+    assert [r.IAS for r in some.where("path LIKE '%EGTF%'").orderBy("at").collect()] == ["27.5", "57.5", "87.5", "117.5", "147.5"]
+    assert logscan.cells(spark, str(tmp_path), ["IAS"], head=8).groupBy("path").count().agg(F.max("count")).first()[0] == 5
+
+
+def test_ends_of_logs_are_peeked_at(spark, tmp_path):
+    lines = log_lines(3000)
+    (tmp_path / "log_210101_100000_EGTF.csv").write_text(LOG + "\n".join(lines) + "\n")
+    (tmp_path / "log_210101_110000_X.csv").write_text(LOG + "\n".join(log_lines(1)) + "\n")
+    found = {r.path.rsplit("_", 1)[1]: r for r in logscan.peeked(spark, str(tmp_path), head=50, tail=2000).collect()}
+    assert set(found) == {"EGTF.csv"}
+    r = found["EGTF.csv"]
+    assert (r.first.date, r.first.time, r.first.lat) == ("2021-01-01", "10:00:01", 50.001) and (r["last"].time, r["last"].lat) == ("10:49:57", 52.997)
+    assert logscan.peeked(spark, str(tmp_path), head=1, tail=10).count() == 0
+
+
+def test_registered_queries_of_the_round_by_sql(spark, sf_dir, same_as_sql):
+    for name in ("stream_parsed", "stream_segments", "stream_catalogue", "keyed_store", "clustered_profiles", "fix_approaches", "trip_table", "plan_pages", "printed_plans"):
+        same_as_sql(catalogue.queries()[name](spark, sf_dir), catalogue.oracle_sql()[name])
+
+
+def test_only_the_first_table_with_waypoints_counts(spark):
+    row = "<tr><td>{} N5120.9/W00033.5</td></tr>"
+    few, many = "".join(row.format(f"A{i}") for i in range(2)), "".join(row.format(f"B{i}") for i in range(3))
+    html = f"<table>{few}</table><table>{many}</table><table>{many.replace('B', 'C') * 2}</table>"
+    found = plans.waypoints(spark.createDataFrame([(1, html), (2, f"<table>{few}</table>")], "p int, html string"), "p", "html")
+    assert rows_of(found, "p", "seq", "name") == [(1, 1, "B0"), (1, 2, "B1"), (1, 3, "B2")]
+
+
+def test_words_of_several_pages_become_waypoints(spark):
+    words = []
+
+    def line(page, top, *cells):
+        words.extend((1, page, top + k * 0.01, x, t) for k, (x, t) in enumerate(cells))
+
+    for i, page in enumerate((1, 1, 1, 2, 2, 2)):
+        top = 100.0 + 60 * (i % 3)
+        line(page, top - 20, (20.0, "WAYPOINT"), (140.0, "AWY"))
+        line(page, top, (20.0, f"WP{i}" if i != 2 else "-TOC-"), (131.0, "L9"), (170.0, "-5"), (215.0, "120"), (245.0, "150"), (270.0, "20"), (300.0, "45.5"), (330.0, "4.5"), (365.0, "15"), (393.0, "0:10"), (420.0, "0:20"))
+        line(page, top + 9, (20.0, "N5120.9/W00033.5"), (140.0, "5500"), (170.0, "264/018"), (215.0, "118"), (245.0, "145"), (270.0, "80"), (393.0, "0:55"))
+        line(page, top + 18, (140.0, "2100"), (170.0, "+13/-2"))
+        line(page, top + 27, (20.0, "LYD"))
+    line(3, 10.0, (20.0, "N5120.9/W00033.5"))
+    frame = spark.createDataFrame(words, "plan int, page int, top double, x0 double, text string")
+    found = plans.printed_waypoints(frame, "plan").orderBy("seq").collect()
+    assert [(r.seq, r.name, r.is_pseudo) for r in found] == [(i + 1, "-TOC-" if i == 2 else f"WP{i}", i == 2) for i in range(6)]
+    r = found[3]
+    assert (r.airway, r.wind_comp_raw, r.mag_hdg, r.tas, r.dist_leg, r.fuel_rem, r.fuel_used, r.flow, r.leg_time_s, r.eta_elapsed_s) == ("L9", "-5", 120, 150, 20, 45.5, 4.5, 15, 600, 1200)
+    assert (r.coord_raw, r.altitude_ft, r.wind_dir, r.wind_speed, r.crs, r.gs, r.dist_rem, r.ete_remaining_s, r.msa, r.oat, r.isa_dev, r.navaid) == ("N5120.9/W00033.5", 5500, 264, 18, 118, 145, 80, 3300, 2100, 13, -2, "LYD")
