@@ -65,3 +65,16 @@ def metric_key(field: str, metric: str) -> str:
 def split_key(key: Column) -> Column:
     parts = F.split(key, r"\.", 2)
     return F.struct(F.get(parts, F.lit(0)).alias("field"), F.get(parts, F.lit(1)).alias("metric"))
+
+
+def duration(seconds: Column, style: str = "hms") -> Column:
+    """h:mm:ss (hms), h:mm (hm), m:ss (ms) or hours with one decimal (hours) of whole seconds, a minus before them; - for null."""
+    n = F.bround(seconds).cast("long")
+    size, sign = F.abs(n), F.when(n < 0, "-").otherwise("")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    hours, minutes, rest = F.floor(size / 3600).cast("string"), F.floor(size % 3600 / 60), size % 60
+    shown = {
+        "hms": F.concat(sign, hours, F.lit(":"), two(minutes), F.lit(":"), two(rest)), "hm": F.concat(sign, hours, F.lit(":"), two(minutes)),
+        "ms": F.concat(sign, F.floor(size / 60).cast("string"), F.lit(":"), two(rest)), "hours": F.format_string("%.1f", F.bround(seconds / 3600, 1)),
+    }[style]
+    return F.coalesce(shown if style != "hours" else F.when(seconds.isNotNull(), shown), F.lit("-"))

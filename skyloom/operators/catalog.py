@@ -85,6 +85,20 @@ def starts_before(start: Column, moment: Column) -> Column:
     return F.coalesce(start < moment, F.lit(False))
 
 
+def is_newer(start: Column, name: Column, other_start: Column, other_name: Column) -> Column:
+    """Whether a log is newer than another: by their times, or by their file names where either time is missing."""
+    return F.when(start.isNotNull() & other_start.isNotNull(), start > other_start).otherwise(name > other_name)
+
+
+def is_older(start: Column, name: Column, other_start: Column, other_name: Column) -> Column:
+    return F.when(start.isNotNull() & other_start.isNotNull(), start < other_start).otherwise(name < other_name)
+
+
+def by_name(files: DataFrame, name: str = "name") -> DataFrame:
+    """The files, the last by name first."""
+    return files.orderBy(F.desc(name))
+
+
 def newest_first(records: DataFrame, start: str = "start_time", name: str = "log_file_name") -> DataFrame:
     return records.orderBy(F.desc(start), F.desc(name))
 
@@ -174,6 +188,29 @@ def summary_cells(flights: DataFrame, key: str) -> DataFrame:
     return named.unpivot([key], list(cells), "cell", "at")
 
 
+def time_cells(flights: DataFrame, key: str) -> DataFrame:
+    """key, line, cell, since_s, elapsed_s, logbook_h: a flight's times as seconds since the start, with the length of what ends there.
+
+    Landing ends what was flown, Parked what was moved, Shutdown what the engine ran; the logbook's hours are those of what was moved.
+    """
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    since = lambda c: t(c) - t("hobbs_start")
+    span = lambda n: t(f"{n}_end") - t(f"{n}_start")
+    none = F.lit(None).cast("double")
+    lines = [
+        ("Start", "hobbs_start", none, none), ("Taxi", "moving_start", none, none), ("Takeoff", "flying_start", none, none),
+        ("Landing", "flying_end", span("flying"), none), ("Parked", "moving_end", span("moving"), span("moving") / 3600), ("Shutdown", "hobbs_end", span("hobbs"), none),
+    ]
+    out = [F.struct(F.lit(i).alias("line"), F.lit(c).alias("cell"), since(at).alias("since_s"), e.alias("elapsed_s"), h.alias("logbook_h")) for i, (c, at, e, h) in enumerate(lines)]
+    return flights.select(key, F.inline(F.array(*out)))
+
+
+def aircraft_cells(aircraft: DataFrame, key: str = "system_id") -> DataFrame:
+    """key, line, title, value of an aircraft's summary: Identifier, Airframe, Last (the date of its latest flight)."""
+    lines = [("Identifier", F.col("identifier")), ("Airframe", F.col("airframe_name")), ("Last", F.date_format("latest_time", "yyyy-MM-dd"))]
+    return aircraft.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("line"), F.lit(t).alias("title"), v.cast("string").alias("value")) for i, (t, v) in enumerate(lines)])))
+
+
 def fuel_cells(flights: DataFrame, key: str) -> DataFrame:
     """key, cell, left, right, total: fuel at the start, at the end, and used."""
     f = lambda side: F.col(f"fuel_{side}.left"), lambda side: F.col(f"fuel_{side}.right")

@@ -148,6 +148,11 @@ def clustered(profiles: DataFrame, group: str, key: str, most_nm: float = 12.0)
     return found.withColumn("__size", size).withColumn("cluster", F.dense_rank().over(order) - 1).select(*profiles.columns, "cluster")
 
 
+def by_date(flights: DataFrame, keys: list[str], start: str, order: list[str]) -> DataFrame:
+    """``flights`` with nth, their place (from 1) within their cluster (``keys``) by date."""
+    return flights.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(start, *order)))
+
+
 def approach(lat: np.ndarray, lon: np.ndarray, fix_lat: np.ndarray, fix_lon: np.ndarray) -> np.ndarray:
     """The least distance in nautical miles from each fix to a track's rows.
 

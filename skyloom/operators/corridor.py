@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.geo import cross_track_nm, distance_nm
+from skyloom.functions.geo import cross_track_nm, distance_nm, headwind
 from skyloom.functions.text import finite
 from skyloom.operators.clusters import clustered as clustered
 from skyloom.operators.clusters import complete_linkage as complete_linkage
@@ -125,6 +125,66 @@ def accuracy(legs: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+#: Miles off a waypoint within which it counts as overflown.
+NEAR_NM = 5.0
+
+
+def reconciled_waypoints(plan: DataFrame, track: DataFrame, events: DataFrame, key: Sequence[str], order: Sequence[str], overflown_nm: float = NEAR_NM) -> DataFrame:
+    """Each planned waypoint with the nearest row of the track, what differs there from the plan, and the last event of its name.
+
+    ``plan``: key, seq, name, lat, lon, eta_s, fuel_used, gs, wind_dir, wind_speed, crs, dist_leg, leg_time_s. ``track``: key, row_idx, lat, lon, elapsed, fuel,
+    fuel_burn, gs, tas, alt, wind_dir, wind_speed, trk. ``events``: key, name, row_idx and the ``order`` columns. A tank that reads 1 or less tells nothing. What was not near any row, as
+    without a position, has nulls.
+    """
+    flown = distance_run(track, "lat", "lon", key, ["row_idx"])
+    own = flown.select(*key, "row_idx", F.col("elapsed").alias("abeam_elapsed_s"), F.when(F.col("fuel") > 1, F.col("fuel")).alias("abeam_fuel"), finite(F.col("fuel_burn")).alias("fuel_used_actual"), F.col("distance").alias("__run"),
+                       *[finite(F.col(c)).alias(f"abeam_{c}") for c in ("gs", "tas", "alt", "wind_dir", "wind_speed", "trk")])
+    at = plan.join(abeam(plan, track, key).withColumnRenamed("offset_nm", "lateral_offset_nm"), [*key, "seq"], "left").join(own, [*key, "row_idx"], "left")
+    out = at.select(
+        "*", (F.col("lateral_offset_nm") <= overflown_nm).alias("overflown"), (F.col("abeam_elapsed_s") - F.col("eta_s")).alias("eta_delta_s"),
+        (F.col("fuel_used_actual") - F.col("fuel_used")).alias("fuel_used_delta"), (F.col("abeam_gs") - F.col("gs")).alias("gs_delta"),
+        headwind(F.col("wind_speed"), F.col("wind_dir"), F.col("crs")).alias("headwind_planned"), headwind(F.col("abeam_wind_speed"), F.col("abeam_wind_dir"), F.col("abeam_trk")).alias("headwind_actual"),
+    )
+    return with_events(out, events.withColumn("row", F.col("row_idx")), key, order, ["row"])
+
+
+def reconciled_legs(waypoints: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The legs between consecutive waypoints of ``reconciled_waypoints``, as ``accuracy`` takes them; reliable between two that were overflown.
+
+    Distances are along the track, where the later waypoint was passed later; speeds are of those.
+    """
+    w = by(key, ["seq"])
+    after = lambda c: F.lead(c).over(w)
+    rows = waypoints.select(
+        *key, "seq", F.col("name").alias("frm"), after("name").alias("to"), after("dist_leg").alias("planned_dist_nm"), after("leg_time_s").alias("planned_time_s"), after("gs").alias("planned_gs"),
+        (F.coalesce(F.col("overflown"), F.lit(False)) & F.coalesce(after("overflown"), F.lit(False))).alias("reliable"), (after("fuel_used") - F.col("fuel_used")).alias("planned_fuel"),
+        (after("abeam_elapsed_s") - F.col("abeam_elapsed_s")).alias("actual_time_s"), (after("fuel_used_actual") - F.col("fuel_used_actual")).alias("actual_fuel"), (F.col("abeam_fuel") - after("abeam_fuel")).alias("actual_fuel_tank"),
+        F.when(after("row_idx") > F.col("row_idx"), after("__run") - F.col("__run")).alias("actual_dist_nm"),
+    ).where("to IS NOT NULL")
+    return rows.withColumn("actual_gs", F.when(F.col("actual_time_s") > 0, F.col("actual_dist_nm") / (F.col("actual_time_s") / 3600)))
+
+
+def off_plan(events: DataFrame, plan: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The waypoints that were flown to but not planned, in the order of the events."""
+    return events.join(plan.select(*key, "name").distinct(), [*key, "name"], "left_anti")
+
+
+def reconciled_accuracy(waypoints: DataFrame, legs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``accuracy`` of ``reconciled_legs``, with the headwind error of the waypoints that were overflown."""
+    wind = waypoints.select(*key, "overflown", "headwind_actual", "headwind_planned").withColumn("reliable", F.lit(None).cast("boolean"))
+    return accuracy(legs.unionByName(wind, allowMissingColumns=True), key)
+
+
+def plan_totals(plan: DataFrame, track: DataFrame, waypoints: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The totals of each plan against its log: ``flown_totals``, the length of the planned route, what was saved, and how many waypoints were overflown or skipped."""
+    w = by(key, ["seq"])
+    leg = distance_nm(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    route = plan.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("__leg", leg).groupBy(*key).agg(F.round(F.coalesce(F.sum("__leg"), F.lit(0.0)), 1).alias("planned_route_gc_nm"))
+    passed = waypoints.groupBy(*key).agg(F.count_if("overflown").alias("n_overflown"), F.count_if(F.col("lateral_offset_nm").isNotNull() & ~F.col("overflown")).alias("n_skipped"))
+    out = passed.join(route, list(key), "left").join(flown_totals(track, key, order), list(key), "left")
+    return out.withColumn("dist_saved_nm", F.round(F.col("planned_route_gc_nm") - F.col("flown_dist_nm"), 1))
+
+
 def flown_totals(track: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Distance, airborne time (first to last row faster than 40), burn and fuel left of each log (elapsed, lat, lon, gs, fuel_burn, fuel).
 

@@ -36,10 +36,10 @@ def in_intervals(rows: DataFrame, segments: DataFrame, key: Sequence[str], ts: s
 
 
 def abeam(plan: DataFrame, track: DataFrame, key: Sequence[str]) -> DataFrame:
-    """For each planned waypoint (key, seq, lat, lon) the nearest row (row_idx, lat, lon) of the same key's track."""
+    """For each planned waypoint (key, seq, lat, lon) with a position the nearest row (row_idx, lat, lon) of the same key's track."""
     t = track.select(*key, F.col("row_idx"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).where("__lat IS NOT NULL AND __lon IS NOT NULL")
     d = distance_nm(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
-    return plan.join(t, list(key)).groupBy(*key, "seq").agg(F.min(F.struct(d.alias("d"), "row_idx")).alias("b")).select(*key, "seq", F.col("b.row_idx").alias("row_idx"), F.col("b.d").alias("offset_nm"))
+    return plan.where("lat IS NOT NULL AND lon IS NOT NULL").join(t, list(key)).groupBy(*key, "seq").agg(F.min(F.struct(d.alias("d"), "row_idx")).alias("b")).select(*key, "seq", F.col("b.row_idx").alias("row_idx"), F.col("b.d").alias("offset_nm"))
 
 
 def continuity(flights: DataFrame, order: Sequence[str], arrives: str, departs: str, key: Sequence[str]) -> DataFrame:

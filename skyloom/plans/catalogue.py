@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions import fuel, geo, text, units
+from skyloom.functions import geo, text, units
 from skyloom.operators import corridor, flights, joins, phase, series, stats
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from skyloom.plans import computed, kept, recorder  # noqa: F401  they register their queries
+    from skyloom.plans import computed, kept, planning, recorder  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from skyloom.plans import computed, kept, recorder  # noqa: F401
+    from skyloom.plans import computed, kept, planning, recorder  # noqa: F401
 
     return dict(_SQL)
 
@@ -339,22 +339,6 @@ def row_extremes(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", top.alias("top"), low.alias("low"), index.alias("hottest"))
 
 
-_FUEL = """WITH f AS (SELECT s_suppkey, (s_suppkey * 7 % 40)::DOUBLE AS cl, (s_suppkey * 11 % 40)::DOUBLE AS cr, (s_suppkey * 3 % 20)::DOUBLE AS added FROM supplier),
-t AS (SELECT *, greatest(least(cl + greatest(35 - cl, 0), 46), cl) AS tl, greatest(least(cr + greatest(35 - cr, 0), 46), cr) AS tr, greatest(least(cl + added / 2, 46), cl) AS al, greatest(least(cr + added / 2, 46), cr) AS ar FROM f)
-SELECT s_suppkey, cl + cr AS current, tl + tr AS target, round(tl + tr - cl - cr, 6) AS target_add, al + ar AS added_total, round((al + ar) / 17 * 3600, 4) AS added_endurance, round((92 - tl - tr) * 3.785411784 * 0.71, 4) AS target_save_kg FROM t"""
-
-
-@query(_FUEL)
-def fuel_analysis(spark, sf_dir):
-    k = F.col("s_suppkey")
-    both = lambda v: fuel.tanks(F.lit(float(v)), F.lit(float(v)))
-    out = fuel.analysis(fuel.tanks(k * 7 % 40, k * 11 % 40), both(5), both(35), fuel.halves((k * 3 % 20).cast("double")), both(46), both(46), F.lit(17.0))
-    return _t(spark, sf_dir, "supplier").select(k, out.alias("f")).select(
-        "s_suppkey", "f.current", "f.target", F.round("f.target_add", 6).alias("target_add"), "f.added_total",
-        F.round("f.added_endurance", 4).alias("added_endurance"), F.round("f.target_save_kg", 4).alias("target_save_kg"),
-    )
-
-
 @query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events""")
 def decoded_properties(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyloom import fields
 from skyloom.functions import fuel, geo, text
 from skyloom.operators import catalog, corridor, flights, joins, phase, series, stats
-from skyloom.plans.catalogue import _FLIGHTS, _FUEL, KEY, ORDER, W, _flights, _sql_distance, _t, query
+from skyloom.plans.catalogue import _FLIGHTS, KEY, ORDER, W, _flights, _sql_distance, _t, query
 from skyloom.sources import logs, plans, store
 
 _TRACK = f"""n AS (SELECT *, row_number() {W} - 1 AS i FROM events),
@@ -344,21 +344,23 @@ _LEGS = """e AS (SELECT l_suppkey, l_returnflag = 'A' AS reliable, l_linestatus
 
 
 @query(f"""WITH {_LEGS} SELECT l_suppkey, count(*) FILTER (reliable) AS n_reliable_legs, round(avg(CASE WHEN ags <> 0 AND pgs <> 0 THEN ags - pgs END) FILTER (reliable), 1) AS mean_gs_err_kt,
- round(avg(af - pf) FILTER (reliable), 2) AS mean_leg_fuel_err_gal, round(coalesce(sum(pf) FILTER (reliable), 0), 1) AS reliable_fuel_plan_gal, round(coalesce(sum(af) FILTER (reliable), 0), 1) AS reliable_fuel_totaliser_gal FROM e GROUP BY l_suppkey""")
+ round(avg(af - pf) FILTER (reliable), 2) AS mean_leg_fuel_err_gal, round(coalesce(sum(pf) FILTER (reliable), 0), 1) AS reliable_fuel_plan_gal, round(coalesce(sum(af) FILTER (reliable), 0), 1) AS reliable_fuel_totaliser_gal,
+ round(avg(CASE WHEN ats <> 0 AND pts <> 0 THEN ats - pts END) FILTER (reliable)) AS mean_leg_time_err_s, round(avg(ha - hp) FILTER (overflown), 1) AS mean_headwind_err_kt, round(coalesce(sum(aft) FILTER (reliable), 0), 1) AS reliable_fuel_tank_gal FROM e GROUP BY l_suppkey""")
 def plan_accuracy(spark, sf_dir):
     q, x, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     legs = _t(spark, sf_dir, "lineitem").select(
         "l_suppkey", (F.col("l_returnflag") == "A").alias("reliable"), (F.col("l_linestatus") == "O").alias("overflown"), q.alias("actual_gs"), (q - 3).alias("planned_gs"), (q * 60).alias("actual_time_s"), (q * 59).alias("planned_time_s"),
         (x * 100).alias("actual_fuel"), F.when(F.col("l_linenumber") > 1, d * 100).alias("planned_fuel"), (x * 90).alias("actual_fuel_tank"), (x * 10).alias("headwind_actual"), (d * 10).alias("headwind_planned"),
     )
-    return corridor.accuracy(legs, ["l_suppkey"]).select("l_suppkey", "n_reliable_legs", "mean_gs_err_kt", "mean_leg_fuel_err_gal", "reliable_fuel_plan_gal", "reliable_fuel_totaliser_gal")
+    return corridor.accuracy(legs, ["l_suppkey"])
 
 
 @query(f"""WITH {_TRACK}, s AS (SELECT *, coalesce({_sql_distance(f"lag(lat) {W}", f"lag(lon) {W}", "lat", "lon")}, 0) AS d FROM t)
-SELECT user_id, round(sum(d), 1) AS flown_dist_nm, round(max(elapsed) FILTER (gs > 40) - min(elapsed) FILTER (gs > 40)) AS airborne_s, round(arg_max(fuel_burn, row_idx), 1) AS burned_gal, round(arg_min(fuel, row_idx) FILTER (fuel > 1), 6) AS fuel_start_gal FROM s GROUP BY user_id""")
+SELECT user_id, round(sum(d), 1) AS flown_dist_nm, round(max(elapsed) FILTER (gs > 40) - min(elapsed) FILTER (gs > 40)) AS airborne_s, round(arg_max(fuel_burn, row_idx), 1) AS burned_gal, round(arg_min(fuel, row_idx) FILTER (fuel > 1), 6) AS fuel_start_gal,
+ round(arg_max(fuel, row_idx) FILTER (fuel > 1), 6) AS fuel_end_gal, round(arg_min(fuel, row_idx) FILTER (fuel > 1) - arg_max(fuel, row_idx) FILTER (fuel > 1), 1) AS burned_tank_gal, round(arg_min(fuel, row_idx) FILTER (fuel > 1) - round(arg_max(fuel_burn, row_idx), 1), 1) AS remaining_gal FROM s GROUP BY user_id""")
 def flown_totals(spark, sf_dir):
     found = corridor.flown_totals(_track(spark, sf_dir), KEY, ORDER)
-    return found.select("user_id", "flown_dist_nm", "airborne_s", "burned_gal", F.round("fuel_start_gal", 6).alias("fuel_start_gal"))
+    return found.select("user_id", "flown_dist_nm", "airborne_s", "burned_gal", *_r("fuel_start_gal", "fuel_end_gal", places=6), "burned_tank_gal", "remaining_gal")
 
 
 _PLANNED = """p AS (SELECT l_orderkey AS plan_id, l_linenumber AS seq, CASE l_linenumber WHEN 2 THEN '-TOC-' WHEN 3 THEN '-TOD-' ELSE 'W' || l_linenumber END AS name, l_linenumber * 600.0::DOUBLE AS eta, l_linenumber * 2.5::DOUBLE AS used, l_quantity AS leg, l_quantity * 2 AS rem, l_linenumber * 1000.0::DOUBLE AS alt, l_quantity AS tas FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL))"""
@@ -566,7 +568,7 @@ def route_texts(spark, sf_dir):
     return rows.select("log_id", catalog.route_text(route, F.col("start_icao"), F.col("end_icao")).alias("route"), name.alias("identifier"), catalog.totalizer_agrees((k % 5).cast("double"), F.lit(0.0)).alias("agrees"))
 
 
-@query(_FUEL.split("t AS")[0].rstrip(" ,\n") + """ SELECT s_suppkey, CASE WHEN cl - cr + added > 0 THEN cl - cr + added ELSE 70.0 END AS start, added + cr < 46 AND added + cr >= cr AS valid, cl + cr AS total FROM f""")
+@query("""WITH f AS (SELECT s_suppkey, (s_suppkey * 7 % 40)::DOUBLE AS cl, (s_suppkey * 11 % 40)::DOUBLE AS cr, (s_suppkey * 3 % 20)::DOUBLE AS added FROM supplier) SELECT s_suppkey, CASE WHEN cl - cr + added > 0 THEN cl - cr + added ELSE 70.0 END AS start, added + cr < 46 AND added + cr >= cr AS valid, cl + cr AS total FROM f""")
 def totalizer_starts(spark, sf_dir):
     k = F.col("s_suppkey")
     cl, cr, added = ((k * a % b).cast("double") for a, b in ((7, 40), (11, 40), (3, 20)))
@@ -637,14 +639,19 @@ def shown_fields(spark, sf_dir):
 @query(f"""WITH {_TRACK}, p AS (SELECT *, value_on > 0 AS pw FROM (SELECT *, event_id % 11 - 3 AS value_on FROM t)), e0 AS (SELECT user_id, min(row_idx) FILTER (pw) AS a, max(row_idx) FILTER (pw) AS b FROM p GROUP BY user_id),
 e AS (SELECT p.* FROM p JOIN e0 USING (user_id) WHERE row_idx BETWEEN a AND b), en AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_idx) AS n FROM e),
 br AS (SELECT *, coalesce(max(CASE WHEN NOT gs > 10 THEN n END) OVER (PARTITION BY user_id ORDER BY n), 0) AS broken FROM en),
-m0 AS (SELECT user_id, min(row_idx) FILTER (gs > 10 AND n - broken >= 5) AS a, max(row_idx) FILTER (gs > 10) AS b FROM br GROUP BY user_id), f0 AS (SELECT user_id, min(row_idx) FILTER (ias > 35) AS a, max(row_idx) FILTER (ias > 35) AS b FROM e GROUP BY user_id)
+m0 AS (SELECT user_id, min(row_idx) FILTER (gs > 10 AND n - broken >= 5) AS a, max(row_idx) FILTER (gs > 10) AS b FROM br GROUP BY user_id),
+w0 AS (SELECT user_id, arg_min(fuel, row_idx) AS fuel_from, arg_max(fuel, row_idx) AS fuel_to, arg_max(fuel_burn, row_idx) AS fuel_totalizer, arg_max(elapsed, row_idx) AS distance, max(alt) AS altitude FROM t GROUP BY user_id), f0 AS (SELECT user_id, min(row_idx) FILTER (ias > 35) AS a, max(row_idx) FILTER (ias > 35) AS b FROM e GROUP BY user_id)
 SELECT e0.user_id AS log_id, (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = e0.a) AS engine_start, (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = e0.b) AS engine_end, (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = m0.a) AS moving_start,
- (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = f0.a) AS flying_start, (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = f0.b) AS flying_end, CASE WHEN e0.a IS NULL OR m0.a IS NULL THEN 'preflight' WHEN f0.a IS NULL THEN 'ground' ELSE 'flight' END AS type
-FROM e0 LEFT JOIN m0 USING (user_id) LEFT JOIN f0 USING (user_id)""")
+ (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = f0.a) AS flying_start, (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = f0.b) AS flying_end, CASE WHEN e0.a IS NULL OR m0.a IS NULL THEN 'preflight' WHEN f0.a IS NULL THEN 'ground' ELSE 'flight' END AS type,
+ (SELECT ts FROM t WHERE t.user_id = e0.user_id AND row_idx = CASE WHEN m0.a IS NOT NULL THEN m0.b END) AS moving_end, round(fuel_from, 6) AS fuel_from, round(fuel_to, 6) AS fuel_to, round(fuel_totalizer, 6) AS fuel_totalizer, round(distance, 3) AS distance, altitude, route
+FROM e0 JOIN w0 USING (user_id) LEFT JOIN m0 USING (user_id) LEFT JOIN f0 USING (user_id) LEFT JOIN
+ (SELECT user_id, string_agg(event_type, ' ' ORDER BY row_idx) AS route FROM (SELECT t.user_id, row_idx, event_type, lag(event_type) OVER (PARTITION BY t.user_id ORDER BY row_idx) AS before, row_number() OVER (PARTITION BY t.user_id ORDER BY row_idx) AS n FROM t JOIN f0 USING (user_id) WHERE row_idx >= f0.a)
+  WHERE (n = 1 OR event_type IS DISTINCT FROM before) AND event_type <> '' GROUP BY user_id) USING (user_id)""")
 def flight_summaries(spark, sf_dir):
     rows = _track(spark, sf_dir).select(
         F.col("user_id").alias("log_id"), F.struct(*ORDER).alias("ts"), F.when(F.col("gs") > 10, F.col("gs")).otherwise(0.0).alias("gs"), "ias", (F.col("event_id") % 11 - 3).cast("double").alias("power"),
         F.col("fuel").alias("fuel_left"), F.col("fuel").alias("fuel_right"), F.col("fuel_burn").alias("totalizer"), F.col("elapsed").alias("distance"), "alt", F.col("event_type").alias("waypoint"),
     )
     found = flights.summaries(rows)
-    return found.select("log_id", *[F.col(f"{c}.ts").alias(c) for c in ("engine_start", "engine_end", "moving_start", "flying_start", "flying_end")], "type")
+    times = [F.col(f"{c}.ts").alias(c) for c in ("engine_start", "engine_end", "moving_start", "moving_end", "flying_start", "flying_end")]
+    return found.select("log_id", *times, "type", F.round("fuel_start.left", 6).alias("fuel_from"), F.round("fuel_end.right", 6).alias("fuel_to"), *_r("fuel_totalizer", places=6), *_r("distance", places=3), "altitude", F.array_join("route", " ").alias("route"))

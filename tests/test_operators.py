@@ -42,7 +42,7 @@ def test_cells(spark):
 
 def test_fuel_is_capped_at_full_tanks_and_never_negative(spark):
     both = lambda v: fuel.tanks(F.lit(float(v)), F.lit(float(v)))
-    out = one(spark, fuel.analysis(both(10), both(50), both(35), both(60), both(40), both(46), F.lit(17.0)))
+    out = fuel.analysed(spark.range(1), both(10), both(50), both(35), both(60), both(40), both(46), F.lit(17.0)).first()["analysis"]
     assert out["target"] == 70 and out["target_add"] == 50 and out["added_total"] == 92 and out["current_totalizer"] == 0
     assert round(out["target_endurance"]) == round(70 / 17 * 3600)
 
