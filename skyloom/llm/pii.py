@@ -48,6 +48,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _sign = re.compile(r"[0-9@]")
+_number = re.compile(r"[0-9()+.-]*[0-9][0-9()+.-]*")
 _edge = "\"'.,;:!?()[]{}<>|"
 _blank = " \t\n\x0b\x0c\r"
 
@@ -98,9 +99,10 @@ class Token:
 
 
 def candidates(text: str, base: list[Span]) -> list[Token]:
-    """The blank-parted tokens with a digit or an @, without punctuation around them."""
+    """The blank-parted tokens with a digit or an @, without punctuation around them; those of one number are one, by ``whole_numbers``."""
     spans = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
     out, end, j, reach = [], 0, 0, []
+    owners: list[tuple[int, int, int] | None] = []
     for m in _sign.finditer(text):
         if m.start() < end:
             continue
@@ -123,6 +125,47 @@ def candidates(text: str, base: list[Span]) -> list[Token]:
         digits = _digits(inner)
         key = inner.partition("@")[0].lower() if "@" in inner else digits[-7:] if len(digits) >= 7 else ""
         out.append(Token(a, b, inner, reach[0][2] if reach else 0, key))
+        owners.append(reach[0] if reach else None)
+    return whole_numbers(text, out, owners)
+
+
+def whole_numbers(text: str, tokens: list[Token], owners: list[tuple[int, int, int] | None]) -> list[Token]:
+    """Tokens that make up one number joined: those of one base span, and runs of others, a blank apart, that spell a base span's number
+    however they part it (all of it, or what follows a prefix such as a country's)."""
+    joined_: list[Token] = []
+    for t, own, before in zip(tokens, owners, [None, *owners], strict=False):
+        if own is not None and own is before and "@" not in joined_[-1].text + t.text:
+            a = joined_[-1].start
+            digits = _digits(text[a : t.end])
+            joined_[-1] = Token(a, t.end, text[a : t.end], t.observed, digits[-7:] if len(digits) >= 7 else "")
+        else:
+            joined_.append(t)
+    known: dict[str, list[str]] = {}
+    for t in joined_:
+        if t.observed and t.key and "@" not in t.text:
+            known.setdefault(t.key, []).append(_digits(t.text))
+    if not known:
+        return joined_
+    out, i = [], 0
+    while i < len(joined_):
+        t, reach = joined_[i], i
+        digits = _digits(t.text)
+        k = i
+        while not joined_[k].observed and _number.fullmatch(joined_[k].text) and k + 1 < len(joined_):
+            after = joined_[k + 1]
+            if after.observed or not _number.fullmatch(after.text) or after.start - joined_[k].end > 2 or text[joined_[k].end : after.start].strip(" ()"):
+                break
+            digits += _digits(after.text)
+            k += 1
+            if len(digits) > 19:
+                break
+            if any(d.endswith(digits) for d in known.get(digits[-7:], ())):
+                reach = k
+        if reach > i:
+            end = joined_[reach].end
+            t = Token(t.start, end, text[t.start : end], 0, _digits(text[t.start : end])[-7:])
+        out.append(t)
+        i = reach + 1
     return out
 
 
@@ -131,7 +174,7 @@ FEATURES = 16
 
 def features(token: Token, before: str) -> list[int]:
     """Indexes of the features that hold for a token; ``before`` is the character in front of it."""
-    word = token.text
+    word = token.text.replace(" ", "")
     n = sum("0" <= c <= "9" for c in word)
     out = [0, 1 + min(6, n // 3)]
     if "@" in word:

@@ -326,3 +326,29 @@ def test_pii_samples_stop_at_the_bound_and_toxicity_fails_beyond_it(spark):
         toxicity.token_table(rows, 1)
     with pytest.raises(ValueError, match="near copies"):
         toxicity.fit(docs, docs, most=toxicity.MOST_ROWS + 1)
+
+
+def test_numbers_that_are_split_otherwise_are_one_candidate(spark):
+    text = "pay with 4952 9359 0025 3052 or call +1 (171) 555-2028; later 171 555 2028 and 1 171 5552028 but not 171 555 2029, 12 34 or 2028 555 171"
+    base = pii.base_spans(text)
+    assert [k for k, _, _ in base] == ["card", "phone"]
+    own = {t.text: (t.observed, t.key) for t in pii.candidates(text, base)}
+    assert own["4952 9359 0025 3052"] == (3, "0253052") and own["+1 (171) 555-2028"] == (4, "5552028")
+    assert own["171 555 2028"] == (0, "5552028") == own["1 171 5552028"] and own["555"] == (0, "") and "12 34" not in own
+    rng = random.Random(12)
+    docs = []
+    for i in range(300):
+        number = f"{rng.randrange(100, 999)}{rng.randrange(10**6, 10**7)}"
+        docs.append((i, f"call +1 ({number[:3]}) {number[3:6]}-{number[6:]} today, order {rng.randrange(10**4)} of {rng.randrange(1900, 2030)} with {rng.randrange(100)} {rng.randrange(1000)} pieces; again {number[:3]} {number[3:6]} {number[6:]} please", number))
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(frame, pii.fit(frame)).collect()}
+    more = {i: [t[s.start : s.end] for s in found[i] if not s.base] for i, t, _ in docs}
+    assert sum(any(re.sub("[^0-9]", "", m) == n for m in more[i]) for i, _, n in docs) >= 290
+    assert sum(len(m) for m in more.values()) <= 310
+
+
+def test_long_rows_of_numbers_take_time_in_proportion():
+    text = "call +1 (171) 555-2028; " + "171 555 2029 " * 20_000
+    began = time.perf_counter()
+    assert len(pii.candidates(text, pii.base_spans(text))) == 60_001
+    assert time.perf_counter() - began < 20
