@@ -352,3 +352,68 @@ def test_long_rows_of_numbers_take_time_in_proportion():
     began = time.perf_counter()
     assert len(pii.candidates(text, pii.base_spans(text))) == 60_001
     assert time.perf_counter() - began < 20
+
+
+def test_pipeline_rows_by_brute_force_stage_by_stage(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+    import public_tokenizers
+    import tiktoken
+    from skyloom.llm import bpe, langid, mixing, simhash
+
+    written = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for i, (_, stage) in enumerate(p.STAGES):
+        stage(spark, written[-1], sf_dir).write.parquet(str(tmp_path / str(i)))
+        written.append(spark.read.parquet(str(tmp_path / str(i))))
+    docs, told, single, plain, mixed, tokens = [f.toPandas() for f in written]
+    columns = list(docs.columns)
+    by_id = lambda frame: frame.set_index("doc_id").sort_index()
+
+    # Language: what is rejected goes, the rest is as it was.
+    model = langid.fit(written[0], labelled=~langid.held_out())
+    gone = {r.doc_id for r in langid.identify(written[0], model).where("rejected").collect()}
+    assert set(told.doc_id) == set(docs.doc_id) - gone and list(told.columns) == columns
+    assert by_id(told).equals(by_id(docs).loc[sorted(told.doc_id)])
+
+    # Near duplicates: all pairs of fingerprints.
+    prints = {i: simhash.fingerprint(t) for i, t in zip(told.doc_id, told.text, strict=True)}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert set(single.doc_id) == {find(i) for i in ids} and by_id(single).equals(by_id(told).loc[sorted(single.doc_id)])
+
+    # Personal data: every text on its own.
+    found = pii.fit(written[2])
+    expected = {i: pii.redact(t, found) for i, t in zip(single.doc_id, single.text, strict=True)}
+    assert dict(zip(plain.doc_id, plain.text, strict=True)) == expected
+    assert any("[email]" in t for t in expected.values()) and list(plain.n_chars) == [len(t) for t in plain.text]
+
+    # Mixing: each row's words are words of its document in their order, as many as the mix takes.
+    words = {i: t.split() for i, t in zip(plain.doc_id, plain.text, strict=True)}
+    taken = Counter()
+    for i, t in zip(mixed.doc_id, mixed.text, strict=True):
+        own, rest = t.split(), iter(words[i])
+        taken[i] += len(own)
+        assert own and all(w in rest for w in own)
+    sizes = {r.doc_id: r.taken for r in mixing.mixed_sizes(written[3]).collect()}
+    assert all(taken[i] == n <= 3 * len(words[i]) for i, n in sizes.items()) and set(taken) <= set(sizes)
+
+    # Tokens: another tokenizer.
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = []
+    for i, t in zip(mixed.doc_id, mixed.text, strict=True):
+        own = other.encode_ordinary(t)
+        rows.append((i, len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    same = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(tokens[same].itertuples(index=False, name=None)) == sorted(rows)
+    assert sorted(map(tuple, p.run(spark, sf_dir).select(*same).collect())) == sorted(rows)
