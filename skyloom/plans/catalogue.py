@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from skyloom.plans import computed, kept, planning, recorder  # noqa: F401  they register their queries
+    from skyloom.plans import computed, files, kept, planning, recorder  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from skyloom.plans import computed, kept, planning, recorder  # noqa: F401
+    from skyloom.plans import computed, files, kept, planning, recorder  # noqa: F401
 
     return dict(_SQL)
 

@@ -70,7 +70,7 @@ def tank_algebra(spark, sf_dir):
     )
 
 
-_SPANS = """s AS (SELECT o_orderkey AS log_id, o_orderdate AS t, o_totalprice / 1000 AS distance, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 9000 ELSE 0 END AS counted, 50.0 + o_orderkey % 9 AS fl, 40.0 + o_orderkey % 7 AS fr, 30.0 + o_orderkey % 5 AS el, 25.0::DOUBLE AS er, (70 + o_orderkey % 50 * 3) AS moved, 60 + o_orderkey % 30 AS flown FROM orders)"""
+_SPANS = """s AS (SELECT o_orderkey AS log_id, o_orderdate AS t, o_totalprice / 1013.77 AS distance, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 8737.31 ELSE 0 END AS counted, 50.0 + o_orderkey % 9 AS fl, 40.0 + o_orderkey % 7 AS fr, 30.0 + o_orderkey % 5 AS el, 25.0::DOUBLE AS er, (70 + o_orderkey % 50 * 3) AS moved, 60 + o_orderkey % 30 AS flown FROM orders)"""
 
 
 def _spans(spark, sf_dir):
@@ -78,7 +78,7 @@ def _spans(spark, sf_dir):
     at = lambda m: t + F.make_dt_interval(mins=m)
     return _t(spark, sf_dir, "orders").select(
         k.alias("log_id"), t.alias("hobbs_start"), at((F.lit(80) + k % 50 * 3).cast("int")).alias("hobbs_end"), at(F.lit(5)).alias("moving_start"), at((F.lit(75) + k % 50 * 3).cast("int")).alias("moving_end"), at(F.lit(9)).alias("flying_start"), at((F.lit(69) + k % 30).cast("int")).alias("flying_end"),
-        (F.col("o_totalprice") / 1000).alias("distance"), F.when(k % 3 > 0, F.col("o_totalprice") / 9000).otherwise(0.0).alias("fuel_totalizer"), fuel.tanks(50.0 + k % 9, 40.0 + k % 7).alias("fuel_start"), fuel.tanks(30.0 + k % 5, F.lit(25.0)).alias("fuel_end"),
+        (F.col("o_totalprice") / 1013.77).alias("distance"), F.when(k % 3 > 0, F.col("o_totalprice") / 8737.31).otherwise(0.0).alias("fuel_totalizer"), fuel.tanks(50.0 + k % 9, 40.0 + k % 7).alias("fuel_start"), fuel.tanks(30.0 + k % 5, F.lit(25.0)).alias("fuel_end"),
     )
 
 

@@ -30,6 +30,13 @@ ROWS = 8192
 TIMES = ("Lcl Date", "Lcl Time", "UTCOfst")
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -62,7 +69,7 @@ class LogReader(DataSourceReader):
         self.head = int(options["head"]) if "head" in options else None
 
     def _files(self) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
-        system, where = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system, where = located(self.path)
         found = system.get_file_info(where)
         found = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where, recursive=True))
         return system, sorted((f for f in found if f.type == fs.FileType.File and re.match(r"^log_.*\.csv$", f.base_name)), key=lambda f: f.path)
@@ -82,8 +89,7 @@ class LogReader(DataSourceReader):
         names = ["path", "at", *self.columns]
         if not part.path:
             return
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with system.open_input_file(part.path) as file:
+        with located(self.path)[0].open_input_file(part.path) as file:
             start, width, places = self._preamble(file)
             if not places:
                 return

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,22 @@ def export_csv(flights: DataFrame, path: str, columns: Sequence[str] = ()) -> No
     (flights.select(*columns) if columns else flights).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_files(rows: DataFrame, folder: str, name: str, text: str) -> int:
+    """Writes each row's text as a file of its own below a folder, by its name, and gives their number; the executors write in parallel, and what was there goes."""
+    from skyloom.sources.logscan import located
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = located(folder)
+        system.create_dir(where, recursive=True)
+        for batch in batches:
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{where}/{own}") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    return rows.where(F.col(name).isNotNull()).select(name, text).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class Aggregates:
     """A store of interval aggregates, one row an interval and log, that opens only for the version and interval it was made with."""
 

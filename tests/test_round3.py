@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import clusters, series, spatial, stats
-from skyloom.plans import catalogue
 from skyloom.sources import keyed, logscan, plans, store
 from skyloom.streaming import streams
 
@@ -304,11 +303,6 @@ def test_ends_of_logs_are_peeked_at(spark, tmp_path):
     assert logscan.peeked(spark, str(tmp_path), head=1, tail=10).count() == 0
 
 
-def test_registered_queries_of_the_round_by_sql(spark, sf_dir, same_as_sql):
-    for name in ("stream_parsed", "stream_segments", "stream_catalogue", "keyed_store", "clustered_profiles", "fix_approaches", "trip_table", "plan_pages", "printed_plans"):
-        same_as_sql(catalogue.queries()[name](spark, sf_dir), catalogue.oracle_sql()[name])
-
-
 def test_only_the_first_table_with_waypoints_counts(spark):
     row = "<tr><td>{} N5120.9/W00033.5</td></tr>"
     few, many = "".join(row.format(f"A{i}") for i in range(2)), "".join(row.format(f"B{i}") for i in range(3))
