@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import clusters, series, spatial, stats
-from skyloom.sources import keyed, logscan, plans, store
+from skyloom.sources import keyed, logscan, plans, sqlite, store
 from skyloom.streaming import streams
 
 START = datetime.datetime(2021, 1, 1)
@@ -331,3 +331,32 @@ def test_words_of_several_pages_become_waypoints(spark):
     r = found[3]
     assert (r.airway, r.wind_comp_raw, r.mag_hdg, r.tas, r.dist_leg, r.fuel_rem, r.fuel_used, r.flow, r.leg_time_s, r.eta_elapsed_s) == ("L9", "-5", 120, 150, 20, 45.5, 4.5, 15, 600, 1200)
     assert (r.coord_raw, r.altitude_ft, r.wind_dir, r.wind_speed, r.crs, r.gs, r.dist_rem, r.ete_remaining_s, r.msa, r.oat, r.isa_dev, r.navaid) == ("N5120.9/W00033.5", 5500, 264, 18, 118, 145, 80, 3300, 2100, 13, -2, "LYD")
+
+
+def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "nav.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE airports (id INTEGER PRIMARY KEY, ident TEXT, name TEXT, latitude_deg REAL, longitude_deg REAL)")
+        db.executemany("INSERT INTO airports VALUES (?, ?, ?, ?, ?)", [(i * 3, f"A{i}", "x", i / 10, -i / 10) for i in range(1000)] + [(5000, "NONE", "x", None, 1.0), (5001, "TEXT", "x", "north", 1.0)])
+        db.execute('CREATE TABLE navaids (ident TEXT PRIMARY KEY, latitude_deg REAL, longitude_deg REAL, "odd ""name" TEXT) WITHOUT ROWID')
+        db.execute("INSERT INTO navaids VALUES ('LYD', 51, 1, 'o')")
+        db.execute("CREATE TABLE empty (a INT)")
+    found = sqlite.table(spark, path, "airports", ["ident", "latitude_deg"], parts=5)
+    assert found.columns == ["ident", "latitude_deg"] and found.rdd.getNumPartitions() == 5
+    assert rows_of(found.where("latitude_deg IS NOT NULL"), "ident", "latitude_deg") == sorted((f"A{i}", i / 10) for i in range(1000)) and found.count() == 1002
+    assert rows_of(sqlite.table(spark, path, "navaids"), "ident", 'odd "name') == [("LYD", "o")]
+    assert sqlite.table(spark, path, "empty").count() == 0 and sqlite.airports(spark, path).count() == 1000
+    assert rows_of(sqlite.nav_model(spark, path).where("navaid"), "ident", "lat", "lon") == [("LYD", 51.0, 1.0)]
+    with pytest.raises(Exception, match="no columns"):
+        sqlite.table(spark, path, "airports", ["absent"]).count()
+    points = spark.createDataFrame([(1, 3.02, -3.0)], "id int, lat double, lon double")
+    assert spatial.nearest_of_all(points, sqlite.airports(spark, path), "lat", "lon", ["id"], "ident").first().ident == "A30"
+
+
+def test_exported_files_are_the_rows_texts(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "one\ntwo"), ("b.txt", None), (None, "lost")], "name string, body string")
+    assert store.export_files(rows, f"file:{tmp_path}/out", "name", "body") == 2
+    assert (tmp_path / "out" / "a.txt").read_text() == "one\ntwo" and (tmp_path / "out" / "b.txt").read_text() == ""
+    assert store.export_files(rows.limit(0), str(tmp_path / "none"), "name", "body") == 0
