@@ -31,7 +31,7 @@ from skyloom.llm.common import join_by_size, materialised
 
 SCALE = 1_000_000_000
 #: Counters of a task, before they are handed on.
-ENTRIES = 200_000
+ENTRIES = 500_000
 #: Postings of a tile, and sources of a block.
 POSTINGS, SOURCES = 400_000, 1024
 #: Cells of a dense piece, and pairs that are corrected at a time.
