@@ -38,7 +38,10 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-_USER = F.regexp_extract("path", r"log_200913_(\d{6})_EGTF", 1).cast("long").alias("user_id")
+def _user():
+    return F.regexp_extract("path", r"log_200913_(\d{6})_EGTF", 1).cast("long").alias("user_id")
+
+
 _LOGS = f"""i AS (SELECT *, row_number() {W} - 1 AS i FROM events), k AS (SELECT user_id, i, 1600000000 + i - CASE WHEN i % 10 = 9 THEN 1 ELSE 0 END AS s, CASE WHEN i % 7 > 0 THEN 50 + i % 90 * 0.5::DOUBLE END AS lat, CASE WHEN i % 7 > 0 THEN i % 70 * 0.25::DOUBLE END AS lon, value AS ias, event_type || ', x' AS wpt FROM i),
 rows AS (SELECT * FROM k WHERE i % 10 <> 9)"""
 _SAMPLES = f"WITH {_LOGS} SELECT user_id, s::BIGINT AS s, lat, lon, round(ias, 6) AS ias, wpt FROM rows"
@@ -46,7 +49,7 @@ _COLUMNS = ["Latitude", "Longitude", "IAS", "AtvWpt"]
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select(_USER, F.unix_seconds("ts").alias("s"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.round("IAS", 6).alias("ias"), F.col("AtvWpt").alias("wpt"))
+    return rows.select(_user(), F.unix_seconds("ts").alias("s"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.round("IAS", 6).alias("ias"), F.col("AtvWpt").alias("wpt"))
 
 
 @query(_SAMPLES)
@@ -72,7 +75,7 @@ SELECT user_id, strftime(to_timestamp(a.s) AT TIME ZONE 'UTC', '%H:%M:%S') AS fi
 def log_ends(spark, sf_dir):
     """First and last positions from the head and the tail of each log alone."""
     found = logscan.peeked(spark, _written(spark, sf_dir), head=20, tail=2000)
-    return found.select(_USER, *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in ("time", "lat", "lon")])
+    return found.select(_user(), *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in ("time", "lat", "lon")])
 
 
 _KINDS = ("('Lcl Date', '#yyyy-mm-dd', 'ignored', 0), ('Lcl Time', 'hh:mm:ss', 'ignored', 1), ('UTCOfst', 'hh:mm', 'ignored', 2), ('Latitude', 'degrees', 'number', 3), ('Longitude', 'degrees', 'number', 4), ('IAS', 'kt', 'number', 5), ('AtvWpt', 'ident', 'name', 6)")
@@ -81,7 +84,7 @@ _KINDS = ("('Lcl Date', '#yyyy-mm-dd', 'ignored', 0), ('Lcl Time', 'hh:mm:ss', '
 @query(f"SELECT user_id, position::INT AS position, field, unit, kind FROM (SELECT DISTINCT user_id FROM events), (VALUES {_KINDS}) AS k(field, unit, kind, position)")
 def log_columns(spark, sf_dir):
     found = logs.columns(logs.lines(spark, _written(spark, sf_dir)))
-    return found.select(_USER, "position", "field", "unit", "kind")
+    return found.select(_user(), "position", "field", "unit", "kind")
 
 
 @query("""SELECT 'log_200913_' || lpad(user_id::VARCHAR, 6, '0') || '_EGTF.csv' AS name, 'log' AS kind, lpad(user_id::VARCHAR, 6, '0') AS system_id FROM (SELECT DISTINCT user_id FROM events)""")

@@ -25,6 +25,8 @@ from skyloom.sources.logs import CATEGORICAL
 
 #: Bytes of a range, of what is read at a time, and of the preamble (metadata, units, header) at most.
 RANGE, BUFFER, PREAMBLE = 64 << 20, 1 << 20, 1 << 20
+#: Bytes of short logs that one task reads together, and what opening one counts for.
+TOGETHER, OPENING = 16 << 20, 1 << 18
 #: Rows of a batch.
 ROWS = 8192
 TIMES = ("Lcl Date", "Lcl Time", "UTCOfst")
@@ -39,9 +41,9 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Part(InputPartition):
-    path: str
-    begin: int
-    end: int
+    """Ranges (path, first and last byte) that one task reads."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 class LogSource(DataSource):
@@ -75,40 +77,52 @@ class LogReader(DataSourceReader):
         return system, sorted((f for f in found if f.type == fs.FileType.File and re.match(r"^log_.*\.csv$", f.base_name)), key=lambda f: f.path)
 
     def partitions(self) -> list[Part]:
-        out = []
+        """Long logs are cut, short ones are read together."""
+        cut = []
         for f in self._files()[1]:
             if self.every > 1 or self.head is not None:  # lines are counted from the first one
-                out.append(Part(f.path, 0, f.size))
+                cut.append((f.path, 0, f.size))
             elif self.tail:
-                out.append(Part(f.path, max(0, f.size - self.tail), f.size))
+                cut.append((f.path, max(0, f.size - self.tail), f.size))
             else:
-                out += [Part(f.path, a, min(f.size, a + self.range)) for a in range(0, f.size, self.range)]
-        return out or [Part("", 0, 0)]
+                cut += [(f.path, a, min(f.size, a + self.range)) for a in range(0, f.size, self.range)]
+        out: list[Part] = []
+        room = 0
+        for one in cut:
+            cost = one[2] - one[1] + OPENING
+            if not out or cost > room:
+                out.append(Part([]))
+                room = TOGETHER
+            out[-1].ranges.append(one)
+            room -= cost
+        return out or [Part([])]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        for path, begin, end in part.ranges:
+            yield from self._range(path, begin, end)
+
+    def _range(self, path: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
         names = ["path", "at", *self.columns]
-        if not part.path:
-            return
-        with located(self.path)[0].open_input_file(part.path) as file:
+        with located(self.path)[0].open_input_file(path) as file:
             start, width, places = self._preamble(file)
             if not places:
                 return
             rows: list[list] = []
-            for number_, at, line in self._lines(file, max(start, part.begin), part.end, start):
+            for number_, at, line in self._lines(file, max(start, begin), end, start):
                 if number_ is not None and number_ % self.every:
                     continue
                 cells = next(csv.reader([line], skipinitialspace=True), [])
                 if len(cells) == width:
                     rows.append([at, *[cells[p].strip() if p is not None else None for p in places]])
                     if len(rows) == ROWS:
-                        yield self._batch(part.path, rows, names)
+                        yield self._batch(path, rows, names)
                         rows = []
             if rows:
-                yield self._batch(part.path, rows, names)
+                yield self._batch(path, rows, names)
 
     def _preamble(self, file: pa.NativeFile) -> tuple[int, int, list[int | None]]:
         """Where the rows begin, the number of cells of the header, and the wanted columns' places, the last of equal names."""
-        first = file.read_at(PREAMBLE, 0).split(b"\n", 3)
+        first = file.read_at(min(PREAMBLE, file.size()), 0).split(b"\n", 3)
         if len(first) < 3:
             return 0, 0, []
         header = [c.strip() for c in next(csv.reader([first[2].decode("utf-8", "replace").rstrip("\r")], skipinitialspace=True), [])]
