@@ -142,7 +142,10 @@ def clustered(profiles: DataFrame, group: str, key: str, most_nm: float = 12.0)
         return own.assign(__first=first)
 
     out = T.StructType([*rows.schema.fields, T.StructField("__first", kind)])
-    found = rows.groupBy(group, "__block").applyInPandas(run, out)
+    # A block of one flight is a cluster as it is.
+    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy(group, "__block")))
+    alone = rows.where("__n = 1").drop("__n").withColumn("__first", F.col(key))
+    found = rows.where("__n > 1").drop("__n").groupBy(group, "__block").applyInPandas(run, out).unionByName(alone)
     size = F.count("*").over(Window.partitionBy(group, "__block", "__first"))
     order = Window.partitionBy(group).orderBy(F.desc("__size"), "__first", "__block")
     return found.withColumn("__size", size).withColumn("cluster", F.dense_rank().over(order) - 1).select(*profiles.columns, "cluster")
