@@ -125,7 +125,7 @@ def stored_aggregates(spark, sf_dir):
     own = store.Aggregates(spark, path, seconds=3600)
     own.upsert(rows.where("CAST(LogFileName AS LONG) % 2 = 0"))
     own.upsert(rows.where("CAST(LogFileName AS LONG) % 3 <> 1 OR CAST(LogFileName AS LONG) % 2 = 1"))
-    own.remove([f"{k:06d}" for k in range(0, 1_000, 5)])
+    own.remove(rows.where("CAST(LogFileName AS LONG) % 5 = 0"))
     found = store.Aggregates(spark, path, seconds=3600).table()
     return found.select(F.col("LogFileName").alias("log"), F.unix_seconds(F.col("Date").cast("timestamp")).alias("since"), F.round("`AltMSL.average`", 6).alias("mean"), F.round("`E1 RPM.max`", 6).alias("top"))
 

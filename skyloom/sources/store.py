@@ -71,9 +71,10 @@ class Aggregates:
     def table(self) -> DataFrame:
         return stored(self.spark, f"{self.path}/intervals")
 
-    def remove(self, logs: Sequence[str], log: str = "LogFileName") -> None:
-        """Drops the intervals of some logs; those that are not there change nothing."""
-        KeyedTable(self.spark, f"{self.path}/intervals", log).delete(self.spark.createDataFrame([(name,) for name in logs], f"`{log}` string"))
+    def remove(self, logs: Sequence[str] | DataFrame, log: str = "LogFileName") -> None:
+        """Drops the intervals of some logs, named one by one or by a frame's column ``log``; those that are not there change nothing."""
+        names = logs.select(f"`{log}`") if isinstance(logs, DataFrame) else self.spark.createDataFrame([(name,) for name in logs], f"`{log}` string")
+        KeyedTable(self.spark, f"{self.path}/intervals", log).delete(names)
 
 
 def interval_table(samples: DataFrame, seconds: int = 60, takeoff: DataFrame | None = None, log: str = "LogFileName", ts: str = "ts") -> DataFrame:
