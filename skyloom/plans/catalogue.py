@@ -453,7 +453,7 @@ def _ranked_matches(logs: DataFrame, dated) -> DataFrame:
         F.col("log_id").alias("plan_id"), F.when(dated, F.col("day")).alias("day"),
         F.col("last_lat").alias("from_lat"), F.col("first_lon").alias("from_lon"), F.col("first_lat").alias("to_lat"), F.col("last_lon").alias("to_lon"),
     )
-    found = joins.log_matches(plans, logs).withColumn("n", F.count("*").over(Window.partitionBy("plan_id"))).where("rank <= 5")
+    found = joins.first_log_matches(plans, logs, 5)
     return found.select("plan_id", "log_id", F.round("start_nm", 6).alias("start_nm"), F.round("end_nm", 6).alias("end_nm"), "rank", "n")
 
 

@@ -26,3 +26,22 @@ def test_a_half_goes_up_whatever_the_order_of_adding(spark):
     own = [9.3, 0.5, 4.1, 8.0, 8.7, 7.1, 9.6, 8.9]  # 7.0249999999999995 when added in this order
     legs = spark.createDataFrame([(1, True, True, 1.0, 1.0, 1.0, 1.0, x, 0.0, 0.0, 0.0, 0.0) for x in own], "p int, reliable boolean, overflown boolean, actual_gs double, planned_gs double, actual_time_s double, planned_time_s double, actual_fuel double, planned_fuel double, actual_fuel_tank double, headwind_actual double, headwind_planned double")
     assert corridor.accuracy(legs.coalesce(1), ["p"]).first().mean_leg_fuel_err_gal == 7.03
+
+
+def test_first_matches_are_those_of_all(spark):
+    k = F.col("id")
+    on = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    logs = spark.range(1500).select(k.alias("log_id"), F.when(k % 7 > 0, on(k % 3)).alias("day"), (k % 4 * 0.05).alias("first_lat"), (k % 5 * 0.06).alias("first_lon"), (k % 2 * 1.0).alias("last_lat"), F.when(k % 11 > 0, k % 3 * 0.07).alias("last_lon"))
+    asked = spark.range(40).select(k.alias("plan_id"), F.when(k % 2 == 0, on(k % 5)).alias("day"), (k % 4 * 0.05).alias("from_lat"), F.lit(0.06).alias("from_lon"), (k % 2 * 1.0).alias("to_lat"), F.lit(0.0).alias("to_lon"))
+    every = joins.log_matches(asked, logs).collect()
+    n = {p: sum(r.plan_id == p for r in every) for p in range(40)}
+    expected = sorted((r.plan_id, r["rank"], r.log_id, r.start_nm, r.end_nm, n[r.plan_id]) for r in every if r["rank"] <= 3)
+    found = joins.first_log_matches(asked, logs, 3)
+    assert expected and sorted((r.plan_id, r["rank"], r.log_id, r.start_nm, r.end_nm, r.n) for r in found.collect()) == expected
+
+
+def test_plan_matches_of_one_place_do_not_multiply(spark, tmp_path):
+    at = F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")
+    table(spark, tmp_path, "events", spark.range(0, 300 * 20_000, 300).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(0).cast("long").alias("user_id")))
+    found = catalogue.queries()["plan_log_matches"](spark, str(tmp_path))  # 400 million matches
+    assert found.agg(F.count("*"), F.min("n"), F.max("n"), F.max("log_id")).first() == (100_000, 20_000, 20_000, 1200)
