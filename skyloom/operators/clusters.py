@@ -15,8 +15,8 @@ from skyloom.functions.geo import RADIUS_NM
 
 #: Bytes of distance vectors that a task keeps.
 CACHE = 64 << 20
-#: Rows of a track that are passed over together.
-PIECE = 64
+#: Rows of a track that are passed over together, and places of fixes that a flight is measured to together.
+PIECE, LOT = 64, 1024
 
 
 class Chain:
@@ -105,6 +105,44 @@ def complete_linkage(profiles: list[np.ndarray], most: float) -> list[int]:
     return rank[np.searchsorted(slots, owner)].tolist()
 
 
+def linked(x: np.ndarray, most: float) -> np.ndarray:
+    """The least member of each row's cluster, for many groups of equally many profiles at once (group, profile, place).
+
+    All groups join their closest two clusters, the first by number of equally close ones, until none are within ``most``.
+    """
+    n = x.shape[1]
+    far = np.sqrt(((x[:, :, None] - x[:, None]) ** 2).mean(3))
+    far[:, *np.tril_indices(n)] = np.inf
+    far[~np.isfinite(far)] = np.inf
+    owner = np.tile(np.arange(n), (len(x), 1))
+    at = np.arange(len(x))
+    for _ in range(n - 1):
+        best = far[at].reshape(len(at), -1).argmin(1)
+        a, b = best // n, best % n
+        close = far[at, a, b] <= most
+        at, a, b = at[close], a[close], b[close]
+        if not len(at):
+            break
+        owner[at] = np.where(owner[at] == b[:, None], a[:, None], owner[at])
+        full = np.minimum(far[at], far[at].transpose(0, 2, 1))
+        k = np.arange(len(at))
+        both = np.maximum(full[k, a], full[k, b])
+        both[k, b] = np.inf
+        both[k, a] = np.inf
+        full[k, a], full[k, :, a] = both, both
+        full[k, b], full[k, :, b] = np.inf, np.inf
+        full[:, *np.tril_indices(n)] = np.inf
+        far[at] = full
+    return owner
+
+
+def numbered(owner: np.ndarray) -> np.ndarray:
+    """Cluster numbers of ``linked`` groups: the largest first, of equals the one of the first profile."""
+    sizes = (owner[:, :, None] == np.arange(owner.shape[1])).sum(1)
+    rank = np.argsort(np.argsort(-sizes, axis=1, kind="stable"), axis=1, kind="stable")
+    return np.take_along_axis(rank, owner, 1)
+
+
 def blocks(profiles: DataFrame, group: str, most_nm: float, name: str = "block") -> DataFrame:
     """``profiles`` with parts of a group between which no two profiles are within ``most_nm``.
 
@@ -193,24 +231,32 @@ def fix_distances(tracks: DataFrame, fixes: DataFrame, group: str) -> DataFrame:
     """group, cluster, fix, navaid, mean: how near a cluster's flights come to each fix of their corridor, on average.
 
     ``tracks``: group, cluster, flight, lat, lon (thinned out). ``fixes``: group, fix, navaid, lat, lon, those
-    within the corridor's box. A task takes one flight's rows and its corridor's fixes at a time; a row of distances for each flight is shuffled.
+    within the corridor's box. Places are measured once, however many fixes have them, in lots of about ``LOT`` a corridor: a task takes one flight's
+    rows and a lot at a time, and of each batch of rows sums for each cluster and place are shuffled.
     """
     here = tracks.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
     here = here.groupBy(group, "cluster", "flight").agg(F.collect_list(F.struct("lat", "lon")).alias("t"))
     there = fixes.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
-    there = there.groupBy(group).agg(F.collect_list(F.struct("fix", "navaid", "lat", "lon")).alias("f"))
-    both = here.join(there, group).select(group, "cluster", F.col("t.lat").alias("a"), F.col("t.lon").alias("b"), F.col("f.lat").alias("c"), F.col("f.lon").alias("d"), "f")
+    places = there.select(group, F.col("lat").alias("__a"), F.col("lon").alias("__b")).distinct()
+    lots = places.groupBy(group).agg(F.ceil(F.count("*") / LOT).alias("__lots"))
+    lot = F.pmod(F.xxhash64("__a", "__b"), F.col("__lots"))
+    places = places.join(lots, group).groupBy(group, lot.alias("__lot")).agg(F.collect_list(F.struct(F.col("__a").alias("lat"), F.col("__b").alias("lon"))).alias("f"))
+    both = here.join(places, group).select(group, "cluster", F.col("t.lat").alias("a"), F.col("t.lon").alias("b"), F.col("f.lat").alias("c"), F.col("f.lon").alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             lists = [at(n) for n in "abcd"]
             near = [approach(*(np.asarray(c[i].values.to_numpy(zero_copy_only=False), float) for c in lists)).tolist() for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([at(group), at("cluster"), at("f"), pa.array(near, pa.list_(pa.float64()))], [group, "cluster", "f", "near"])
-
-    kind = T.StructType([*both.select(group, "cluster", "f").schema.fields, T.StructField("near", T.ArrayType(T.DoubleType()))])
-    rows = both.mapInArrow(run, kind).select(group, "cluster", F.explode(F.arrays_zip("f", "near")).alias("x"))
-    return rows.groupBy(group, "cluster", F.col("x.f.fix").alias("fix"), F.col("x.f.navaid").alias("navaid")).agg(F.avg("x.near").alias("mean"))
+            yield pa.RecordBatch.from_arrays([at(group), at("cluster"), lists[2], lists[3], pa.array(near, pa.list_(pa.float64()))], [group, "cluster", "c", "d", "near"])
+
+    doubles = T.ArrayType(T.DoubleType())
+    kind = T.StructType([*both.select(group, "cluster").schema.fields, *[T.StructField(n, doubles) for n in ("c", "d", "near")]])
+    rows = both.mapInArrow(run, kind).select(group, "cluster", F.explode(F.arrays_zip("c", "d", "near")).alias("x"))
+    means = rows.groupBy(group, "cluster", F.col("x.c").alias("lat"), F.col("x.d").alias("lon")).agg(F.avg("x.near").alias("__mean"))
+    # Fixes that are told twice count with each of their places.
+    found = there.select(group, "fix", "navaid", "lat", "lon").join(means, [group, "lat", "lon"])
+    return found.groupBy(group, "cluster", "fix", "navaid").agg(F.avg("__mean").alias("mean"))
 
 
 def labelled(distances: DataFrame, group: str, near_nm: float = 8.0, apart_nm: float = 6.0) -> DataFrame:

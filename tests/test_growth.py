@@ -1,8 +1,7 @@
 """What showed only on larger tables."""
 
 import datetime
-import math
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +44,17 @@ def test_plan_matches_of_one_place_do_not_multiply(spark, tmp_path):
     table(spark, tmp_path, "events", spark.range(0, 300 * 20_000, 300).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(0).cast("long").alias("user_id")))
     found = catalogue.queries()["plan_log_matches"](spark, str(tmp_path))  # 400 million matches
     assert found.agg(F.count("*"), F.min("n"), F.max("n"), F.max("log_id")).first() == (100_000, 20_000, 20_000, 1200)
+
+
+def test_fixes_of_one_place_are_measured_once(spark):
+    tracks = spark.range(40).select(F.lit(1).alias("way"), F.lit(0).alias("cluster"), (F.col("id") % 4).alias("flight"), (50 + F.col("id") * 0.01).alias("lat"), F.lit(1.0).alias("lon"))
+    k = F.col("id")
+    fixes = spark.range(200_000).select(F.lit(1).alias("way"), F.concat(F.lit("F"), k.cast("string")).alias("fix"), (k % 2 == 0).alias("navaid"), (50 + k % 3).cast("double").alias("lat"), F.lit(1.5).alias("lon"))
+    found = clusters.fix_distances(tracks, fixes, "way")
+    one = lambda lat: sum(min(clusters.approach(*map(np.array, ([50 + n * 0.01], [1.0], [lat], [1.5])))[0] for n in range(f, 40, 4)) for f in range(4)) / 4
+    means = {r.place: (r.n, r.low, r.high) for r in found.groupBy((F.substring("fix", 2, 9).cast("long") % 3).alias("place")).agg(F.count("*").alias("n"), F.min("mean").alias("low"), F.max("mean").alias("high")).collect()}
+    assert {p: m[0] for p, m in means.items()} == {0: 66_667, 1: 66_667, 2: 66_666}
+    assert all(m[1] == m[2] == pytest.approx(one(50.0 + p), abs=1e-9) for p, m in means.items())
+    # No task's rows hold a corridor's fixes: a flight meets three places.
+    plan = clusters.fix_distances(tracks, fixes, "way")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(fix" not in plan
