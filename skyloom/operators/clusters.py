@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from skyloom.functions.geo import RADIUS_NM
 
 #: Bytes of distance vectors that a task keeps.
 CACHE = 64 << 20
+#: Flights of a group that is linked together with others.
+FEW = 64
 #: Rows of a track that are passed over together, and places of fixes that a flight is measured to together.
 PIECE, LOT = 64, 1024
 
@@ -111,9 +114,10 @@ def linked(x: np.ndarray, most: float) -> np.ndarray:
     All groups join their closest two clusters, the first by number of equally close ones, until none are within ``most``.
     """
     n = x.shape[1]
-    far = np.sqrt(((x[:, :, None] - x[:, None]) ** 2).mean(3))
+    with np.errstate(all="ignore"):
+        far = np.sqrt(((x[:, :, None] - x[:, None]) ** 2).sum(3) / x.shape[2])
     far[:, *np.tril_indices(n)] = np.inf
-    far[~np.isfinite(far)] = np.inf
+    far[np.isnan(far)] = np.inf
     owner = np.tile(np.arange(n), (len(x), 1))
     at = np.arange(len(x))
     for _ in range(n - 1):
@@ -165,9 +169,48 @@ def blocks(profiles: DataFrame, group: str, most_nm: float, name: str = "block")
 def clustered(profiles: DataFrame, group: str, key: str, most_nm: float = 12.0) -> DataFrame:
     """``profiles`` (group, key, offsets) with the cluster of each flight within its group, from 0 for the largest.
 
-    Groups are cut into ``blocks``, each of which is one task's: it holds its profiles and some vectors of their number, not their
-    pairs, and takes time in their square. Of equally large clusters the one of the first key comes first.
+    Groups of ``FEW`` flights at most are linked many at once. Others are cut into ``blocks``, each of which is one task's: it holds its profiles
+    and some vectors of their number, not their pairs, and takes time in their square. Of equally large clusters the one of the first key comes first.
     """
+    sized = profiles.withColumn("__n", F.count("*").over(Window.partitionBy(group)))
+    few, many = (sized.where(test).drop("__n") for test in (F.col("__n") <= FEW, F.col("__n") > FEW))
+    return _few_clustered(few, group, key, most_nm).unionByName(_many_clustered(many, group, key, most_nm))
+
+
+def _few_clustered(profiles: DataFrame, group: str, key: str, most_nm: float) -> DataFrame:
+    columns = [key, "offsets", *[c for c in profiles.columns if c not in (group, key, "offsets")]]
+    rows = profiles.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__rows"))
+    rows = rows.select(group, "__rows", F.col("__rows.offsets").cast("array<array<double>>").alias("__x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            counts = np.asarray(pc.list_value_length(at("__x")))
+            own = at("__x").flatten()
+            widths = np.asarray(pc.fill_null(pc.list_value_length(own), -1))
+            x = np.full((len(own), max(0, widths.max(initial=0))), np.nan)
+            fill = np.maximum(widths, 0)
+            values = np.asarray(own.flatten().to_numpy(zero_copy_only=False), float)
+            x[np.repeat(np.arange(len(own)), fill), np.arange(len(values)) - np.repeat(np.cumsum(fill) - fill, fill)] = values
+            begins = np.cumsum(counts) - counts
+            wide = np.maximum.reduceat(widths, begins) if len(own) else widths
+            x[widths != np.repeat(wide, counts)] = np.nan
+            number = np.zeros(len(own), np.int32)
+            for n, width in {*zip(counts.tolist(), wide.tolist(), strict=True)}:
+                here = np.flatnonzero((counts == n) & (wide == width))
+                step = max(1, (4 << 20) // (n * n * max(1, width)))
+                for lot in range(0, len(here), step):
+                    index = begins[here[lot : lot + step], None] + np.arange(n)
+                    number[index] = numbered(linked(x[index, : max(0, width)], most_nm))
+            told = pa.ListArray.from_arrays(pa.array(np.append(begins, len(own)), pa.int32()), pa.array(number, pa.int32()))
+            yield pa.RecordBatch.from_arrays([at(group), at("__rows"), told], [group, "__rows", "cluster"])
+
+    kind = T.StructType([*rows.select(group, "__rows").schema.fields, T.StructField("cluster", T.ArrayType(T.IntegerType()))])
+    out = rows.mapInArrow(run, kind).select(group, F.explode(F.arrays_zip("__rows", "cluster")).alias("__z")).select(group, "__z.__rows.*", "__z.cluster")
+    return out.select(*profiles.columns, "cluster")
+
+
+def _many_clustered(profiles: DataFrame, group: str, key: str, most_nm: float) -> DataFrame:
     kind = profiles.schema[key].dataType
     rows = blocks(profiles, group, most_nm, "__block")
 

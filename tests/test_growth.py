@@ -58,3 +58,21 @@ def test_fixes_of_one_place_are_measured_once(spark):
     # No task's rows hold a corridor's fixes: a flight meets three places.
     plan = clusters.fix_distances(tracks, fixes, "way")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(fix" not in plan
+
+
+def test_small_groups_are_linked_together_as_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    groups = {g: [rng.normal(0, 10, 4).tolist() for _ in range(int(rng.integers(1, 12)))] for g in range(60)}
+    groups[60] = [[1.0, 2.0], None, [1.0, float("nan")], [1.5, 2.0], [1.0], [float("inf"), 0.0]]
+    groups[61] = [[], []]
+    groups[62] = [[float(k % 3 * 100 + k * 0.01)] for k in range(clusters.FEW + 20)]
+    rows = [(g, k, o) for g, own in groups.items() for k, o in enumerate(own)]
+    found = clusters.clustered(spark.createDataFrame(rows, "way int, flight int, offsets array<double>").repartition(3), "way", "flight")
+    assert found.columns == ["way", "flight", "offsets", "cluster"] and dict(found.dtypes)["cluster"] == "int"
+    got = {(r.way, r.flight): r.cluster for r in found.collect()}
+    for g, own in groups.items():
+        width = max(len(o or [np.nan]) for o in own)
+        x = [np.array(o) if o is not None and len(o) == width else np.full(width, np.nan) for o in own]
+        assert [got[g, k] for k in range(len(own))] == (clusters.complete_linkage(x, 12.0) if g != 61 else [0, 1])
+    calls = [len(clusters.linked(rng.normal(0, 10, (500, 6, 4)), 12.0))]
+    assert calls == [500]
