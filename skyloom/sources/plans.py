@@ -16,12 +16,27 @@ def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Rows outside of tables are of none. A table in a table ends the outer one's rows.
     """
-    tables = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table[^>]*>(.*?)(?=</table|<table|$)"), F.lit(1))
-    at = pages.select(key, F.posexplode(tables).alias("table_no", "table"))
-    at = at.select(key, "table_no", F.posexplode(F.regexp_extract_all("table", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), "&nbsp;", " "), "&amp;", "&"), r"\s+", " "))
-    return at.select(key, "table_no", "row_no", F.transform(cells, plain).alias("cells"))
+    at = pages.select(key, F.posexplode(_tables(F.col(html))).alias("table_no", "table"))
+    at = at.select(key, "table_no", F.posexplode(_rows(F.col("table"))).alias("row_no", "row"))
+    return at.select(key, "table_no", "row_no", F.transform(_cells(F.col("row")), _plain).alias("cells"))
+
+
+def _tables(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)(?=</table|<table|$)"), F.lit(1))
+
+
+def _rows(table: Column) -> Column:
+    return F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+
+
+def _cells(row: Column) -> Column:
+    return F.regexp_extract_all(row, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
+
+
+def _plain(cell: Column) -> Column:
+    """A cell's text, tags and entities removed."""
+    text = F.replace(F.replace(F.regexp_replace(cell, r"<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def first_table(rows: DataFrame, key: str, test: Column, least: int = 1) -> DataFrame:
@@ -85,35 +100,44 @@ def printed_waypoints(words: DataFrame, key: str, page: str = "page", height: fl
     return out.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("seq")))
 
 
-def _tokens(cell: int) -> Column:
-    return F.filter(F.split(F.coalesce(F.get("cells", F.lit(cell)), F.lit("")), r"\s+"), lambda t: t != "")
+def _tokens(cell: Column) -> Column:
+    return F.filter(F.split(F.coalesce(cell, F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def _coordinate(tokens: Column) -> Column:
+    return F.get(F.filter(tokens, lambda t: t.rlike(COORDINATE)), F.lit(0))
 
 
 def waypoints(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, seq and the planned figures of each row that names a coordinate, of a page's first table with three such rows.
 
     Cells: name, coordinate and navaid; -; airway, altitude, safe altitude; wind; headings; speeds; distances; fuel left;
-    fuel used; flow; times; elapsed time. What is absent or a dash is null.
+    fuel used; flow; times; elapsed time. What is absent or a dash is null. A page is read where it is, without a shuffle, and not beyond
+    the table that is found.
     """
     at = lambda tokens, i: F.get(tokens, F.lit(i))
-    coordinate = F.get(F.filter(_tokens(0), lambda t: t.rlike(COORDINATE)), F.lit(0))
-    rows = first_table(table_cells(pages, key, html).withColumn("coord_raw", coordinate), key, F.col("coord_raw").isNotNull(), 3).where("coord_raw IS NOT NULL")
-    name = at(_tokens(0), 0)
-    rest = F.filter(F.slice(_tokens(0), 2, 20), lambda t: (t != F.col("coord_raw")) & (F.upper(t) == t) & t.rlike("[A-Z]"))
-    route = _tokens(2)
+    placed = lambda table: F.filter(F.transform(_rows(table), _cells), lambda c: _coordinate(_tokens(_plain(F.get(c, F.lit(0))))).isNotNull())
+    three = lambda table: F.get(F.filter(F.array(placed(table)), lambda rows: F.size(rows) >= 3), F.lit(0))
+    first = F.aggregate(_tables(F.col(html)), F.lit(None).cast("array<array<string>>"), lambda found, table: F.coalesce(found, three(table)))
+    rows = pages.select(key, F.posexplode(first).alias("__at", "cells"))
+    rows = rows.select(key, (F.col("__at") + 1).alias("seq"), *[_tokens(_plain(F.get("cells", F.lit(i)))).alias(f"__{i}") for i in (0, *range(2, 12))])
+    rows = rows.withColumn("coord_raw", _coordinate(F.col("__0")))
+    name = at(F.col("__0"), 0)
+    rest = F.filter(F.slice(F.col("__0"), 2, 20), lambda t: (t != F.col("coord_raw")) & (F.upper(t) == t) & t.rlike("[A-Z]"))
+    route = F.col("__2")
     airway = at(route, 0).rlike("[A-Za-z]")
     numbers = F.when(airway, F.slice(route, 2, 9)).otherwise(route)
-    number = lambda cell, i: text.number(at(_tokens(cell), i))
-    pair = lambda i: text.pair(at(_tokens(3), i))
+    number = lambda cell, i: text.number(at(F.col(f"__{cell}"), i))
+    pair = lambda i: text.pair(at(F.col("__3"), i))
     place = geo.coordinate(F.col("coord_raw"))
     return rows.select(
-        key, F.row_number().over(Window.partitionBy(key).orderBy("row_no")).alias("seq"), name.alias("name"), place["lat"].alias("lat"), place["lon"].alias("lon"), "coord_raw",
+        key, "seq", name.alias("name"), place["lat"].alias("lat"), place["lon"].alias("lon"), "coord_raw",
         (name.startswith("-") & name.endswith("-")).alias("is_pseudo"), F.get(rest, F.lit(0)).alias("navaid"), F.when(airway, at(route, 0)).alias("airway"),
-        text.number(at(numbers, 0)).alias("altitude_ft"), text.number(at(numbers, 1)).alias("msa"), F.when(~at(_tokens(3), 0).isin("-", "--"), at(_tokens(3), 0)).alias("wind_comp_raw"),
+        text.number(at(numbers, 0)).alias("altitude_ft"), text.number(at(numbers, 1)).alias("msa"), F.when(~at(F.col("__3"), 0).isin("-", "--"), at(F.col("__3"), 0)).alias("wind_comp_raw"),
         pair(1)["first"].alias("wind_dir"), pair(1)["second"].alias("wind_speed"), pair(2)["first"].alias("oat"), pair(2)["second"].alias("isa_dev"),
         number(4, 0).alias("mag_hdg"), number(4, 1).alias("crs"), number(5, 0).alias("tas"), number(5, 1).alias("gs"), number(6, 0).alias("dist_leg"), number(6, 1).alias("dist_rem"),
         number(7, 0).alias("fuel_rem"), number(8, 0).alias("fuel_used"), number(9, 0).alias("flow"),
-        text.seconds(at(_tokens(10), 0)).alias("leg_time_s"), text.seconds(at(_tokens(10), 1)).alias("ete_remaining_s"), text.seconds(at(_tokens(11), 0)).alias("eta_elapsed_s"),
+        text.seconds(at(F.col("__10"), 0)).alias("leg_time_s"), text.seconds(at(F.col("__10"), 1)).alias("ete_remaining_s"), text.seconds(at(F.col("__11"), 0)).alias("eta_elapsed_s"),
     )
 
 

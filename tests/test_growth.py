@@ -76,3 +76,14 @@ def test_small_groups_are_linked_together_as_one_by_one(spark):
         assert [got[g, k] for k in range(len(own))] == (clusters.complete_linkage(x, 12.0) if g != 61 else [0, 1])
     calls = [len(clusters.linked(rng.normal(0, 10, (500, 6, 4)), 12.0))]
     assert calls == [500]
+
+
+def test_plan_pages_are_read_without_a_shuffle(spark):
+    row = "<tr><td>{} N5120.5/W00033.5 VOR</td><td>-</td><td>L1 900</td></tr>"
+    two = "".join(row.format(f"A{k}") for k in range(2))
+    four = "".join(row.format(f"B{k}") + "<tr><td>note</td></tr>" for k in range(4))
+    later = "".join(row.format(f"C{k}") for k in range(5))
+    pages = spark.createDataFrame([(1, f"<table>{two}</table><TABLE x=1>{four}</TABLE><table>{later}</table>"), (2, None), (3, f"<table>{two}</table>")], "p int, html string")
+    found = plans.waypoints(pages, "p", "html")
+    assert [(r.p, r.seq, r.name, r.navaid, r.airway, r.altitude_ft) for r in found.orderBy("seq").collect()] == [(1, k + 1, f"B{k}", "VOR", "L1", 900.0) for k in range(4)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
