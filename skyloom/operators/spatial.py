@@ -64,9 +64,12 @@ class Grid:
 
 
 def nearest_within(points: DataFrame, places: DataFrame, lat: str, lon: str, point_key: Sequence[str], place: str, most_nm: float = 6.0) -> DataFrame:
-    """``points`` with the place (lat, lon) nearest on the sphere, null where none is within ``most_nm``; ties go to the first by name."""
+    """``points`` with the place (lat, lon) nearest on the sphere, null where none is within ``most_nm``; ties go to the first by name.
+
+    Of places at one position the first alone is met."""
     grid = Grid(most_nm)
     there = places.select(place, finite(F.col("lat")).alias("__lat"), finite(F.col("lon")).alias("__lon")).where("__lat IS NOT NULL AND __lon IS NOT NULL")
+    there = there.groupBy("__lat", "__lon").agg(F.min(place).alias(place))
     at = points.select(*point_key, finite(F.col(lat)).alias("__a"), finite(F.col(lon)).alias("__b")).where("__a IS NOT NULL AND __b IS NOT NULL")
     pairs = grid.cells(at, "__a", "__b", "__y", "__x").join(grid.around(there, "__lat", "__lon", "__y", "__x"), ["__y", "__x"])
     pairs = pairs.withColumn("__d", distance_nm(F.col("__a"), F.col("__b"), F.col("__lat"), F.col("__lon"))).where(F.col("__d") <= most_nm)
