@@ -202,16 +202,19 @@ def plan_pages(spark, sf_dir):
  (line * 60)::BIGINT AS leg_time_s, CASE WHEN line % 2 = 0 THEN line::DOUBLE * 1000 END AS msa FROM k""")
 def printed_plans(spark, sf_dir):
     """Waypoints of printed pages from their placed words; each order is a plan, its lines are waypoints of three printed lines."""
-    k = F.col("l_orderkey") * 7 + F.col("line")
-    line = F.col("line")
     text = lambda c: c.cast("string")
-    word = lambda row, x, c: F.struct((line * 40 + row * 9).cast("double").alias("top"), F.lit(float(x)).alias("x0"), c.alias("text"))
-    even = lambda c: F.when(line % 2 == 0, c)
-    words = F.array(
-        word(0, 30, F.concat(F.lit("WP"), text(line))), word(0, 131, F.concat(F.lit("L"), text(line))), word(0, 270, text(F.col("l_partkey"))), word(0, 395, F.concat(F.lit("0:"), F.lpad(text(line), 2, "0"))), word(0, 460, F.lit("ETA")),
-        word(1, 32, _coordinate(k)), word(1, 140, text((F.col("l_quantity") * 100).cast("long"))), word(1, 170, F.concat(text(line * 10), F.lit("/"), text(F.col("l_quantity").cast("long")))),
-        word(2, 33, even(F.lit("VOR"))), word(2, 135, even(text(line * 1000))),
-    )
-    rows = _lines(spark, sf_dir).select("l_orderkey", F.lit(1).alias("page"), F.explode(words).alias("w")).select("l_orderkey", "page", "w.*")
-    found = plans.printed_waypoints(rows, "l_orderkey")
+
+    def words(x, i):
+        line = (i + 1).cast("long")
+        word = lambda row, x0, c: F.struct(F.lit(1).alias("page"), (line * 40 + row * 9).cast("double").alias("top"), F.lit(float(x0)).alias("x0"), c.alias("text"))
+        even = lambda c: F.when(line % 2 == 0, c)
+        return F.array(
+            word(0, 30, F.concat(F.lit("WP"), text(line))), word(0, 131, F.concat(F.lit("L"), text(line))), word(0, 270, text(x["l_partkey"])), word(0, 395, F.concat(F.lit("0:"), F.lpad(text(line), 2, "0"))), word(0, 460, F.lit("ETA")),
+            word(1, 32, _coordinate(x["l_orderkey"] * 7 + line)), word(1, 140, text((x["l_quantity"] * 100).cast("long"))), word(1, 170, F.concat(text(line * 10), F.lit("/"), text(x["l_quantity"].cast("long")))),
+            word(2, 33, even(F.lit("VOR"))), word(2, 135, even(text(line * 1000))),
+        )
+
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_orderkey", "l_quantity")))
+    pages = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.flatten(F.transform("lines", words)).alias("words"))
+    found = plans.printed_plans(pages, "l_orderkey", "words")
     return found.select("l_orderkey", "seq", "name", *_r("lat", "lon", places=6), "navaid", "airway", "altitude_ft", "dist_leg", "wind_dir", "wind_speed", "leg_time_s", "msa")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo, text
@@ -63,41 +67,70 @@ def words_to_rows(words: DataFrame, key: list[str], bins: dict[str, tuple[float,
 def printed_waypoints(words: DataFrame, key: str, page: str = "page", height: float = 3.0) -> DataFrame:
     """key, seq and the planned figures of the waypoints of a printed plan, from its placed words (page, top, x0, text).
 
+    The words of a plan are brought into one row, which ``printed_plans`` reads.
+    """
+    own = words.where("text IS NOT NULL AND top IS NOT NULL AND x0 IS NOT NULL")
+    own = own.groupBy(key).agg(F.collect_list(F.struct(F.col(page).alias("page"), "top", "x0", "text")).alias("__words"))
+    return printed_plans(own, key, "__words", height)
+
+
+def printed_plans(plans: DataFrame, key: str, words: str, height: float = 3.0) -> DataFrame:
+    """key, seq and the planned figures of the waypoints of printed plans, from an array of each one's placed words (page, top, x0, text).
+
     Pages with three coordinates at least are read. Words at about one height are a line; ``COLUMNS`` part it into cells, of
     which the first word counts; lines that hold words of ``HEADINGS`` alone are passed over. A waypoint has a line with its name and
     figures, then one with its coordinate, altitude, wind, course, ground speed, distance and time left, then further ones with its safe
-    altitude, temperature and navaid. The figures are named as in ``waypoints``.
+    altitude, temperature and navaid. The figures are named as in ``waypoints``. A plan is read where it is: its words are neither
+    rows of their own nor shuffled or sorted with others'.
+    """
+    known = F.filter(words, lambda x: x["text"].isNotNull() & x["top"].isNotNull() & x["x0"].isNotNull() & ~F.upper(x["text"]).isin(*HEADINGS))
+    own = F.sort_array(F.transform(known, lambda x: F.struct(x["page"].alias("page"), F.round(x["top"] / height).cast("int").alias("line"), x["x0"].alias("x0"), x["text"].alias("text"))))
+    same = lambda x, y, *names: reduce(and_, [x[n].eqNullSafe(y[n]) for n in names])
+    pages = _runs(own, lambda all_, x, i: (i == 0) | ~same(x, F.get(all_, i - 1), "page"))
+    pages = F.filter(pages, lambda p: F.size(F.filter(p, lambda x: x["text"].rlike(COORDINATE))) >= 3)
+    lines = _runs(F.flatten(pages), lambda all_, x, i: (i == 0) | ~same(x, F.get(all_, i - 1), "page", "line"))
+    # A waypoint begins with the line before its coordinate's.
+    points = _runs(lines, lambda all_, _, i: _cell(F.get(all_, i + 1), "name").rlike(COORDINATE))
+    points = F.filter(points, lambda p: _cell(F.get(p, F.lit(0)), "name").isNotNull())
+    rows = plans.select(key, F.posexplode(points).alias("__at", "__lines"))
+    heads, places = ("name", "awy", "wind", "hdg", "tas", "dist", "fuelrem", "fuelused", "flow", "time1", "time2"), ("name", "awy", "wind", "hdg", "tas", "dist", "time1")
+    rest = lambda c: F.filter(F.transform(F.filter("__lines", lambda _, i: i >= 2), lambda x: _cell(x, c)), lambda x: x.isNotNull())
+    rows = rows.select(
+        key, (F.col("__at") + 1).alias("seq"), *[_cell(F.get("__lines", F.lit(0)), c).alias(f"__head_{c}") for c in heads], *[_cell(F.get("__lines", F.lit(1)), c).alias(f"__place_{c}") for c in places],
+        *[rest(c).alias(f"__rest_{c}") for c in ("name", "awy", "wind")],
+    )
+    head, place = (lambda c: F.col(f"__head_{c}")), (lambda c: F.col(f"__place_{c}"))
+    later = lambda c, value: F.get(F.filter(F.transform(f"__rest_{c}", value), lambda x: x.isNotNull()), F.lit(0))
+    number, pair = text.number, text.pair
+    navaid = later("name", lambda x: F.when((F.upper(x) == x) & x.rlike("[A-Z]"), x))
+    spot, name = geo.coordinate(place("name")), head("name")
+    return rows.select(
+        key, "seq", name.alias("name"), place("name").alias("coord_raw"), navaid.alias("navaid"), head("awy").alias("airway"), number(place("awy")).alias("altitude_ft"), later("awy", number).alias("msa"),
+        head("wind").alias("wind_comp_raw"), pair(place("wind"))["first"].alias("wind_dir"), pair(place("wind"))["second"].alias("wind_speed"),
+        later("wind", lambda x: pair(x)["first"]).alias("oat"), later("wind", lambda x: pair(x)["second"]).alias("isa_dev"),
+        number(head("hdg")).alias("mag_hdg"), number(place("hdg")).alias("crs"), number(head("tas")).alias("tas"), number(place("tas")).alias("gs"), number(head("dist")).alias("dist_leg"), number(place("dist")).alias("dist_rem"),
+        number(head("fuelrem")).alias("fuel_rem"), number(head("fuelused")).alias("fuel_used"), number(head("flow")).alias("flow"),
+        text.seconds(head("time1")).alias("leg_time_s"), text.seconds(place("time1")).alias("ete_remaining_s"), text.seconds(head("time2")).alias("eta_elapsed_s"),
+        spot["lat"].alias("lat"), spot["lon"].alias("lon"), (name.startswith("-") & name.endswith("-")).alias("is_pseudo"),
+    )
+
+
+def _cell(line: Column, column: str) -> Column:
+    """The first word of a printed line (words sorted by x0) in one of ``COLUMNS``; the first of these takes what lies left of it, too."""
+    i = [name for name, _ in COLUMNS].index(column)
+    low = lambda x: x["x0"] >= COLUMNS[i][1] if i else F.lit(True)
+    high = lambda x: x["x0"] < COLUMNS[i + 1][1] if i + 1 < len(COLUMNS) else F.lit(True)
+    return F.get(F.filter(line, lambda x: low(x) & high(x)), F.lit(0))["text"]
+
+
+def _runs(rows: Column, begins: Callable[[Column, Column, Column], Column]) -> Column:
+    """An array cut before each element that begins a run (told by the array, the element and its place); what comes before the first run is left out.
+
+    The array is bound to a name, so that it is made once.
     """
-    w = Window.partitionBy(key, page)
-    own = words.where("text IS NOT NULL AND top IS NOT NULL AND x0 IS NOT NULL").withColumn("__c", F.col("text").rlike(COORDINATE))
-    own = own.withColumn("__n", F.count_if("__c").over(w)).where("__n >= 3").withColumn("__line", F.round(F.col("top") / height).cast("int"))
-    column = F.lit(COLUMNS[0][0])
-    for name, low in COLUMNS[1:]:
-        column = F.when(F.col("x0") >= low, F.lit(name)).otherwise(column)
-    own = own.where(~F.upper("text").isin(*HEADINGS)).withColumn("__column", column)
-    first = lambda name: F.min_by("text", F.when(F.col("__column") == name, F.struct("x0", "text"))).alias(name)
-    lines = own.groupBy(key, page, "__line").agg(*[first(name) for name, _ in COLUMNS])
-    order = Window.partitionBy(key).orderBy(page, "__line")
-    is_place = F.coalesce(F.col("name").rlike(COORDINATE), F.lit(False))
-    lines = lines.withColumn("__place", is_place).withColumn("__heads", F.coalesce(F.lead("__place").over(order), F.lit(False)))
-    lines = lines.withColumn("seq", F.sum(F.col("__heads").cast("int")).over(order)).where("seq > 0")
-    seconds = lambda c: text.seconds(F.col(c))
-    head = lambda c: F.max(F.when(F.col("__heads"), c))
-    place = lambda c: F.max(F.when(F.col("__place") & ~F.col("__heads"), c))
-    rest = ~F.col("__heads") & ~F.col("__place")
-    later = lambda c: F.min_by(c, F.when(rest & c.isNotNull(), F.col("__at")))
-    n, two = (lambda c: text.number(F.col(c))), (lambda c, i: text.pair(F.col(c))[i])
-    lines = lines.withColumn("__at", F.struct(page, "__line"))
-    navaid = F.when((F.upper("name") == F.col("name")) & F.col("name").rlike("[A-Z]"), F.col("name"))
-    out = lines.groupBy(key, "seq").agg(
-        head(F.col("name")).alias("name"), place(F.col("name")).alias("coord_raw"), later(navaid).alias("navaid"), head(F.col("awy")).alias("airway"), place(n("awy")).alias("altitude_ft"), later(n("awy")).alias("msa"),
-        head(F.col("wind")).alias("wind_comp_raw"), place(two("wind", "first")).alias("wind_dir"), place(two("wind", "second")).alias("wind_speed"), later(two("wind", "first")).alias("oat"), later(two("wind", "second")).alias("isa_dev"),
-        head(n("hdg")).alias("mag_hdg"), place(n("hdg")).alias("crs"), head(n("tas")).alias("tas"), place(n("tas")).alias("gs"), head(n("dist")).alias("dist_leg"), place(n("dist")).alias("dist_rem"),
-        head(n("fuelrem")).alias("fuel_rem"), head(n("fuelused")).alias("fuel_used"), head(n("flow")).alias("flow"), head(seconds("time1")).alias("leg_time_s"), place(seconds("time1")).alias("ete_remaining_s"), head(seconds("time2")).alias("eta_elapsed_s"),
-    ).where("name IS NOT NULL")
-    spot = geo.coordinate(F.col("coord_raw"))
-    out = out.select("*", spot["lat"].alias("lat"), spot["lon"].alias("lon"), (F.col("name").startswith("-") & F.col("name").endswith("-")).alias("is_pseudo"))
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("seq")))
+    starts = lambda all_: F.array_compact(F.transform(all_, lambda x, i: F.when(begins(all_, x, i), i)))
+    cut = lambda all_, at: F.transform(at, lambda s, k: F.slice(all_, s + 1, F.coalesce(F.get(at, k + 1), F.size(all_)) - s))
+    return F.flatten(F.transform(F.array(rows), lambda all_: F.flatten(F.transform(F.array(starts(all_)), lambda at: cut(all_, at)))))
 
 
 def _tokens(cell: Column) -> Column:

@@ -100,3 +100,27 @@ def test_places_and_namesakes_at_one_position_are_met_once(spark):
     asked = spark.range(12_000).select("id", F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("C").alias("ident"), F.when(k % 12 > 0, k * 0.001).alias("ref_lat"), F.lit(1.0).alias("ref_lon"))
     got = {r.id: (r.lat, r.lon) for r in joins.resolved(asked, airports, fixes).collect()}
     assert len(got) == 12_000 and got[0] == (0.0, 1.0) and got[4] == (8.0, 4.0) and got[2] == (None, None) and got[3] == (0.0, 1.0) and got[3_300 - 3_300 % 12 + 3] == (4.0, 1.0) and got[9_003] == (8.0, 1.0)
+
+
+def test_words_of_printed_plans_are_not_rows_of_a_sort(spark, sf_dir):
+    words = []
+    for p, n in ((1, 3), (2, 2), (3, 4)):
+        for page in (None, 2):
+            for k in range(n if page else 3):
+                words += [(p, page, k * 40.0, 30.0, f"P{page}{k}"), (p, page, k * 40.0, 5.0, "ETA"), (p, page, k * 40.0, 131.0, "L"), (p, page, k * 40.0, 131.0, "K"), (p, page, k * 40.0, 150.0, None)]
+                words += [(p, page, k * 40.0 + 9, -3.0, "N5120.5/W00033.5"), (p, page, k * 40.0 + 9, 140.0, "900"), (p, page, k * 40.0 + 20, 135.0, "-"), (p, page, k * 40.0 + 30, 135.0, "70"), (p, page, k * 40.0 + 30, 40.0, "VOR")]
+    words += [(3, 2, 170.0, 30.0, "N5120.5/W00033.5"), (3, 2, 180.0, 30.0, "N5220.5/W00033.5"), (3, 2, 180.0, 140.0, "5")]  # a coordinate heads the next one
+    frame = spark.createDataFrame(words, "plan int, page int, top double, x0 double, text string").repartition(5)
+    found = plans.printed_waypoints(frame, "plan")
+    got = [(r.plan, r.seq, r.name, r.coord_raw, r.airway, r.altitude_ft, r.msa, r.navaid) for r in found.orderBy("plan", "seq").collect()]
+    own = lambda p, pages: [(p, i + 1, f"P{page}{k}", "N5120.5/W00033.5", "K", 900.0, 70.0, "VOR") for i, (page, k) in enumerate((page, k) for page, n in pages for k in range(n))]
+    last = own(3, [(None, 3), (2, 4)])
+    last[6] = (*last[6][:6], None, None)  # its last line heads what follows
+    last += [(3, 8, "VOR", None, "70", None, None, None), (3, 9, "N5120.5/W00033.5", "N5220.5/W00033.5", None, 5.0, None, None)]
+    assert got == own(1, [(None, 3), (2, 3)]) + own(2, [(None, 3)]) + last
+    arrays = frame.groupBy("plan").agg(F.collect_list(F.struct("page", "top", "x0", "text")).alias("words")).localCheckpoint()
+    whole = plans.printed_plans(arrays, "plan", "words")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, found.collect()))
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.queries()["printed_plans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == 1
