@@ -39,6 +39,10 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+#: Tasks and files that a bucket of a stream's batch is split over at most.
+SPLITS = 4
+
+
 class KeyedTable:
     """A table below ``path`` by its ``key`` columns; the key and the number of buckets are those it was made with.
 
@@ -98,8 +102,17 @@ class KeyedTable:
         return rows.select(*[F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in rows.columns])
 
     def _write(self, rows: DataFrame, part: str) -> list[str]:
-        """Writes a part and names the buckets it has; hot buckets are split over tasks and files."""
-        spread = rows.select("*", self._bucket()).hint("rebalance", F.col("bucket"))
+        """Writes a part and names the buckets it has; hot buckets are split over tasks and files.
+
+        A stream's batches run without adaptive execution, which alone knows how to rebalance: there each bucket is split in ``SPLITS``, lest every
+        task write a file of every bucket.
+        """
+        spread = rows.select("*", self._bucket())
+        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            spread = spread.hint("rebalance", F.col("bucket"))
+        else:
+            hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if not any(w in f.dataType.simpleString() for w in ("map<", "variant"))]
+            spread = spread.repartition(F.col("bucket"), F.pmod(F.xxhash64(*hashed), F.lit(SPLITS)))
         spread.write.partitionBy("bucket").parquet(f"{self.path}/data/{part}")
         return [n.partition("=")[2] for n in _names(self.spark, f"{self.path}/data/{part}") if n.startswith("bucket=")]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from math import asin, cos, radians, sin, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skyloom.functions.geo import RADIUS_NM
 from skyloom.sources.keyed import KeyedTable, Partial
 
+#: Stands for an absent time where times are whole microseconds.
+NEVER = -(2**63)
+
 
 def interval_stats(samples: DataFrame, ts: str, value: str, key: Sequence[str], seconds: int, late: str = "10 minutes") -> DataFrame:
     """Count, least, greatest and mean of a value for each key and interval; rows later than ``late`` are dropped."""
@@ -87,26 +91,31 @@ def segments(samples: DataFrame, key: str, order: str, ts: str, value: str) -> D
 
     The last segment of a key is open until its value changes; write them with ``keep`` by key and segment. Values are text, nulls a value.
     """
-    own = samples.select(key, order, F.col(ts).cast("timestamp").alias("__ts"), F.col(value).cast("string").alias("__v"))
-    kind = T.StructType([own.schema[key], *T._parse_datatype_string("segment long, value string, start timestamp, end timestamp, n long").fields])
+    # Times pass Python as whole microseconds, an absent one as the least number: to turn a column of times takes longer than the rest of a log.
+    own = samples.select(key, order, F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(NEVER)).alias("__ts"), F.col(value).cast("string").alias("__v"))
+    kind = T.StructType([own.schema[key], *T._parse_datatype_string("segment long, value string, start long, end long, n long").fields])
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        number, now, start, n = state.get if state.exists else (-1, None, None, 0)
-        told: list[list] = []
-        for t, v in zip(rows["__ts"], rows["__v"], strict=True):
-            v = None if pd.isna(v) else v
-            if number < 0 or v != now:
-                number, now, start, n = number + 1, v, t, 0
-                told.append([])
-            elif not told:
-                told.append([])
-            n += 1
-            told[-1] = [number, now, pd.Timestamp(start), t, n]
-        state.update((number, now, pd.Timestamp(start).to_pydatetime(), n))
-        yield pd.DataFrame([(*name, *t) for t in told], columns=kind.names).astype({"segment": "int64", "n": "int64"})
-
-    return own.groupBy(key).applyInPandasWithState(run, kind, "segment long, value string, start timestamp, n long", "update", GroupStateTimeout.NoTimeout)
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not rows[order].is_monotonic_increasing:
+            rows = rows.sort_values(order, kind="stable")
+        times, values = rows["__ts"].to_numpy("int64"), rows["__v"].to_numpy(object)
+        codes = pd.factorize(values)[0]  # -1 for nulls
+        first = np.flatnonzero(np.diff(codes, prepend=-2))
+        told = [None if c < 0 else v for c, v in zip(codes[first], values[first], strict=True)]
+        start, n = times[first], np.diff(first, append=len(rows))
+        number, now, since, before = state.get if state.exists else (-1, None, None, 0)
+        if number >= 0 and told[0] == now:
+            start[0], n[0] = since, n[0] + before
+        else:
+            number += 1
+        segment = number + np.arange(len(first))
+        state.update((int(segment[-1]), told[-1], int(start[-1]), int(n[-1])))
+        yield pd.DataFrame({key: [name[0]] * len(first), "segment": segment, "value": told, "start": start, "end": times[np.append(first[1:], len(rows)) - 1], "n": n})
+
+    out = own.groupBy(key).applyInPandasWithState(run, kind, "segment long, value string, start long, n long", "update", GroupStateTimeout.NoTimeout)
+    return out.select(key, "segment", "value", *[F.timestamp_micros(F.nullif(F.col(c), F.lit(NEVER))).alias(c) for c in ("start", "end")], "n")
 
 
 def keep(stream: DataFrame, path: str, key: str | Sequence[str], checkpoint: str) -> StreamingQuery:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import clusters, corridor, joins, spatial
 from skyloom.plans import catalogue
-from skyloom.sources import plans
+from skyloom.sources import keyed, plans
+from skyloom.streaming import streams
 
 
 def table(spark, folder, name, rows):
@@ -124,3 +125,32 @@ def test_words_of_printed_plans_are_not_rows_of_a_sort(spark, sf_dir):
     assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
     plan = catalogue.queries()["printed_plans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Generate") == 1
+
+
+def test_streamed_segments_write_few_files(spark, tmp_path):
+    k = F.col("id")
+    at = F.when(k % 5 > 0, F.timestamp_micros(F.lit(1_700_000_000_000_000) + k * 7))
+    rows = spark.range(16_000).select((k % 800).alias("log"), (-k).alias("line"), at.alias("ts"), F.when(k % 3 > 0, (F.floor(k / 800) % 4 / 3).cast("int").cast("string")).alias("phase"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+        streams.keep(streams.segments(stream, "log", "line", "ts", "phase"), str(tmp_path / "out"), ["log", "segment"], str(tmp_path / "cp")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = keyed.opened(spark, str(tmp_path / "out")).table()
+    assert dict(found.dtypes)["start"] == "timestamp" and found.columns == ["log", "segment", "value", "start", "end", "n"]
+    expected = []
+    for log in range(800):
+        number, last = -1, object()
+        for i in range(15_200 + log, -1, -800):
+            value, ts = str(i // 800 % 4 // 3) if i % 3 else None, 1_700_000_000_000_000 + i * 7 if i % 5 else None
+            if value != last:
+                number, last = number + 1, value
+                expected.append([log, number, value, ts, ts, 0])
+            expected[-1][4:] = [ts, expected[-1][5] + 1]
+    got = found.select("log", "segment", "value", F.unix_micros("start"), F.unix_micros("end"), "n").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(e)) for e in expected)
+    files = list((tmp_path / "out" / "data").rglob("*.parquet"))
+    assert len(files) <= 64 * keyed.SPLITS  # of 16 tasks with rows of all 64 buckets
