@@ -207,16 +207,20 @@ def planned_climb_descent(plan: DataFrame, key: Sequence[str], top: str = "-TOC-
 
     ``plan``: key, seq, name, eta_s, fuel_used, dist_leg, dist_rem, altitude, tas, gs.
     """
-    get = lambda c, test: F.max_by(c, F.when(test, F.col("seq")))
+    w = by(key, ["seq"])
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    get = lambda c, test: F.max_by(c, F.when(test, F.col("seq"))).over(whole)
     is_top, is_down = F.col("name") == top, F.col("name") == down
-    rows = plan.withColumn("__down", F.max(F.when(is_down, F.col("eta_s"))).over(Window.partitionBy(*key)))
-    late = F.col("eta_s") >= F.col("__down")
-    first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
-    out = rows.groupBy(*key).agg(
+    rows = plan.withColumn("__down", F.max(F.when(is_down, F.col("eta_s"))).over(whole))
+    late = lambda c: F.avg(F.when(F.col("eta_s") >= F.col("__down"), F.col(c))).over(whole)
+    first, last = (lambda c: F.min_by(c, "seq").over(whole)), (lambda c: F.max_by(c, "seq").over(whole))
+    # All over one sort of a plan's rows: what a task holds is that sort, which spills, and no table of its plans.
+    out = rows.select(
+        *key, F.row_number().over(w).alias("__at"),
         get("eta_s", is_top).alias("climb_s"), (get("fuel_used", is_top) - first("fuel_used")).alias("climb_gal"), get("dist_leg", is_top).alias("climb_nm"), (get("altitude", is_top) - first("altitude")).alias("climb_ft"),
-        (last("eta_s") - F.max("__down")).alias("descent_s"), (last("fuel_used") - get("fuel_used", is_down)).alias("descent_gal"), get("dist_rem", is_down).alias("descent_nm"),
-        (last("altitude") - get("altitude", is_down)).alias("descent_ft"), F.avg(F.when(late, F.col("tas"))).alias("descent_tas"), F.avg(F.when(late, F.col("gs"))).alias("descent_gs"),
-    )
+        (last("eta_s") - F.col("__down")).alias("descent_s"), (last("fuel_used") - get("fuel_used", is_down)).alias("descent_gal"), get("dist_rem", is_down).alias("descent_nm"),
+        (last("altitude") - get("altitude", is_down)).alias("descent_ft"), late("tas").alias("descent_tas"), late("gs").alias("descent_gs"),
+    ).where("__at = 1").drop("__at")
     rate = lambda c: F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_ft") / (F.col(f"{c}_s") / 60))
     return out.withColumns({"climb_fpm": rate("climb"), "descent_fpm": rate("descent")})
 

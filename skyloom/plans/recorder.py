@@ -372,7 +372,9 @@ SELECT plan_id, max(eta) FILTER (name = '-TOC-') AS climb_s, max(used) FILTER (n
 def planned_climb_descent(spark, sf_dir):
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     name = F.when(n == 2, "-TOC-").when(n == 3, "-TOD-").otherwise(F.concat(F.lit("W"), n.cast("string")))
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    # The greatest of a line's quantities, by the sort that the plans need too: a table of all lines would be held by hashing.
+    best = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.desc("l_quantity"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").withColumn("n", F.row_number().over(best)).where("n = 1")
     plan = lines.select(F.col("l_orderkey").alias("plan_id"), n.alias("seq"), name.alias("name"), (n * 600.0).alias("eta_s"), (n * 2.5).alias("fuel_used"), q.alias("dist_leg"), (q * 2).alias("dist_rem"), (n * 1000.0).alias("altitude"), q.alias("tas"), q.alias("gs"))
     found = corridor.planned_climb_descent(plan, ["plan_id"])
     return found.select("plan_id", "climb_s", "climb_gal", "climb_nm", "descent_s", "descent_nm", F.round("descent_tas", 6).alias("descent_tas"))

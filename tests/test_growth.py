@@ -154,3 +154,17 @@ def test_streamed_segments_write_few_files(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(e)) for e in expected)
     files = list((tmp_path / "out" / "data").rglob("*.parquet"))
     assert len(files) <= 64 * keyed.SPLITS  # of 16 tasks with rows of all 64 buckets
+
+
+def test_planned_climb_and_descent_hold_one_sort_alone(spark, sf_dir):
+    names = {1: ["A", "-TOC-", "B", "-TOD-", "C"], 2: ["A", "-TOC-", None], 3: ["A", "-TOD-", "-TOD-", "B"], 4: ["A"]}
+    rows = [(p, k, n, 100.0 * k, 2.0 * k, None if k == 2 and p == 2 else 5.0 + k, 50.0 - k, 1000.0 * (k + p), None if k == 4 else 90.0 + 10 * k, 80.0 + k) for p, own in names.items() for k, n in enumerate(own)]
+    plan = spark.createDataFrame(rows, "p int, seq int, name string, eta_s double, fuel_used double, dist_leg double, dist_rem double, altitude double, tas double, gs double").repartition(3)
+    found = corridor.planned_climb_descent(plan, ["p"])
+    assert found.columns == ["p", "climb_s", "climb_gal", "climb_nm", "climb_ft", "descent_s", "descent_gal", "descent_nm", "descent_ft", "descent_tas", "descent_gs", "climb_fpm", "descent_fpm"]
+    assert [tuple(r) for r in found.orderBy("p").collect()] == [
+        (1, 100.0, 2.0, 6.0, 1000.0, 100.0, 2.0, 47.0, 1000.0, 120.0, 83.5, 600.0, 600.0), (2, 100.0, 2.0, 6.0, 1000.0, *[None] * 6, 600.0, None),
+        (3, *[None] * 4, 100.0, 2.0, 48.0, 1000.0, 115.0, 82.5, None, 600.0), (4, *[None] * 12),
+    ]
+    planned = catalogue.queries()["planned_climb_descent"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in planned and planned.count("Exchange") == 1 and planned.count("Sort [") == 1
